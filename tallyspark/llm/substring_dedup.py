@@ -6,7 +6,7 @@ document probes it. A hit marks a place where a repeat can be; around the hits a
 (64 in the row, 16 and more in the bucket's choice), and runs of equal windows are the maximal exact repeats. No pair of
 documents is ever made, so a passage that thousands share costs its occurrences, not their square.
 
-Layout. Documents are gathered into slices of a few MB, compressed, and written once to the shared folder; a slice sends each
+Layout. Documents are gathered into slices of about 1 MB, compressed, and written once to the shared folder; a slice sends each
 distinct hash of its own once to the hash's bucket (pre-aggregation: a hash that occurs everywhere reaches its bucket once a
 slice) and gets one bit back for it. Buckets grow in number with the input, so that a task holds a bounded part.
 """
@@ -26,7 +26,7 @@ from . import textkit as tk
 from .shared import forget, keep, prepare, width
 
 #: Bytes of text in a slice, and words whose hashes a bucket takes on the average.
-SLICE, BUCKET_WORDS = 4 << 20, 1_500_000
+SLICE, BUCKET_WORDS = 5 << 18, 1_500_000
 SLICES = "slice_id long, n_words long, doc_ids binary, offsets binary, texts binary"
 
 
