@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, url_filter
+from . import decontaminate, embedding_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents"), window=50, with_text=False)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import link_embeddings
+
+    return link_embeddings(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_contamination
 
@@ -48,5 +54,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _encoder, capacity=1024, end_id=0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op5_decontaminate, op6_url_filter, op10_packing)}
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.SQL, "op6_url_filter": url_filter.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_embedding_dedup, op5_decontaminate, op6_url_filter, op10_packing)}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": embedding_dedup.SQL, "op5_decontaminate": decontaminate.SQL, "op6_url_filter": url_filter.SQL}
