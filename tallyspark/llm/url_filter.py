@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import keep
+
 #: Suffixes of two labels under which domains are registered; every other suffix is the last label.
 LONG_SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "co.nz", "gov.uk", "org.uk")
 #: Host, path and verdict of the rules.
@@ -32,6 +34,7 @@ def path_of(url: Column) -> Column:
 
 
 def suffix_of(host: Column) -> Column:
+    """The last label, or one of the known suffixes of two."""
     last_two = F.substring_index(host, ".", -2)
     return F.when(last_two.isin(*LONG_SUFFIXES), last_two).otherwise(F.substring_index(host, ".", -1))
 
@@ -50,25 +53,28 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return rule, verdict
 
 
-def _shrunk(level: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    """level (key, parent, n, s) with the parents' rate as prior mean, and its strength m by moments, kept in 1..1000."""
-    rows = level.join(parents.select(F.col("key").alias("parent"), F.col("rate").alias("prior")), "parent")
+def _shrunk(level: DataFrame) -> DataFrame:
+    """level (.., n, s, prior) with rate, the posterior mean, and m, the prior's strength: by moments over the level, kept in 1..1000.
+
+    Three sums of the level reach the driver."""
     q = F.col("prior")
-    fit = rows.agg(F.sum(F.pow(F.col("s") - F.col("n") * q, 2)).alias("seen"), F.sum(F.col("n") * q * (1 - q)).alias("one"), F.sum(F.col("n") * (F.col("n") - 1) * q * (1 - q)).alias("more"))
+    seen, one, more = level.agg(F.sum(F.pow(F.col("s") - F.col("n") * q, 2)), F.sum(F.col("n") * q * (1 - q)), F.sum(F.col("n") * (F.col("n") - 1) * q * (1 - q))).first()
     # beta-binomial: E (s - nq)^2 = nq(1-q) (1 + (n-1)/(m+1))
-    excess = F.when(F.col("more") > 0, (F.col("seen") - F.col("one")) / F.col("more"))
-    strength = fit.select(F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.coalesce(F.when(excess > 0, 1 / excess - 1), F.lit(1000.0)))).alias("m"))
-    return rows.withColumn("m", strength.scalar()).withColumn("rate", (F.col("s") + F.col("m") * q) / (F.col("n") + F.col("m"))).withColumnRenamed(key, "key")
+    m = more / (seen - one) - 1 if seen is not None and seen > one and more > 0 else 1000.0
+    m = min(1000.0, max(1.0, m))
+    return level.withColumn("m", F.lit(m)).withColumn("rate", (F.col("s") + m * q) / (F.col("n") + m))
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """From (host, bad 0/1; nulls don't count): key (the host), n, s (bad), prior, m, rate (posterior mean), spread (its deviation)."""
-    by_host = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("s"))
-    by_host = by_host.withColumn("parent", domain_of(F.col("host")))
-    by_domain = by_host.groupBy(F.col("parent").alias("domain")).agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("parent", suffix_of(F.col("domain")))
-    by_suffix = by_domain.groupBy(F.col("parent").alias("suffix")).agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("parent", F.lit("*"))
-    overall = by_suffix.groupBy(F.lit("*").alias("key")).agg(((F.sum("s") + 0.5) / (F.sum("n") + 1.0)).alias("rate"))
-    hosts = _shrunk(by_host, _shrunk(by_domain, _shrunk(by_suffix, overall, "suffix"), "domain"), "host")
+    """From (host, bad 0/1; nulls don't count): host, n, s (bad), prior, m, rate (posterior mean), spread (its deviation)."""
+    counts = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("s"))
+    hosts = keep(counts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
+    domains = keep(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "domains")
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    n, s = domains.agg(F.sum("n"), F.sum("s")).first()
+    suffixes = _shrunk(suffixes.withColumn("prior", F.lit(((s or 0.0) + 0.5) / ((n or 0.0) + 1.0))))
+    domains = _shrunk(domains.join(suffixes.select("suffix", F.col("rate").alias("prior")), "suffix"))
+    hosts = keep(_shrunk(hosts.join(domains.select("domain", F.col("rate").alias("prior")), "domain")), "reputation")
     return hosts.withColumn("spread", F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("m") + 1)))
 
 
@@ -83,7 +89,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     labelled = rows.join(outcomes.where("page_id is not null and bad is not null").select("page_id", "bad"), "page_id").select("host", "bad")
-    known = host_reputation(labelled).select(F.col("key").alias("host"), F.col("rate").alias("bad_rate"), (F.col("rate") - z * F.col("spread")).alias("bad_bound"))
+    known = host_reputation(labelled).select("host", F.col("rate").alias("bad_rate"), (F.col("rate") - z * F.col("spread")).alias("bad_bound"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_bound") > bad_share, F.lit("block")).otherwise(F.lit("allow"))
     return rows.join(known, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bad_rate", "bad_bound")
