@@ -40,6 +40,13 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), outcomes).drop("bad_rate", "bad_bound")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import select_by_importance
+
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"))
+    return select_by_importance(_table(spark, sf_dir, "documents"), labels)
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -60,5 +67,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _encoder, capacity=1024, end_id=0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_embedding_dedup, op5_decontaminate, op6_url_filter, op8_minhash_dedup, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_embedding_dedup, op5_decontaminate, op6_url_filter, op7_quality, op8_minhash_dedup, op10_packing)}
 ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": embedding_dedup.SQL, "op5_decontaminate": decontaminate.SQL, "op6_url_filter": url_filter.SQL, "op8_minhash_dedup": minhash.SQL}
