@@ -53,6 +53,12 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages")).drop("path")
+
+
 def _encoder():
     import public_tokenizers
 
@@ -67,5 +73,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _encoder, capacity=1024, end_id=0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_embedding_dedup, op5_decontaminate, op6_url_filter, op7_quality, op8_minhash_dedup, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_embedding_dedup, op5_decontaminate, op6_url_filter, op7_quality, op8_minhash_dedup, op9_html_extract, op10_packing)}
 ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": embedding_dedup.SQL, "op5_decontaminate": decontaminate.SQL, "op6_url_filter": url_filter.SQL, "op8_minhash_dedup": minhash.SQL}
