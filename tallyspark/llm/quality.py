@@ -112,6 +112,13 @@ def log_ratio(docs: DataFrame, good_ids: np.ndarray, alpha: float = 1.0) -> np.n
     return out
 
 
+def _weigh(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, ratio: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    feature, doc = features(offsets, data)
+    weight = np.bincount(doc, ratio[feature], len(ids)) if len(doc) else np.zeros(len(ids))
+    uniform = ((tk.mix(ids.view(tk.U64) ^ tk.mix(np.array([seed], tk.U64))) >> tk.U64(11)).astype(float) + 0.5) / (1 << 53)
+    return weight, weight - np.log(-np.log(uniform))
+
+
 def log_weights(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
     """(doc_id, log_weight, score): score is the weight with its Gumbel noise."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
@@ -120,11 +127,9 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
         for batch in batches:
             weights, scores = [], []
             for ids, offsets, data in _pieces(iter([batch])):
-                feature, doc = features(offsets, data)
-                weight = np.bincount(doc, shared.value[feature], len(ids)) if len(doc) else np.zeros(len(ids))
-                uniform = ((tk.mix(ids.view(tk.U64) ^ tk.mix(np.array([seed], tk.U64))) >> tk.U64(11)).astype(float) + 0.5) / (1 << 53)
+                weight, score = _weigh(ids, offsets, data, shared.value, seed)
                 weights.append(weight)
-                scores.append(weight - np.log(-np.log(uniform)))
+                scores.append(score)
             if weights:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(weights)), pa.array(np.concatenate(scores))], names=["doc_id", "log_weight", "score"])
 
@@ -155,6 +160,23 @@ def kth_largest(scores: DataFrame, k: int, column: str = "score", few: int = 10_
             return float(low)
 
 
+def _model(docs: DataFrame, labels: DataFrame, share: float | None, seed: int, labelled: int) -> tuple[DataFrame, np.ndarray, float]:
+    """The scores of docs (doc_id, text), the features' log ratios, and the least score that is kept."""
+    known = labels.where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
+    if share is None:
+        found = known.agg(F.avg(F.col("good").cast("double"))).first()[0]
+        share = 1.0 if found is None else float(found)
+    picked = known.where("good = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()
+    good = np.array([r[0] for r in picked], np.int64)
+    ratio = log_ratio(docs, good) if len(good) else np.zeros(FAMILIES[-1])
+    scores = keep(log_weights(docs, ratio, seed), "scores")
+    return scores, ratio, kth_largest(scores, round(share * scores.count()))
+
+
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def select_by_importance(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 7, labelled: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, log_weight, score, kept.
 
@@ -164,15 +186,22 @@ def select_by_importance(docs: DataFrame, labels: DataFrame, share: float | None
     0 and the sample is uniform; without any label everything is kept. Rows with a null id share one draw of noise. An empty
     table gives an empty result. Other columns play no part.
     """
-    spark = prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = labels.where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
-    if share is None:
-        found = known.agg(F.avg(F.col("good").cast("double"))).first()[0]
-        share = 1.0 if found is None else float(found)
-    picked = known.where("good = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()
-    good = np.array([r[0] for r in picked], np.int64)
-    ratio = log_ratio(rows, good) if len(good) else np.zeros(FAMILIES[-1])
-    scores = keep(log_weights(rows, ratio, seed), "scores")
-    cut = kth_largest(scores, round(share * scores.count()))
+    prepare(docs.sparkSession)
+    scores, _, cut = _model(_plain(docs, id_col, text_col), labels, share, seed, labelled)
     return scores.withColumn("kept", F.col("score") >= F.lit(cut))
+
+
+def filter_by_importance(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 7, labelled: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``select_by_importance`` keeps, all columns as they are. Rows are scored where they stand a
+    second time, so no text is shuffled."""
+    prepare(docs.sparkSession)
+    _, ratio, cut = _model(_plain(docs, id_col, text_col), labels, share, seed, labelled)
+    shared, names = docs.sparkSession.sparkContext.broadcast(ratio), docs.columns
+    at, text = names.index(id_col), names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [score for piece in _pieces(iter([pa.RecordBatch.from_arrays([batch.column(at).cast(pa.int64()), batch.column(text).cast(pa.string())], names=["doc_id", "text"])])) for score in _weigh(*piece, shared.value, seed)[1]]
+            yield batch.filter(pa.array(np.array(scores) >= cut)) if scores else batch
+
+    return docs.mapInArrow(run, docs.schema)

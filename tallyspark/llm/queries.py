@@ -33,6 +33,12 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_contamination
 
@@ -66,7 +72,7 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages")).drop("path")
 
 
-def _encoder():
+def encoder():
     import public_tokenizers
 
     from .packing import byte_bpe
@@ -77,8 +83,8 @@ def _encoder():
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"), _encoder, capacity=1024, end_id=0)
+    return pack(_table(spark, sf_dir, "documents"), encoder, capacity=1024, end_id=0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_embedding_dedup, op5_decontaminate, op6_url_filter, op7_quality, op8_minhash_dedup, op9_html_extract, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_embedding_dedup, op4_line_dedup, op5_decontaminate, op6_url_filter, op7_quality, op8_minhash_dedup, op9_html_extract, op10_packing)}
 ORACLE_SQL: dict[str, str] = {"op2_warc": warc.SQL, "op3_embedding_dedup": embedding_dedup.SQL, "op5_decontaminate": decontaminate.SQL, "op6_url_filter": url_filter.SQL, "op8_minhash_dedup": minhash.SQL}
