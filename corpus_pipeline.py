@@ -1,13 +1,60 @@
-"""The corpus pipeline; its stages follow as the operators do."""
+"""The corpus pipeline: quality selection, line dedup, near-dedup, decontamination, packing.
+
+Every stage works on all that its predecessor kept, written as Parquet in the shared folder and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.llm.decontaminate import find_contamination
+from tallyspark.llm.line_dedup import dedup_lines
+from tallyspark.llm.minhash import near_duplicates
+from tallyspark.llm.packing import pack
+from tallyspark.llm.quality import filter_by_importance
+from tallyspark.llm.queries import encoder
+from tallyspark.llm.shared import keep
+
+
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance sample keeps; the labels' low-quality share goes."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("good"))
+    return filter_by_importance(docs, labels)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the line blocks that earlier documents have; those left without any line go."""
+    found = dedup_lines(docs)
+    left = found.where("n_removed = 0 or n_removed < n_lines")
+    return left.select(*(F.char_length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the least id."""
+    kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark passages."""
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, in sequences of 1024 tokens."""
+    return pack(docs, encoder, capacity=1024, end_id=0)
+
 
-STAGES: list = []
+STAGES = [("quality", select_quality), ("line_dedup", drop_repeated_lines), ("near_dedup", drop_near_duplicates), ("decontaminate", drop_contaminated), ("pack", pack_sequences)]
+#: SQL cannot express these stages; the tests hold them against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; the last one's result."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
