@@ -9,8 +9,9 @@ Candidates. Signatures are cut into bands; documents that share a band are candi
 before that. In the first round every document of a band's bucket is verified against the least document of the bucket: a
 bucket of any size makes as many pairs as it has members. In the second round, only buckets that still hold documents of
 different components are taken up again: members of different components whose signatures agree in enough coordinates
-(``sketch``; so low that a pair at the threshold fails it about as seldom as it misses all bands) are verified pair by pair.
-Large buckets are cut into chunks for that, compared chunk by chunk. Documents of one component need no more comparison.
+(``sketch``; so low that a pair at the threshold fails it about as seldom as it misses all bands) are verified. Large buckets are
+cut into chunks for that, and what is left to verify goes out as requests of one document against a block of others, not as
+pairs. Documents of one component need no more comparison.
 
 Verification counts shingles on the full sets; no link rests on signatures.
 """
@@ -155,29 +156,106 @@ def _banded(reps: DataFrame) -> DataFrame:
     return reps.select("doc_id", "bands").mapInArrow(run, "key long, doc long")
 
 
-def _unsettled(rows: DataFrame, percent: int, sketch: float, parts: int) -> DataFrame:
-    """Pairs of different components in a chunk pair of a bucket that sizes and signatures leave possible.
+REQUESTS = "block long, probe long, targets binary, roots binary"
 
-    rows: key, c1, c2, c (the row's own chunk), doc, root, n, sketch."""
+
+def _unsettled(rows: DataFrame, percent: int, sketch: float, blocks: int, parts: int) -> DataFrame:
+    """What is left to compare: for a document and a block of documents, those of the block that sizes and signatures leave
+    possible and that are of other components. Each pair comes from the first band that it shares, once.
+
+    rows: key, c1, c2, c (the row's own chunk), doc, root, n, sketch, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in tk.groups(batches, "group"):
             own, c1, c2 = (table.column(x).to_numpy() for x in ("c", "c1", "c2"))
             doc, root, n = (table.column(x).to_numpy() for x in ("doc", "root", "n"))
-            sig = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(doc), -1)
+            sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(doc), -1)
+            bands = np.frombuffer(b"".join(table.column("bands").to_pylist()), np.int64).reshape(len(doc), -1)
+            band = int(np.argmax(bands[0] == table.column("key")[0].as_py()))
             same = c1[0] == c2[0]
             left, right = np.flatnonzero(own == c1[0]), np.flatnonzero(own == c2[0])
-            for i in left.tolist():
-                other = right[right > i] if same else right
+            _, inverse, size = np.unique(root, return_inverse=True, return_counts=True)
+            weight = size[inverse]  # members of larger components are targets, not probes: few probes make few rows
+            if not same and weight[left].sum() > weight[right].sum():
+                left, right = right, left
+            elif same:
+                left = right = left[np.lexsort((doc[left], weight[left]))]
+            for at, i in enumerate(left.tolist()):
+                other = right[at + 1 :] if same else right
                 other = other[(root[other] != root[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
                 if len(other):
-                    other = other[(sig[other] == sig[i]).mean(axis=1) >= sketch]
+                    other = other[(sketches[other] == sketches[i]).mean(axis=1) >= sketch]
                 if len(other):
-                    low, high = np.minimum(doc[other], doc[i]), np.maximum(doc[other], doc[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+                    other = other[(bands[other] == bands[i]).argmax(axis=1) == band]
+                if not len(other):
+                    continue
+                block = _block(doc[other], blocks)
+                for k in np.unique(block).tolist():
+                    to = other[block == k]
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([doc[i]]), pa.array([doc[to].tobytes()], pa.binary()), pa.array([root[to].tobytes()], pa.binary())], names=["block", "probe", "targets", "roots"])
 
     keyed = rows.withColumn("group", F.xxhash64("key", "c1", "c2"))
-    return keyed.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(run, "a long, b long").distinct()
+    return keyed.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(run, REQUESTS)
+
+
+def _block(docs: np.ndarray, blocks: int) -> np.ndarray:
+    return (tk.mix(docs.astype(np.int64).view(tk.U64)) % tk.U64(blocks)).astype(np.int64)
+
+
+def _sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    return shingle_sets(np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), np.frombuffer(b"".join(texts), np.uint8), k)
+
+
+def verify_blocks(requests: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int, blocks: int, parts: int) -> DataFrame:
+    """Links (a, b) among the requests, the least target of each component that a probe is linked with.
+
+    A block's documents are indexed by shingle, and a probe's shingles are counted against all of them at once, so a document that looks like
+    thousands of others costs one row and one pass for each block. members: the documents that requests can name."""
+    texts = _squeezed(docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    asked = requests.join(texts.withColumnRenamed("id", "probe"), "probe").select("block", F.lit(1).alias("kind"), F.col("probe").alias("id"), "z", "targets", "roots")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            none = pa.nulls(batch.num_rows, pa.binary())
+            block = _block(batch.column(0).to_numpy(), blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), batch.column(1), none, none], names=["block", "kind", "id", "z", "targets", "roots"])
+
+    both = texts.mapInArrow(place, "block long, kind int, id long, z binary, targets binary, roots binary").unionByName(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompressobj
+        now, fresh, index = None, [], None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for r in batch.to_pylist():
+                if r["block"] != now:
+                    now, fresh, index = r["block"], [], None
+                text = open_().decompress(r["z"])
+                if r["kind"] == 0:
+                    fresh.append((r["id"], text))
+                    continue
+                if index is None:
+                    ids = np.array([x for x, _ in fresh], np.int64)
+                    pieces = [_sets([t for _, t in fresh[i : i + 64]], k) for i in range(0, len(fresh), 64)]
+                    sizes = np.concatenate([np.diff(c) for _, c in pieces]) if pieces else np.zeros(0, np.int64)
+                    values = np.concatenate([v for v, _ in pieces]) if pieces else np.zeros(0, tk.U64)
+                    order = np.argsort(values, kind="stable")
+                    index, fresh = (ids, sizes, values[order], np.repeat(np.arange(len(ids)), sizes)[order]), []
+                ids, sizes, values, holder = index
+                mine, _ = _sets([text], k)
+                a, b = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
+                spans = b - a
+                spots = np.repeat(a - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
+                shared = np.bincount(holder[spots], minlength=len(ids))
+                linked = ids[100 * shared >= percent * (len(mine) + sizes - shared)]
+                targets, roots = np.frombuffer(r["targets"], np.int64), np.frombuffer(r["roots"], np.int64)
+                good = np.isin(targets, linked)
+                targets, roots = targets[good], roots[good]
+                for of in np.unique(roots).tolist():
+                    out.append((r["id"], int(targets[roots == of].min())))
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], names=["a", "b"])
+
+    return both.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, sketch: float = SKETCH, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,11 +283,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     rooted = banded.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     open_ = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("size > 2 and low != high")
     open_ = open_.select("key", F.ceil(F.col("size") / chunk).cast("int").alias("chunks"))
-    members = rooted.join(open_, "key").join(reps.select(F.col("doc_id").alias("doc"), "n", "sketch"), "doc")
+    members = keep(rooted.join(open_, "key").join(reps.select(F.col("doc_id").alias("doc"), "n", "sketch", "bands"), "doc"), "open")
     own = F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")
     spread = members.withColumn("c", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("c1", F.least("c", "o")).withColumn("c2", F.greatest("c", "o"))
-    left = keep(_unsettled(spread.select("key", "c", "c1", "c2", "doc", "root", "n", "sketch"), percent, sketch, width(spark)).join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = verify(left, docs, shingle, percent)
+    blocks = max(1, -(-members.select("doc").distinct().count() // chunk))
+    requests = keep(_unsettled(spread.select("key", "c", "c1", "c2", "doc", "root", "n", "sketch", "bands"), percent, sketch, blocks, width(spark)), "requests")
+    more = keep(verify_blocks(requests, members, docs, shingle, percent, blocks, max(width(spark), blocks)), "links")
     named = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     merged = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
 
