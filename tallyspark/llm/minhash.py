@@ -34,6 +34,8 @@ RING = 1 << 20
 BANDS, ROWS = 30, 5
 #: Share of signature coordinates that two documents must agree in to be compared in the second round; bucket members a task holds.
 SKETCH, CHUNK = 0.65, 2048
+#: Shingles in a block of documents that requests are verified against, on the average.
+_BLOCK_SHINGLES = 1_000_000
 #: Bytes of text worked on at once.
 _PIECE = 1 << 20
 _SALTS = (tk.U64(0x2545F4914F6CDD1D), tk.U64(0x9E6C63D0876A9A47))
@@ -131,8 +133,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
                 linked = np.zeros(part.num_rows, bool)
                 sides = []
                 for column in ("za", "zb"):
-                    texts = [open_().decompress(z) for z in part.column(part.schema.get_field_index(column)).to_pylist()]
-                    sides.append(shingle_sets(np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), np.frombuffer(b"".join(texts), np.uint8), k))
+                    sides.append(_sets([open_().decompress(z) for z in part.column(part.schema.get_field_index(column)).to_pylist()], k))
                 (va, ca), (vb, cb) = sides
                 for r in range(part.num_rows):
                     x, y = va[ca[r] : ca[r + 1]], vb[cb[r] : cb[r + 1]]
@@ -166,6 +167,16 @@ def _unsettled(rows: DataFrame, percent: int, sketch: float, blocks: int, parts:
     rows: key, c1, c2, c (the row's own chunk), doc, root, n, sketch, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        pending = 0
+
+        def packed() -> pa.RecordBatch:
+            nonlocal pending
+            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["block", "probe", "targets", "roots"])
+            pending = 0
+            out.clear()
+            return batch
+
         for _, table in tk.groups(batches, "group"):
             own, c1, c2 = (table.column(x).to_numpy() for x in ("c", "c1", "c2"))
             doc, root, n = (table.column(x).to_numpy() for x in ("doc", "root", "n"))
@@ -192,7 +203,12 @@ def _unsettled(rows: DataFrame, percent: int, sketch: float, blocks: int, parts:
                 block = _block(doc[other], blocks)
                 for k in np.unique(block).tolist():
                     to = other[block == k]
-                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([doc[i]]), pa.array([doc[to].tobytes()], pa.binary()), pa.array([root[to].tobytes()], pa.binary())], names=["block", "probe", "targets", "roots"])
+                    out.append((k, int(doc[i]), doc[to].tobytes(), root[to].tobytes()))
+                    pending += 16 * len(to) + 100
+                if pending > 1 << 20:
+                    yield packed()
+        if out:
+            yield packed()
 
     keyed = rows.withColumn("group", F.xxhash64("key", "c1", "c2"))
     return keyed.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(run, REQUESTS)
@@ -203,7 +219,14 @@ def _block(docs: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def _sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    return shingle_sets(np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), np.frombuffer(b"".join(texts), np.uint8), k)
+    """``shingle_sets`` of many texts, a bounded number of bytes at a time."""
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    values, sizes = [np.zeros(0, tk.U64)], [np.zeros(0, np.int64)]
+    for i, j in tk.slices(offsets, _PIECE // 2):
+        v, c = shingle_sets(offsets[i : j + 1] - offsets[i], np.frombuffer(b"".join(texts[i:j]), np.uint8), k)
+        values.append(v)
+        sizes.append(np.diff(c))
+    return np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
 def verify_blocks(requests: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int, blocks: int, parts: int) -> DataFrame:
@@ -211,16 +234,17 @@ def verify_blocks(requests: DataFrame, members: DataFrame, docs: DataFrame, k: i
 
     A block's documents are indexed by shingle, and a probe's shingles are counted against all of them at once, so a document that looks like
     thousands of others costs one row and one pass for each block. members: the documents that requests can name."""
-    texts = _squeezed(docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    asked = requests.join(texts.withColumnRenamed("id", "probe"), "probe").select("block", F.lit(1).alias("kind"), F.col("probe").alias("id"), "z", "targets", "roots")
+    named = docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    asked = requests.join(_squeezed(named).withColumnRenamed("id", "probe"), "probe").select("block", F.lit(1).alias("kind"), F.col("probe").alias("id"), "z", "targets", "roots")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             none = pa.nulls(batch.num_rows, pa.binary())
             block = _block(batch.column(0).to_numpy(), blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), batch.column(1), none, none], names=["block", "kind", "id", "z", "targets", "roots"])
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), pa.array([squeeze((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary()), none, none], names=["block", "kind", "id", "z", "targets", "roots"])
 
-    both = texts.mapInArrow(place, "block long, kind int, id long, z binary, targets binary, roots binary").unionByName(asked)
+    both = named.mapInArrow(place, "block long, kind int, id long, z binary, targets binary, roots binary").unionByName(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompressobj
@@ -236,11 +260,9 @@ def verify_blocks(requests: DataFrame, members: DataFrame, docs: DataFrame, k: i
                     continue
                 if index is None:
                     ids = np.array([x for x, _ in fresh], np.int64)
-                    pieces = [_sets([t for _, t in fresh[i : i + 64]], k) for i in range(0, len(fresh), 64)]
-                    sizes = np.concatenate([np.diff(c) for _, c in pieces]) if pieces else np.zeros(0, np.int64)
-                    values = np.concatenate([v for v, _ in pieces]) if pieces else np.zeros(0, tk.U64)
-                    order = np.argsort(values, kind="stable")
-                    index, fresh = (ids, sizes, values[order], np.repeat(np.arange(len(ids)), sizes)[order]), []
+                    values, cuts = _sets([t for _, t in fresh], k)
+                    sizes, order = np.diff(cuts), np.argsort(values, kind="stable")
+                    index, fresh = (ids, sizes, values[order], np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[order]), []
                 ids, sizes, values, holder = index
                 mine, _ = _sets([text], k)
                 a, b = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
@@ -286,7 +308,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     members = keep(rooted.join(open_, "key").join(reps.select(F.col("doc_id").alias("doc"), "n", "sketch", "bands"), "doc"), "open")
     own = F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")
     spread = members.withColumn("c", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("c1", F.least("c", "o")).withColumn("c2", F.greatest("c", "o"))
-    blocks = max(1, -(-members.select("doc").distinct().count() // chunk))
+    shingles = members.select("doc", "n").distinct().agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-int(shingles) // _BLOCK_SHINGLES))
     requests = keep(_unsettled(spread.select("key", "c", "c1", "c2", "doc", "root", "n", "sketch", "bands"), percent, sketch, blocks, width(spark)), "requests")
     more = keep(verify_blocks(requests, members, docs, shingle, percent, blocks, max(width(spark), blocks)), "links")
     named = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
