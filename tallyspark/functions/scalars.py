@@ -30,7 +30,7 @@ def trimmed(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (trimmed(text) == "")
+    return F.coalesce(trimmed(text), F.lit("")) == ""
 
 
 def first_text(*choices: Column) -> Column:
@@ -44,14 +44,13 @@ def first_text(*choices: Column) -> Column:
 def number(text: Column) -> Column:
     """A decimal or hexadecimal number in text as double; null for blank, infinite, NaN and anything else."""
     t = trimmed(text)
-    plain = F.when(t.rlike(_NUMBER), t.try_cast("double"))
-    digits = F.regexp_extract(t, "^0[xX]([0-9a-fA-F]{1,15})$", 1)
-    value = F.when(digits != "", F.conv(digits, 16, 10).try_cast("double")).otherwise(plain)
-    return finite(value)
+    plain = F.regexp_extract(t, _NUMBER, 0).try_cast("double")
+    hexadecimal = F.conv(F.regexp_extract(t, "^0[xX]([0-9a-fA-F]{1,15})$", 1), 16, 10).try_cast("double")
+    return finite(F.coalesce(plain, hexadecimal))
 
 
 def finite(value: Column) -> Column:
-    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    return F.when(F.abs(value) < float("inf"), value)  # NaN is above every number
 
 
 def leading_number(text: Column) -> Column:
@@ -62,16 +61,11 @@ def leading_number(text: Column) -> Column:
 def purchase_date(text: Column) -> Column:
     """YYYY-MM-DD, YYYY/MM/DD, MM/DD/YY (20YY) or "Month D, YYYY" as a date; null for other shapes and impossible days."""
     t = trimmed(text)
-    named = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-    iso, us, words = t.rlike(_ISO), t.rlike(_US), t.rlike(_NAMED)
-    part = lambda pattern, i: F.regexp_extract(t, pattern, i)
-    month = F.lpad(F.get(F.array(F.try_element_at(named, F.lower(part(_NAMED, 1)))), F.lit(0)).cast("string"), 2, "0")
-    canonical = (
-        F.when(iso, F.concat_ws("-", part(_ISO, 1), part(_ISO, 3), part(_ISO, 4)))
-        .when(us, F.concat_ws("-", F.concat(F.lit("20"), part(_US, 3)), part(_US, 1), part(_US, 2)))
-        .when(words & month.isNotNull(), F.concat_ws("-", part(_NAMED, 3), month, F.lpad(part(_NAMED, 2), 2, "0")))
-    )
-    return F.when(~canonical.startswith("0000"), canonical.try_cast("date"))
+    numeric = F.regexp_replace(F.regexp_replace(t, _ISO, "$1-$3-$4"), _US, "20$3-$1-$2")
+    names = F.create_map(*[F.lit(x) for name, n in MONTHS.items() for x in (name, f"-{n:02d}-")])
+    month = F.try_element_at(names, F.lower(F.regexp_extract(t, _NAMED, 1)))
+    named = F.concat(F.regexp_extract(t, _NAMED, 3), month, F.lpad(F.regexp_extract(t, _NAMED, 2), 2, "0"))
+    return F.try_to_date(F.regexp_replace(F.coalesce(named, numeric), "^0000", "none"), "yyyy-MM-dd")
 
 
 def date_text(date: Column) -> Column:
@@ -84,9 +78,8 @@ def date_label(text: Column, style: str = "MMMM d, yyyy") -> Column:
 
     ISO timestamps with a time are shown by their date in the session's zone; other free-form dates are not read."""
     t = trimmed(text)
-    shaped = t.rlike(_ISO) | t.rlike(_US) | t.rlike(_NAMED)
-    stamp = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), t.try_cast("timestamp"))
-    return F.when(t == "", "").otherwise(F.coalesce(F.date_format(purchase_date(t), style), F.when(~shaped, F.date_format(stamp, style)), t))
+    stamp = F.regexp_extract(t, r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}.*$", 0).try_cast("timestamp")
+    return F.coalesce(F.date_format(F.coalesce(purchase_date(text).cast("timestamp"), stamp), style), t)
 
 
 def cents(amount: Column) -> Column:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from . import receipts as R
 
-#: Largest number of candidate lines whose subsets are enumerated as column expressions; more go through the counting UDF.
-ENUMERATED = 12
+#: Largest number of candidate lines whose subsets are enumerated as column expressions; more go through the counting UDF,
+#: which needs a state for each sum instead of a step for each subset.
+ENUMERATED = 6
 MAX_ROWS, PAGE_ROWS = 30, (11, 19)
 _NOT_BOUGHT = r"(?i)\b(?:discount|coupon|adjustment)\b"
 

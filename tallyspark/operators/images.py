@@ -150,44 +150,55 @@ def corners(width: Column, height: Column, pixels: Column) -> Column:
     return F.pandas_udf(_corners, CORNERS)(width, height, pixels)
 
 
-def _ends(corners: Column) -> tuple[Column, Column, Column, Column]:
-    of = lambda f, k: f(*(corners[c][k] for c in ("tl", "tr", "br", "bl")))
-    return of(F.least, "x"), of(F.least, "y"), of(F.greatest, "x"), of(F.greatest, "y")
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def crop_rectangle(corners: Column, width: Column, height: Column) -> Column:
-    """The padded rectangle around four corners as a struct of left, top, right, bottom; null if the corners aren't convex, lie
-    outside, are too close together, or the rectangle is the whole image."""
+def _outline(corners: Column) -> Column:
+    """The corners' bounding box, and the least and largest cross product of neighbouring sides."""
     names = ("tl", "tr", "br", "bl")
+    of = lambda f, k: f(*(corners[c][k] for c in names))
     crosses = []
     for i in range(4):
         a, b, c = (corners[names[(i + k) % 4]] for k in range(3))
         crosses.append((b["x"] - a["x"]) * (c["y"] - b["y"]) - (b["y"] - a["y"]) * (c["x"] - b["x"]))
-    convex = F.greatest(*crosses) <= -1
-    convex = convex | (F.least(*crosses) >= 1)
-    left, top, right, bottom = _ends(corners)
-    inside = (left >= 0) & (top >= 0) & (right <= width) & (bottom <= height) & ((right - left) >= 2) & ((bottom - top) >= 2)
-    px, py = (right - left) * MARGIN, (bottom - top) * MARGIN
-    crop = [F.greatest(F.lit(0), F.floor(left - px)), F.greatest(F.lit(0), F.floor(top - py)), F.least(width.cast("long"), F.ceil(right + px)), F.least(height.cast("long"), F.ceil(bottom + py))]
-    return _rectangle(crop, convex & inside & (width > 1) & (height > 1), width, height)
+    return F.struct(of(F.least, "x").alias("l"), of(F.least, "y").alias("t"), of(F.greatest, "x").alias("r"), of(F.greatest, "y").alias("b"), F.least(*crosses).alias("low"), F.greatest(*crosses).alias("high"))
+
+
+def _rectangle(crop: Column, ok: Column, width: Column, height: Column) -> Column:
+    """The rectangle, null unless ``ok`` and it is a part of the image of 2 pixels a side at least."""
+    wide, high = crop["right"] - crop["left"], crop["bottom"] - crop["top"]
+    return F.when(F.coalesce(ok & ~((wide >= width) & (high >= height)) & (wide >= 2) & (high >= 2), F.lit(False)), crop)
+
+
+def _sides(left: Column, top: Column, right: Column, bottom: Column) -> Column:
+    return F.struct(*(c.cast("long").alias(n) for c, n in ((left, "left"), (top, "top"), (right, "right"), (bottom, "bottom"))))
 
 
-def _rectangle(crop: list[Column], ok: Column, width: Column, height: Column) -> Column:
-    wide, high = crop[2] - crop[0], crop[3] - crop[1]
-    part = ~((wide >= width) & (high >= height)) & (wide >= 2) & (high >= 2)
-    return F.when(F.coalesce(ok & part, F.lit(False)), F.struct(*(c.cast("long").alias(n) for c, n in zip(crop, ("left", "top", "right", "bottom")))))
+def _padded(o: Column, width: Column, height: Column) -> Column:
+    px, py = (o["r"] - o["l"]) * MARGIN, (o["b"] - o["t"]) * MARGIN
+    sure = ((o["high"] <= -1) | (o["low"] >= 1)) & (o["l"] >= 0) & (o["t"] >= 0) & (o["r"] <= width) & (o["b"] <= height) & (o["r"] - o["l"] >= 2) & (o["b"] - o["t"] >= 2) & (width > 1) & (height > 1)
+    crop = _sides(F.greatest(F.lit(0), F.floor(o["l"] - px)), F.greatest(F.lit(0), F.floor(o["t"] - py)), F.least(width.cast("long"), F.ceil(o["r"] + px)), F.least(height.cast("long"), F.ceil(o["b"] + py)))
+    return _let(crop, lambda c: _rectangle(c, sure, width, height))
+
+
+def crop_rectangle(corners: Column, width: Column, height: Column) -> Column:
+    """The padded rectangle around four corners as a struct of left, top, right, bottom; null if the corners aren't convex, lie
+    outside, are too close together, or the rectangle is the whole image."""
+    return _let(_outline(corners), lambda o: _padded(o, width, height))
 
 
 def guarded_rectangle(corners: Column, width: Column, height: Column) -> Column:
     """``crop_rectangle``, but a side with little ground left outside the paper keeps the image's edge."""
-    padded = crop_rectangle(corners, width, height)
-    left, top, right, bottom = _ends(corners)
-    zero = F.lit(0).cast("long")
-    crop = [
-        F.when(left / width <= CROPPED_MARGIN, zero).otherwise(padded["left"]), F.when(top / height <= CROPPED_MARGIN, zero).otherwise(padded["top"]),
-        F.when((width - right) / width <= CROPPED_MARGIN, width.cast("long")).otherwise(padded["right"]), F.when((height - bottom) / height <= CROPPED_MARGIN, height.cast("long")).otherwise(padded["bottom"]),
-    ]
-    return _rectangle(crop, padded.isNotNull(), width, height)
+
+    def guard(o: Column, padded: Column) -> Column:
+        edge = lambda margin, size, own, side: F.when(margin / size <= CROPPED_MARGIN, own).otherwise(padded[side])
+        zero = F.lit(0).cast("long")
+        crop = _sides(edge(o["l"], width, zero, "left"), edge(o["t"], height, zero, "top"), edge(width - o["r"], width, width.cast("long"), "right"), edge(height - o["b"], height, height.cast("long"), "bottom"))
+        return _let(crop, lambda c: _rectangle(c, padded.isNotNull(), width, height))
+
+    return _let(_outline(corners), lambda o: _let(_padded(o, width, height), lambda p: guard(o, p)))
 
 
 def auto_crop(images: DataFrame) -> DataFrame:

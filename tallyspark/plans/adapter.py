@@ -56,10 +56,10 @@ def receipts(spark: SparkSession, sf_dir: str, with_items: bool = False) -> Data
 
 
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shard documents of receipts. Every seventh receipt lacks its category; receipts of the first order of a hundred also
+    """Shard documents of receipts. Every seventh receipt lacks its category; receipts of the second order of a hundred also
     stand in the next shard, complete and under another vendor."""
     rows = receipts(spark, sf_dir).withColumn("shard", F.floor(F.col("key") / SHARD))
-    again = rows.where(F.col("key") % SHARD == 0).withColumns({"shard": F.col("shard") + 1, "vendor": F.concat(F.lit("again "), F.col("vendor"))})
+    again = rows.where(F.col("key") % SHARD == 1).withColumns({"shard": F.col("shard") + 1, "vendor": F.concat(F.lit("again "), F.col("vendor"))})
     both = rows.withColumn("category", F.when(F.col("key") % 7 == 0, "").otherwise(F.col("category"))).unionByName(again)
     meta = F.to_json(F.struct("vendor", F.col("total").alias("subtotal"), F.lit(0.0).alias("tax"), "total", "category", "purchase_date", "created_at"))
     entries = F.array_sort(F.collect_list(F.struct("key", "id", meta.alias("meta"))))

@@ -39,7 +39,7 @@ def query(sql: str | None = None, base: bool = True):
     return register
 
 
-@query(f"SELECT CAST(day AS VARCHAR) AS day, count(*) AS n, CAST(sum({_CENTS.format('total')}) AS BIGINT) AS total_cents, (SELECT count(*) FROM i WHERE FALSE) + CAST(sum(lines) AS BIGINT) AS n_items FROM r JOIN d USING (k) LEFT JOIN (SELECT k, count(*) AS lines FROM i GROUP BY k) USING (k) WHERE day BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND category IN ('1-URGENT', '2-HIGH') GROUP BY day")
+@query(f"SELECT CAST(day AS VARCHAR) AS day, count(*) AS n, CAST(sum({_CENTS.format('total')}) AS BIGINT) AS total_cents, CAST(sum(lines) AS BIGINT) AS n_items FROM r JOIN d USING (k) LEFT JOIN (SELECT k, count(*) AS lines FROM i GROUP BY k) USING (k) WHERE day BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND category IN ('1-URGENT', '2-HIGH') GROUP BY day")
 def spending_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts of a range and two categories by day: number, total, items."""
     wanted = R.ReceiptFilter("1996-01-01", "1998-12-31", ("1-URGENT", "2-HIGH"))
@@ -91,8 +91,8 @@ def display_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT id, CASE WHEN k % 700 = 0 AND k % 1400 <> 0 THEN 'again ' || vendor ELSE vendor END AS vendor, CASE WHEN k % 14 = 0 THEN 'from detail' WHEN k % 700 = 0 THEN category WHEN k % 7 = 0 THEN '' ELSE category END AS category, "
-    "'s' || CASE WHEN k % 700 = 0 AND k % 1400 <> 0 THEN k // 100 + 1 ELSE k // 100 END AS shard_doc_id, CASE WHEN k % 14 = 0 THEN 'text' ELSE '' END AS extracted_text, total FROM r"
+    "SELECT id, CASE WHEN k % 100 = 1 AND k % 7 = 0 THEN 'again ' || vendor ELSE vendor END AS vendor, CASE WHEN k % 14 = 0 THEN 'from detail' WHEN k % 7 = 0 AND k % 100 <> 1 THEN '' ELSE category END AS category, "
+    "'s' || CASE WHEN k % 100 = 1 AND k % 7 = 0 THEN k // 100 + 1 ELSE k // 100 END AS shard_doc_id, CASE WHEN k % 14 = 0 THEN 'text' ELSE '' END AS extracted_text, total FROM r"
 )
 def receipts_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards, details and duplicates resolved."""
@@ -100,7 +100,7 @@ def receipts_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "vendor", "category", "shard_doc_id", "extracted_text", "total")
 
 
-@query("SELECT id, CASE WHEN k % 7 = 0 THEN '' ELSE category END AS category, 's' || k // 100 AS shard_doc_id FROM r UNION ALL SELECT id, category, 's' || (k // 100 + 1) FROM r WHERE k % 100 = 0")
+@query("SELECT id, CASE WHEN k % 7 = 0 THEN '' ELSE category END AS category, 's' || k // 100 AS shard_doc_id FROM r UNION ALL SELECT id, category, 's' || (k // 100 + 1) FROM r WHERE k % 100 = 1")
 def shard_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.expand_shards(A.shards(spark, sf_dir)).select("id", "category", "shard_doc_id")
 
@@ -111,7 +111,7 @@ def receipt_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.find_receipt(A.shards(spark, sf_dir), A.details(spark, sf_dir), "r700").select("id", "vendor", "category")
 
 
-@query("WITH k AS (SELECT DISTINCT sh FROM (SELECT k // 100 AS sh FROM r UNION ALL SELECT k // 100 + 1 FROM r WHERE k % 100 = 0)) SELECT 's' || sh AS id, row_number() OVER (ORDER BY sh DESC) AS page FROM k")
+@query("WITH k AS (SELECT DISTINCT sh FROM (SELECT k // 100 AS sh FROM r UNION ALL SELECT k // 100 + 1 FROM r WHERE k % 100 = 1)) SELECT 's' || sh AS id, row_number() OVER (ORDER BY sh DESC) AS page FROM k")
 def shard_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.shard_pages(A.shards(spark, sf_dir)).select("id", F.col("page").cast("long").alias("page"))
 
