@@ -35,7 +35,7 @@ BANDS, ROWS = 30, 5
 #: Share of signature coordinates that two documents must agree in to be compared in the second round; bucket members a task holds.
 SKETCH, CHUNK = 0.65, 2048
 #: Shingles in a block of documents that requests are verified against, on the average.
-_BLOCK_SHINGLES = 1_000_000
+_BLOCK_SHINGLES = 4_000_000
 #: Bytes of text worked on at once.
 _PIECE = 1 << 20
 _SALTS = (tk.U64(0x2545F4914F6CDD1D), tk.U64(0x9E6C63D0876A9A47))
@@ -120,9 +120,14 @@ def _squeezed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, z binary")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets share at least ``percent`` in a hundred of their union. docs: (doc_id, text), an id once."""
-    texts = _squeezed(docs)
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, z): the compressed texts of the documents in ``ids`` (id), written once for all verification. The join is by merging at every size,
+    since both sides grow with the corpus."""
+    return keep(_squeezed(docs).join(ids.distinct().hint("merge"), "id", "left_semi"), "texts")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets share at least ``percent`` in a hundred of their union. texts: (id, z), an id once."""
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,20 +234,19 @@ def _sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
-def verify_blocks(requests: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int, blocks: int, parts: int) -> DataFrame:
+def verify_blocks(requests: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int, blocks: int, parts: int) -> DataFrame:
     """Links (a, b) among the requests, the least target of each component that a probe is linked with.
 
     A block's documents are indexed by shingle, and a probe's shingles are counted against all of them at once, so a document that looks like
     thousands of others costs one row and one pass for each block. members: the documents that requests can name."""
-    named = docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    asked = requests.join(_squeezed(named).withColumnRenamed("id", "probe"), "probe").select("block", F.lit(1).alias("kind"), F.col("probe").alias("id"), "z", "targets", "roots")
+    named = texts.join(members.select(F.col("doc").alias("id")).distinct().hint("merge"), "id", "left_semi")
+    asked = requests.join(texts.withColumnRenamed("id", "probe").hint("merge"), "probe").select("block", F.lit(1).alias("kind"), F.col("probe").alias("id"), "z", "targets", "roots")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             none = pa.nulls(batch.num_rows, pa.binary())
             block = _block(batch.column(0).to_numpy(), blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), pa.array([squeeze((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary()), none, none], names=["block", "kind", "id", "z", "targets", "roots"])
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), batch.column(1), none, none], names=["block", "kind", "id", "z", "targets", "roots"])
 
     both = named.mapInArrow(place, "block long, kind int, id long, z binary, targets binary, roots binary").unionByName(asked)
 
@@ -298,7 +302,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     shared = banded.groupBy("key").agg(F.min("doc").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
     stars = banded.join(shared, "key", "left").where("centre != doc").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct()
-    links = keep(verify(stars, docs, shingle, percent), "links")
+    stars = keep(stars, "stars")
+    texts = texts_of(docs, stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))))
+    links = keep(verify(stars, texts, shingle, percent), "links")
     roots = keep(components(links), "roots")
 
     # buckets of three and more (all pairs of smaller ones are settled) with documents of different components
@@ -311,7 +317,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     shingles = members.select("doc", "n").distinct().agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-int(shingles) // _BLOCK_SHINGLES))
     requests = keep(_unsettled(spread.select("key", "c", "c1", "c2", "doc", "root", "n", "sketch", "bands"), percent, sketch, blocks, width(spark)), "requests")
-    more = keep(verify_blocks(requests, members, docs, shingle, percent, blocks, max(width(spark), blocks)), "links")
+    more = keep(verify_blocks(requests, members, texts, shingle, percent, blocks, max(width(spark), blocks)), "links")
     named = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     merged = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
 
