@@ -27,61 +27,65 @@ class ReceiptFilter:
     vendor: str | None = None
 
 
-def complete(meta: Column, detail: Column | None = None) -> Column:
-    """Whether the six canonical fields are all there, in the metadata or (if given) in the detail."""
-    texts = [~S.is_blank(D.text_of(meta, f)) | (~S.is_blank(D.text_of(detail, f)) if detail is not None else F.lit(False)) for f in _TEXTS]
-    numbers = [D.number_of(meta, f).isNotNull() | (D.number_of(detail, f).isNotNull() if detail is not None else F.lit(False)) for f in _NUMBERS]
+def _read(rows: DataFrame, column: str, prefix: str) -> DataFrame:
+    """``rows`` with every field of a JSON column as a column of its own, read once: texts, numbers, lists, truths."""
+    rows = rows.withColumn(f"{prefix}_doc", F.try_parse_json(column))
+    doc = F.col(f"{prefix}_doc")
+    given = D.member(doc, "created_at")
+    fields = {f: D.text_of(doc, f) for f in (*_TEXTS, "invoice_id", "extracted_text", "image_url", "created_at")} | {f: D.number_of(doc, f) for f in _NUMBERS}
+    fields |= {"items": D.items_of(doc), "fields": D.fields_of(doc), "gray": D.true_of(doc, "image_grayscale"), "created_kind": D.kind_of(given), "created_number": D.number_of(doc, "created_at"), "created_true": D.true_of(doc, "created_at")}
+    return rows.select("*", *(c.alias(f"{prefix}_{n}") for n, c in fields.items())).drop(f"{prefix}_doc")
+
+
+def complete(*prefixes: str) -> Column:
+    """Whether the six canonical fields are all there, each in one of the documents read under the prefixes."""
     out = F.lit(True)
-    for c in texts + numbers:
-        out = out & F.coalesce(c, F.lit(False))
+    for f in _TEXTS:
+        out = out & ~S.is_blank(F.concat(*(F.coalesce(f"{p}_{f}", F.lit("")) for p in prefixes)))
+    for f in _NUMBERS:
+        out = out & F.coalesce(*(F.col(f"{p}_{f}") for p in prefixes)).isNotNull()
     return out
 
 
-def _created(meta: Column, detail: Column | None) -> Column:
+def _created(prefixes: tuple[str, ...]) -> Column:
     """created_at as text: the detail's if it is anything but missing, empty, zero or false, and then only if it is text."""
-    own = F.coalesce(D.text_of(meta, "created_at"), F.lit(""))
-    if detail is None:
+    own = F.coalesce("m_created_at", F.lit(""))
+    if len(prefixes) == 1:
         return own
-    given = D.member(detail, "created_at")
-    kind = D.kind_of(given)
-    truthy = F.when(kind == "STRING", D.text_of(detail, "created_at") != "").when(kind == "BOOLEAN", D.true_of(detail, "created_at")).when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"), F.coalesce(D.number_of(detail, "created_at"), F.lit(0.0)) != 0).otherwise(given.isNotNull() & (kind != "VOID"))
-    return F.when(F.coalesce(truthy, F.lit(False)), F.coalesce(D.text_of(detail, "created_at"), F.lit(""))).otherwise(own)
-
-
-def project(entries: DataFrame, with_detail: bool) -> DataFrame:
-    """Receipts from shard entries (and their joined ``data``): canonical fields from the metadata first, the rest from the detail first."""
-    rows = entries.withColumn("m", F.try_parse_json("meta"))
-    m, d = F.col("m"), None
-    if with_detail:
-        rows, d = rows.withColumn("d", F.try_parse_json("data")), F.col("d")
-    both = (m,) if d is None else (m, d)
-    text = lambda f: S.first_text(*(D.text_of(x, f) for x in both))
-    first = lambda get, f: F.coalesce(*(get(x, f) for x in both[::-1]))
-    lists = lambda get: get(m) if d is None else F.when(F.size(get(d)) > 0, get(d)).otherwise(get(m))
+    kind = F.coalesce("d_created_kind", F.lit("VOID"))
+    truthy = F.when(kind == "STRING", F.col("d_created_at") != "").when(kind == "BOOLEAN", F.col("d_created_true")).when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"), F.coalesce("d_created_number", F.lit(0.0)) != 0).otherwise(kind != "VOID")
+    return F.when(truthy, F.coalesce("d_created_at", F.lit(""))).otherwise(own)
+
+
+def project(entries: DataFrame, *prefixes: str) -> DataFrame:
+    """Receipts from read entries ("m", the metadata, and "d", the detail): canonical fields from the metadata first, the rest
+    from the detail first."""
+    col = lambda p, f: F.col(f"{p}_{f}")
+    text = lambda f: S.first_text(*(col(p, f) for p in prefixes))
+    first = lambda f: F.coalesce(*(col(p, f) for p in prefixes[::-1]))
+    lists = lambda f: col("m", f) if len(prefixes) == 1 else F.when(F.size(col("d", f)) > 0, col("d", f)).otherwise(col("m", f))
     values = {
-        "id": F.col("receipt_id"), "vendor": text("vendor"), **{n: F.coalesce(*(D.number_of(x, n) for x in both), F.lit(0.0)) for n in _NUMBERS},
-        "category": text("category"), "purchase_date": text("purchase_date"), "invoice_id": text("invoice_id"), "extracted_text": F.coalesce(first(D.text_of, "extracted_text"), F.lit("")),
-        "extracted_fields": lists(D.fields_of), "items": lists(D.items_of), "created_at": _created(m, d), "image_url": first(D.text_of, "image_url"),
-        "image_grayscale": D.true_of(m, "image_grayscale") | (D.true_of(d, "image_grayscale") if d is not None else F.lit(False)), "status": F.lit("success"), "shard_doc_id": F.col("shard_doc_id"),
+        "id": F.col("receipt_id"), "vendor": text("vendor"), **{n: F.coalesce(*(col(p, n) for p in prefixes), F.lit(0.0)) for n in _NUMBERS},
+        "category": text("category"), "purchase_date": text("purchase_date"), "invoice_id": text("invoice_id"), "extracted_text": F.coalesce(first("extracted_text"), F.lit("")),
+        "extracted_fields": lists("fields"), "items": lists("items"), "created_at": _created(prefixes), "image_url": first("image_url"),
+        "image_grayscale": col("m", "gray") if len(prefixes) == 1 else col("m", "gray") | col("d", "gray"), "status": F.lit("success"), "shard_doc_id": F.col("shard_doc_id"),
     }
-    return rows.select(*(values[c].alias(c) for c in COLUMNS), "ord", complete(m, d).alias("complete"))
+    return entries.select(*(values[c].alias(c) for c in COLUMNS), "ord", complete(*prefixes).alias("complete"))
 
 
 def expand_shards(shards: DataFrame) -> DataFrame:
     """The receipts of shards from their metadata alone, newest first by ``in_order``."""
-    return project(D.shard_entries(shards), with_detail=False).drop("complete")
+    return project(_read(D.shard_entries(shards), "meta", "m"), "m").drop("complete")
 
 
 def all_receipts(shards: DataFrame, details: DataFrame) -> DataFrame:
     """Every receipt of the shards once, with ``ord``, the place of its id's first occurrence.
 
-    Details are looked up for entries with incomplete metadata only. Of several entries of an id the first complete one
-    counts, else the last one."""
-    entries = D.shard_entries(shards).withColumn("whole", complete(F.try_parse_json("meta")))
-    lacking = entries.where(~F.col("whole")).join(details.withColumn("found", F.lit(True)), ["shard_doc_id", "receipt_id"], "left")
-    parts = [project(entries.where("whole"), False), project(lacking.where("found"), True), project(lacking.where("found is null"), False)]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return resolve_duplicates(rows)
+    Details are looked up for entries with incomplete metadata only; the others never take part in the join. Of several
+    entries of an id the first complete one counts, else the last one."""
+    entries = _read(D.shard_entries(shards), "meta", "m").withColumn("whole", complete("m"))
+    lacking = entries.where(~F.col("whole")).join(details.select("shard_doc_id", "receipt_id", "data"), ["shard_doc_id", "receipt_id"], "left")
+    return resolve_duplicates(project(entries.where("whole"), "m").unionByName(project(_read(lacking, "data", "d"), "m", "d")))
 
 
 def resolve_duplicates(rows: DataFrame) -> DataFrame:
@@ -95,8 +99,8 @@ def resolve_duplicates(rows: DataFrame) -> DataFrame:
 def find_receipt(shards: DataFrame, details: DataFrame, receipt_id: str) -> DataFrame:
     """The receipt of an id in the first shard that has it, from its detail wherever there is one; empty if no shard has it."""
     entry = D.shard_entries(shards).where(F.col("receipt_id") == receipt_id).orderBy("ord").limit(1)
-    joined = entry.join(details.where(F.col("receipt_id") == receipt_id).withColumn("found", F.lit(True)), ["shard_doc_id", "receipt_id"], "left")
-    return project(joined.where("found"), True).unionByName(project(joined.where("found is null"), False)).drop("ord", "complete")
+    joined = entry.join(details.where(F.col("receipt_id") == receipt_id).select("shard_doc_id", "receipt_id", "data"), ["shard_doc_id", "receipt_id"], "left")
+    return project(_read(_read(joined, "meta", "m"), "data", "d"), "m", "d").drop("ord", "complete")
 
 
 def in_order(receipts: DataFrame) -> DataFrame:

@@ -332,6 +332,94 @@ def number_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", "n", F.when(shown.contains("."), shown).otherwise(F.concat(shown, F.lit(".0"))).alias("text"), S.number(F.concat(F.lit(" "), F.col("t"), F.lit("\n"))).alias("value"), F.floor(S.leading_number(F.concat(F.col("t"), F.lit("kg")))).alias("lead"))
 
 
+@query("SELECT c_custkey AS k, regexp_replace(trim(regexp_replace(regexp_replace(' ' || c_name || CASE WHEN c_custkey % 3 = 0 THEN '/x:  ?' ELSE '. ' END || c_mktsegment || ' . ', '[<>:\"/\\\\|?*]', '-', 'g'), '\\s+', ' ', 'g')), '[. ]+$', '') AS name FROM customer", base=False)
+def filename_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit(" "), F.col("c_name"), F.when(F.col("c_custkey") % 3 == 0, "/x:  ?").otherwise(". "), F.col("c_mktsegment"), F.lit(" . "))
+    return A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), S.filename_part(raw, "none").alias("name"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size > 20 THEN 20 ELSE p_size END AS width, CAST(greatest(1, floor(37 * least(1.0, 20.0 / p_size) + 0.5)) AS BIGINT) AS height FROM part", base=False)
+def image_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import images as I
+
+    fit = I.fit_width(F.col("p_size").cast("double"), F.lit(37.0), 20)
+    return A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), fit.alias("f")).select("id", "f.width", "f.height")
+
+
+@query(
+    "WITH c AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x0, CAST(p_partkey % 40 AS DOUBLE) AS y0, CAST(60 + p_size AS DOUBLE) AS x1, CAST(50 + p_partkey % 50 AS DOUBLE) AS y1 FROM part), "
+    "p AS (SELECT *, greatest(0, floor(x0 - (x1 - x0) * 0.04)) AS l, greatest(0, floor(y0 - (y1 - y0) * 0.04)) AS t, least(120, ceil(x1 + (x1 - x0) * 0.04)) AS r, least(100, ceil(y1 + (y1 - y0) * 0.04)) AS b FROM c), "
+    "g AS (SELECT id, CASE WHEN x0 / 120 <= 0.06 THEN 0 ELSE l END AS l, CASE WHEN y0 / 100 <= 0.06 THEN 0 ELSE t END AS t, CASE WHEN (120 - x1) / 120 <= 0.06 THEN 120 ELSE r END AS r, CASE WHEN (100 - y1) / 100 <= 0.06 THEN 100 ELSE b END AS b FROM p WHERE NOT (r - l >= 120 AND b - t >= 100)) "
+    "SELECT id, CAST(l AS BIGINT) AS left_, CAST(t AS BIGINT) AS top_, CAST(r AS BIGINT) AS right_, CAST(b AS BIGINT) AS bottom_ FROM g WHERE NOT (r - l >= 120 AND b - t >= 100)",
+    base=False,
+)
+def crop_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The guarded crop of upright corners on a 120x100 image; whole frames have none."""
+    from ..operators import images as I
+
+    x0, y0, x1, y1 = (c.cast("double") for c in (F.col("p_size"), F.col("p_partkey") % 40, F.col("p_size") + 60, F.col("p_partkey") % 50 + 50))
+    corner = lambda x, y, n: F.struct(x.alias("x"), y.alias("y")).alias(n)
+    corners = F.struct(corner(x0, y0, "tl"), corner(x1, y0, "tr"), corner(x1, y1, "br"), corner(x0, y1, "bl"))
+    crop = I.guarded_rectangle(corners, F.lit(120.0), F.lit(100.0))
+    rows = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), crop.alias("c")).where("c is not null")
+    return rows.select("id", *(F.col(f"c.{n}").alias(f"{n}_") for n in ("left", "top", "right", "bottom")))
+
+
+@query("SELECT c_custkey AS k, 'Archived photo cleanup complete: ' || (c_custkey % 4) || ' package, ' || (c_custkey % 3) || ' opened-card, and ' || (c_custkey % 2) || ' activation receipt image' || CASE WHEN c_custkey % 2 = 1 THEN '' ELSE 's' END || ' deleted. ' || (c_custkey % 5) || ' sales receipt' || CASE WHEN c_custkey % 5 = 1 THEN '' ELSE 's' END || ' preserved.' || CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 7 = 1 THEN ' 1 image could not be deleted.' ELSE ' ' || (c_custkey % 7) || ' images could not be deleted.' END AS text FROM customer", base=False)
+def cleanup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return A.table(spark, sf_dir, "customer").select(k.alias("k"), S.cleanup_text(k % 4, k % 3, k % 2, k % 5, F.when(k % 7 > 0, k % 7)).alias("text"))
+
+
+@query("SELECT p_partkey AS place, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END + CASE WHEN p_brand = 'Brand#1' THEN 0 ELSE 1 END AS n, p_type AS kept, CAST(NULL AS VARCHAR) AS renamed FROM part", base=False)
+def category_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map with an entry put, one renamed without a description, one deleted."""
+    parts = A.table(spark, sf_dir, "part")
+    base = F.map_filter(F.create_map(F.col("p_brand"), F.col("p_type"), F.lit("old"), F.lit("text"), F.concat(F.lit("even"), F.col("p_size") % 2), F.lit("x")), lambda k, v: k != "even1")
+    edited = M.put_category(M.put_category(M.drop_category(base, "Brand#1"), "Brand#1", "", "old"), "Brand#1", " ")
+    return parts.select(F.col("p_partkey").alias("place"), F.size(edited).alias("n"), F.col("p_type").alias("kept"), F.try_element_at(edited, F.lit("Brand#1")).alias("renamed"))
+
+
+@query("SELECT id, CAST(greatest(n, 0) + 1 AS INTEGER) AS n, CASE WHEN n > 0 THEN 'edited' ELSE 'New item' END AS first, 'New item' AS last FROM (SELECT id, coalesce(c, 0) AS n FROM r LEFT JOIN (SELECT k, count(*) AS c FROM i GROUP BY k) USING (k))")
+def item_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new item at the end, the first one edited where there was one."""
+    items = F.coalesce("items", F.array().cast("array<struct<name:string,quantity:double,price:double>>"))
+    edited = F.when(F.size(items) > 0, M.replace_item(M.add_item(items), 0, " edited ", 2, 3)).otherwise(M.add_item(items))
+    return A.receipts(spark, sf_dir, True).select("id", edited.alias("e")).select("id", F.size("e").alias("n"), F.get("e", F.lit(0))["name"].alias("first"), F.element_at("e", -1)["name"].alias("last"))
+
+
+@query("SELECT c_custkey AS k, c_name AS email, c_custkey + 10 AS expires FROM customer", base=False)
+def token_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.to_json(F.struct(F.col("c_name").alias("email"), (F.col("c_custkey") + 10).alias("exp")))
+    token = F.concat(F.lit("h."), F.rtrim(F.translate(F.base64(body.cast("binary")), "+/=", "-_ ")), F.lit(".s"))
+    rows = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), D.token_payload(token, "email string, exp long").alias("p"))
+    return rows.select("k", "p.email", F.col("p.exp").alias("expires"))
+
+
+@query("SELECT id, vendor, CASE WHEN k % 5 = 0 THEN 'INV-' || k || ' edited' ELSE 'INV-' || k END AS invoice_id, CASE WHEN k % 5 = 0 THEN 12.0 ELSE total END AS total FROM r")
+def receipt_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of two fields by id; of two edits of a receipt the later one counts."""
+    rows = A.receipts(spark, sf_dir)
+    edits = rows.where("key % 5 = 0").select("id", F.lit(2).alias("ord"), F.concat("invoice_id", F.lit(" edited")).alias("invoice_id"), M.edit_value("total", "12abc")["total"].alias("total"))
+    older = edits.withColumns({"ord": F.lit(1), "total": F.lit(1.0)})
+    return M.update_by_id(rows, edits.unionByName(older)).select("id", "vendor", "invoice_id", "total")
+
+
+@query("SELECT id, vendor, category FROM r WHERE k = 3", base=True)
+def receipt_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A receipt that isn't among the visible ones, from all of them."""
+    rows = A.receipts(spark, sf_dir).select("id", "vendor", "category", "key")
+    return R.select_by_id(rows.where("key > 100"), rows, "r3").select("id", "vendor", "category")
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN length(CAST(l_partkey AS VARCHAR)) IN (4) THEN 'ok' ELSE 'no' END AS valid FROM lineitem", base=False)
+def draft_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts of cards: valid where the barcode has its 30 digits, which only four-digit parts fill here."""
+    code = F.concat(F.lit("12-34 " * 6 + "56"), F.col("l_partkey").cast("string"))
+    draft = F.array(F.struct(F.lit("f").alias("storage_path"), code.alias("activation_barcode"), F.lit("2" * 11).alias("vanilla_serial"), F.lit(" 50 ").alias("denomination")), F.struct(*(F.lit("").alias(n) for n in ("storage_path", "activation_barcode", "vanilla_serial", "denomination"))))
+    return A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.when(P.drafts_valid(draft), "ok").otherwise("no").alias("valid"))
+
+
 @query()
 def auto_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paper on a dark ground, drawn from the parts table's sizes, found and cut out."""
