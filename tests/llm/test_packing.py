@@ -48,7 +48,7 @@ def test_both_encoders_agree():
 
 @pytest.mark.parametrize("capacity", [1024, 16])
 def test_pieces_make_the_documents_again(spark, capacity):
-    rows = awkward(1) + [(6, "again"), (None, "no id")]
+    rows = awkward(1) + [(6, "again and again"), (None, "no id")]
     got = pack(clashing(documents(spark, rows)).repartition(3), encoder, capacity=capacity, with_ids=True).collect()
     ids = {(d, tuple(e.tolist() + [0])) for (d, _), e in zip(rows, byte_bpe(PATH)([t or "" for _, t in rows]))}
     docs, sequences = {}, {}
