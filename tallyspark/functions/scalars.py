@@ -24,6 +24,11 @@ _DOUBLE_STEP = 2.220446049250313e-16
 DEFAULT_RATE = 13.0
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")

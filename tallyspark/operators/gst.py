@@ -20,20 +20,24 @@ _NOT_BOUGHT = r"(?i)\b(?:discount|coupon|adjustment)\b"
 
 def bought_items(items: Column) -> Column:
     """Items with a name and positive quantity and price that are no discount, coupon or adjustment."""
-    return F.filter(items, lambda x: F.coalesce((S.finite(x["quantity"]) > 0) & (S.finite(x["price"]) > 0) & (S.trimmed(x["name"]) != "") & ~S.trimmed(x["name"]).rlike(_NOT_BOUGHT), F.lit(False)))
+    named = lambda x: S.let(S.trimmed(x["name"]), lambda n: (n != "") & ~n.rlike(_NOT_BOUGHT))
+    return F.filter(items, lambda x: F.coalesce((S.finite(x["quantity"]) > 0) & (S.finite(x["price"]) > 0) & named(x), F.lit(False)))
 
 
 def describe_items(items: Column) -> Column:
     """Items by name in any case, in order of first appearance under the first spelling, positive whole quantities added up."""
-    named = F.filter(F.transform(items, lambda x: F.struct(S.trimmed(x["name"]).alias("name"), F.lower(S.trimmed(x["name"])).alias("key"), S.positive_whole(x["quantity"]).alias("quantity"))), lambda x: x["name"] != "")
+    shaped = F.transform(items, lambda x: S.let(S.trimmed(x["name"]), lambda n: F.struct(n.alias("name"), F.lower(n).alias("key"), S.positive_whole(x["quantity"]).alias("quantity"))))
 
-    def one(key: Column) -> Column:
-        own = F.filter(named, lambda x: x["key"] == key)
+    def one(own: Column) -> Column:
         quantities = F.filter(F.transform(own, lambda x: x["quantity"]), lambda q: q.isNotNull())
-        total = F.when(F.size(quantities) > 0, F.aggregate(quantities, F.lit(0.0), lambda a, q: a + q))
-        return S.item_description(F.get(own, F.lit(0))["name"], total)
+        total = F.aggregate(quantities, F.lit(None).cast("double"), lambda a, q: F.coalesce(a, F.lit(0.0)) + q)
+        return F.concat(S.let(total, lambda t: F.when(t.isNull(), "").otherwise(F.concat(S.plain_number(t), F.lit(" × ")))), F.get(own, F.lit(0))["name"])
 
-    return F.array_join(F.transform(F.array_distinct(F.transform(named, lambda x: x["key"])), one), "; ")
+    def all_(named: Column) -> Column:
+        keys = F.array_distinct(F.transform(named, lambda x: x["key"]))
+        return F.array_join(F.transform(keys, lambda key: S.let(F.filter(named, lambda x: x["key"] == key), one)), "; ")
+
+    return S.let(F.filter(shaped, lambda x: x["name"] != ""), all_)
 
 
 def candidates(items: Column) -> Column:

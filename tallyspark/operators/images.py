@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import let
+
 ANALYSIS_MAX, MARGIN, CROPPED_MARGIN = 800, 0.04, 0.06
 CORNERS = "struct<tl:struct<x:double,y:double>,tr:struct<x:double,y:double>,br:struct<x:double,y:double>,bl:struct<x:double,y:double>,confidence:double>"
 
@@ -150,11 +152,6 @@ def corners(width: Column, height: Column, pixels: Column) -> Column:
     return F.pandas_udf(_corners, CORNERS)(width, height, pixels)
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _outline(corners: Column) -> Column:
     """The corners' bounding box, and the least and largest cross product of neighbouring sides."""
     names = ("tl", "tr", "br", "bl")
@@ -180,13 +177,13 @@ def _padded(o: Column, width: Column, height: Column) -> Column:
     px, py = (o["r"] - o["l"]) * MARGIN, (o["b"] - o["t"]) * MARGIN
     sure = ((o["high"] <= -1) | (o["low"] >= 1)) & (o["l"] >= 0) & (o["t"] >= 0) & (o["r"] <= width) & (o["b"] <= height) & (o["r"] - o["l"] >= 2) & (o["b"] - o["t"] >= 2) & (width > 1) & (height > 1)
     crop = _sides(F.greatest(F.lit(0), F.floor(o["l"] - px)), F.greatest(F.lit(0), F.floor(o["t"] - py)), F.least(width.cast("long"), F.ceil(o["r"] + px)), F.least(height.cast("long"), F.ceil(o["b"] + py)))
-    return _let(crop, lambda c: _rectangle(c, sure, width, height))
+    return let(crop, lambda c: _rectangle(c, sure, width, height))
 
 
 def crop_rectangle(corners: Column, width: Column, height: Column) -> Column:
     """The padded rectangle around four corners as a struct of left, top, right, bottom; null if the corners aren't convex, lie
     outside, are too close together, or the rectangle is the whole image."""
-    return _let(_outline(corners), lambda o: _padded(o, width, height))
+    return let(_outline(corners), lambda o: _padded(o, width, height))
 
 
 def guarded_rectangle(corners: Column, width: Column, height: Column) -> Column:
@@ -196,9 +193,9 @@ def guarded_rectangle(corners: Column, width: Column, height: Column) -> Column:
         edge = lambda margin, size, own, side: F.when(margin / size <= CROPPED_MARGIN, own).otherwise(padded[side])
         zero = F.lit(0).cast("long")
         crop = _sides(edge(o["l"], width, zero, "left"), edge(o["t"], height, zero, "top"), edge(width - o["r"], width, width.cast("long"), "right"), edge(height - o["b"], height, height.cast("long"), "bottom"))
-        return _let(crop, lambda c: _rectangle(c, padded.isNotNull(), width, height))
+        return let(crop, lambda c: _rectangle(c, padded.isNotNull(), width, height))
 
-    return _let(_outline(corners), lambda o: _let(_padded(o, width, height), lambda p: guard(o, p)))
+    return let(_outline(corners), lambda o: let(_padded(o, width, height), lambda p: guard(o, p)))
 
 
 def auto_crop(images: DataFrame) -> DataFrame:
