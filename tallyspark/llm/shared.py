@@ -17,8 +17,8 @@ _folders: dict[str, tuple[SparkSession, str]] = {}
 def prepare(spark: SparkSession) -> SparkSession:
     """Ship the package to the executors, and bound the Arrow batches that reach Python by bytes as well as rows."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     return spark
 
 
