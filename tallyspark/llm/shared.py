@@ -26,7 +26,7 @@ def base_folder(spark: SparkSession) -> str:
     """The cluster's shared folder. Only where none is set (local tests) a temporary folder takes its place."""
     base = spark.sparkContext.getConf().get(_CHECKPOINT) or spark.conf.get(_CHECKPOINT, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError(f"{_CHECKPOINT} must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tally-shared-")
         spark.conf.set(_CHECKPOINT, base)

@@ -270,3 +270,18 @@ def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
 
     whole = slices.join(anchored, "slice_id", "left").join(repeated, "slice_id", "left")
     return _asked(whole, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+
+
+#: The same in DuckDB's SQL, for windows of 50 words.
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+k AS MATERIALIZED (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS k FROM x),
+f AS (SELECT k, min(doc_id) AS f FROM k GROUP BY k),
+c AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM k JOIN f ON f.k = k.k WHERE f < doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM c GROUP BY doc_id),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+t AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.j) AS kept FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.j = p.j WHERE c.j IS NULL GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n.n_removed, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
