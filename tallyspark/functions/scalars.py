@@ -5,6 +5,7 @@ Text that is missing is the empty string, numbers that cannot be read are null.
 
 from __future__ import annotations
 
+import datetime
 import re
 from urllib.parse import quote
 
@@ -73,6 +74,23 @@ def purchase_date(text: Column) -> Column:
     return F.try_to_date(F.regexp_replace(F.coalesce(named, numeric), "^0000", "none"), "yyyy-MM-dd")
 
 
+def read_date(text: str | None) -> datetime.date | None:
+    """``purchase_date`` for a parameter, on the driver."""
+    t = re.sub(rf"^{_SPACE}+|{_SPACE}+$", "", text or "")
+    if m := re.search(_ISO, t):
+        year, month, day = int(m[1]), int(m[3]), int(m[4])
+    elif m := re.search(_US, t):
+        year, month, day = 2000 + int(m[3]), int(m[1]), int(m[2])
+    elif m := re.search(_NAMED, t):
+        year, month, day = int(m[3]), MONTHS.get(m[1].lower(), 0), int(m[2])
+    else:
+        return None
+    try:
+        return datetime.date(year, month, day)
+    except ValueError:
+        return None
+
+
 def date_text(date: Column) -> Column:
     """The date as YYYY-MM-DD, empty for null."""
     return F.coalesce(F.date_format(date, "yyyy-MM-dd"), F.lit(""))

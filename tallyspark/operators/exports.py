@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .receipts import ReceiptFilter, _read_date, filter_receipts
+from .receipts import ReceiptFilter, filter_receipts
 
 # The headers of both exports.
 RECEIPT_HEADER = ("Date", "Invoice ID", "Merchant Name", "Items Purchased", "Total GST/HST")
@@ -52,7 +52,7 @@ def image_names(receipts: DataFrame) -> DataFrame:
 
 def range_name(stem: str, extension: str, from_date: str | None = None, to_date: str | None = None) -> str:
     """A file name for a date range; a bound that can't be read counts as none."""
-    low, high = _read_date(from_date), _read_date(to_date)
+    low, high = S.read_date(from_date), S.read_date(to_date)
     part = f"-{low:%Y-%m-%d}-to-{high:%Y-%m-%d}" if low and high else f"-from-{low:%Y-%m-%d}" if low else f"-through-{high:%Y-%m-%d}" if high else ""
     return f"{stem}{part}.{extension}"
 

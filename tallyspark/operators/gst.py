@@ -14,6 +14,7 @@ from . import receipts as R
 #: Largest number of candidate lines whose subsets are enumerated as column expressions; more go through the counting UDF,
 #: which needs a state for each sum instead of a step for each subset.
 ENUMERATED = 6
+# The rows of the form and of its two pages, and the words that mark a line as no purchase.
 MAX_ROWS, PAGE_ROWS = 30, (11, 19)
 _NOT_BOUGHT = r"(?i)\b(?:discount|coupon|adjustment)\b"
 
@@ -124,7 +125,7 @@ def rebate_rows(receipts: DataFrame, from_date: str | None = None, to_date: str
     """Rows of receipts with a positive tax in the range: date, invoice_id, supplier, description, tax, tax_cents, receipt_id, status."""
     date = S.purchase_date(F.coalesce("purchase_date", F.lit("")))
     tax = S.cents(S.finite(F.col("tax")))
-    eligible = receipts.where((tax > 0) & R.date_bounds(date, from_date, to_date, receipts.sparkSession))
+    eligible = receipts.where((tax > 0) & R.date_bounds(date, from_date, to_date))
     return infer(eligible, rate_percent).select(
         S.date_text(date).alias("date"), F.coalesce("invoice_id", F.lit("")).alias("invoice_id"), F.coalesce("vendor", F.lit("")).alias("supplier"), "description",
         S.money(tax).alias("tax"), tax.alias("tax_cents"), F.col("id").alias("receipt_id"), F.col("match_status").alias("status"),

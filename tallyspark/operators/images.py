@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import let
 
+# Largest side that is analysed, padding of a crop, and the margin below which a side counts as cropped.
 ANALYSIS_MAX, MARGIN, CROPPED_MARGIN = 800, 0.04, 0.06
 CORNERS = "struct<tl:struct<x:double,y:double>,tr:struct<x:double,y:double>,br:struct<x:double,y:double>,bl:struct<x:double,y:double>,confidence:double>"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -48,21 +49,17 @@ def update_by_id(rows: DataFrame, changes: DataFrame) -> DataFrame:
 
 def edit_value(field: str, value: str) -> dict[str, Column]:
     """What an edit of a field writes; raises for a number that doesn't start a text, or an impossible date."""
-    from .receipts import _read_date
-
     if field in ("vendor", "invoice_id"):
         return {field: F.lit(value.strip())}
     if field == "category":
         return {field: F.lit(value)}
     if field in ("total", "subtotal", "tax"):
-        import re
-
         found = re.match(r"\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", value)
         if not found:
             raise ValueError(f"invalid {field}")
         return {field: F.lit(float(found[1]))}
     if field == "purchase_date":
-        day = _read_date(value)
+        day = S.read_date(value)
         if value.strip() and day is None:
             raise ValueError("invalid purchase date")
         return {field: F.lit(f"{day:%Y-%m-%d}" if day else "")}

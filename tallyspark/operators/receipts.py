@@ -12,7 +12,7 @@ from ..functions import scalars as S
 from ..sources import documents as D
 
 COLUMNS = ("id", "vendor", "subtotal", "tax", "total", "category", "purchase_date", "invoice_id", "extracted_text", "extracted_fields", "items", "created_at", "image_url", "image_grayscale", "status", "shard_doc_id")
-#: The fields that edits copy into the shard's metadata.
+# The fields that edits copy into the shard's metadata.
 MIRRORED = ("vendor", "subtotal", "tax", "total", "category", "purchase_date", "invoice_id")
 _TEXTS, _NUMBERS = ("vendor", "category", "purchase_date"), ("subtotal", "tax", "total")
 
@@ -108,42 +108,22 @@ def in_order(receipts: DataFrame) -> DataFrame:
     return receipts.orderBy(S.epoch_millis(F.col("created_at")).desc_nulls_last(), "ord")
 
 
-def date_bounds(date: Column, from_date: str | None, to_date: str | None, session) -> Column:
+def date_bounds(date: Column, from_date: str | None, to_date: str | None) -> Column:
     """Inclusive bounds on a date; a bound that can't be read asks for nothing, a row without a date fails any bound."""
     condition = F.lit(True)
     for bound, above in ((from_date, True), (to_date, False)):
-        value = _read_date(bound)
+        value = S.read_date(bound)
         if value is not None:
             condition = condition & F.coalesce(date >= F.lit(value) if above else date <= F.lit(value), F.lit(False))
     return condition
 
 
-def _read_date(text: str | None):
-    """``scalars.purchase_date`` for a parameter, on the driver."""
-    import datetime
-    import re
-
-    t = (text or "").strip().strip("\ufeff").strip()
-    if m := re.fullmatch(S._ISO[1:-1], t):
-        y, mo, d = int(m[1]), int(m[3]), int(m[4])
-    elif m := re.fullmatch(S._US[1:-1], t):
-        y, mo, d = 2000 + int(m[3]), int(m[1]), int(m[2])
-    elif m := re.fullmatch(S._NAMED[1:-1], t):
-        y, mo, d = int(m[3]), S.MONTHS.get(m[1].lower(), 0), int(m[2])
-    else:
-        return None
-    try:
-        return datetime.date(y, mo, d)
-    except ValueError:
-        return None
-
-
 def filter_receipts(receipts: DataFrame, wanted: ReceiptFilter) -> DataFrame:
     """Receipts that meet every part of the filter; categories are alternatives, the vendor a part of the name in any case.
 
     Where the table has ``purchase_day`` (the normalised date, materialised) the bounds are pushed down on it."""
     date = F.col("purchase_day") if "purchase_day" in receipts.columns else S.purchase_date(F.coalesce("purchase_date", F.lit("")))
-    condition = date_bounds(date, wanted.from_date, wanted.to_date, receipts.sparkSession)
+    condition = date_bounds(date, wanted.from_date, wanted.to_date)
     categories = sorted({c.strip() for c in wanted.categories} - {""})
     if categories:
         condition = condition & S.trimmed(F.col("category")).isin(*categories)
@@ -155,7 +135,7 @@ def filter_receipts(receipts: DataFrame, wanted: ReceiptFilter) -> DataFrame:
 
 def check_range(wanted: ReceiptFilter) -> None:
     """Refuses a range that ends before it begins."""
-    low, high = _read_date(wanted.from_date), _read_date(wanted.to_date)
+    low, high = S.read_date(wanted.from_date), S.read_date(wanted.to_date)
     if low and high and low > high:
         raise ValueError("the range ends before it begins")
 

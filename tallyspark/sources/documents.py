@@ -7,7 +7,7 @@ order in which the store returned the shards; map entries keep their order in th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -75,8 +75,6 @@ def shard_entries(shards: DataFrame) -> DataFrame:
 
 def shard_pages(shards: DataFrame) -> DataFrame:
     """Shards with their page number from 1: largest shard_index first, a missing index counts as 0, ties in scan order."""
-    from pyspark.sql import Window
-
     index = F.coalesce(S.number(F.col("shard_index").cast("string")), F.lit(0.0))
     # one row per shard document of one owner: a bounded set
     return shards.where(F.col("_schema") == "receipt_shard").withColumn("page", F.row_number().over(Window.partitionBy("owner_email").orderBy(index.desc(), "ord")))
