@@ -56,14 +56,14 @@ def _picked(lines: Column, chosen: Column) -> Column:
     return F.filter(lines, lambda x, i: F.array_contains(chosen, i))
 
 
-def _enumerate(lines: Column, low: Column, high: Column) -> tuple[Column, Column]:
-    """How many subsets have a sum within the bounds, and the places of the first."""
+def _enumerate(lines: Column, low: Column, high: Column) -> Column:
+    """How many subsets have a sum within the bounds, and the places of the first, as a struct of n and places."""
     bit = lambda mask, i: F.getbit(mask, i) == 1
-    total = lambda mask: F.aggregate(F.filter(F.transform(lines, lambda x, i: F.when(bit(mask, i), x["cents"])), lambda c: c.isNotNull()), F.lit(0).cast("long"), lambda a, c: a + c)
+    total = lambda mask: F.aggregate(F.transform(lines, lambda x, i: F.when(bit(mask, i), x["cents"]).otherwise(0)), F.lit(0).cast("long"), lambda a, c: a + c)
     masks = F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2), F.size(lines)).cast("long") - 1)
-    good = F.filter(masks, lambda m: total(m).between(low, high))
-    places = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: bit(F.get(good, F.lit(0)), i))
-    return F.size(good), places
+    good = F.filter(masks, lambda m: S.let(total(m), lambda t: t.between(low, high)))
+    places = lambda mask: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: bit(mask, i))
+    return S.let(good, lambda g: F.struct(F.size(g).alias("n"), S.let(F.get(g, F.lit(0)), places).alias("places")))
 
 
 def count_subsets(cents: list[int], low: int, high: int) -> tuple[int, list[int]]:
@@ -112,9 +112,9 @@ def infer(receipts: DataFrame, rate_percent: float | None = None, enumerated: in
     n = F.size("_lines")
     simple = rows.where(~taxed | whole | (n == 0)).withColumns({"_n": F.lit(0), "_places": F.array().cast("array<int>"), "_whole": whole})
     open_ = rows.where(taxed & ~whole & (n > 0))
-    count, places = _enumerate(F.col("_lines"), F.col("_low"), F.col("_high"))
-    small = open_.where(n <= enumerated).withColumns({"_n": count, "_places": places, "_whole": F.lit(False)})
-    large = open_.where(n > enumerated).withColumn("_r", _count_udf()(F.transform("_lines", lambda x: x["cents"]), "_low", "_high")).withColumns({"_n": F.col("_r.n"), "_places": F.col("_r.places"), "_whole": F.lit(False)}).drop("_r")
+    named = lambda rows: rows.withColumns({"_n": F.col("_r.n"), "_places": F.col("_r.places"), "_whole": F.lit(False)}).drop("_r")
+    small = named(open_.where(n <= enumerated).withColumn("_r", _enumerate(F.col("_lines"), F.col("_low"), F.col("_high"))))
+    large = named(open_.where(n > enumerated).withColumn("_r", _count_udf()(F.transform("_lines", lambda x: x["cents"]), "_low", "_high")))
     both = simple.unionByName(small).unionByName(large)
     status = F.when(F.col("_whole") | (F.col("_n") == 1), "matched").when(F.col("_n") > 1, "ambiguous").otherwise("unmatched")
     text = F.when(F.col("_whole"), describe_items(bought_items(F.col("items")))).when(F.col("_n") == 1, describe_items(_picked(F.col("_lines"), F.col("_places")))).otherwise("")
