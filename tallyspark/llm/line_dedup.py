@@ -1,9 +1,8 @@
 """Line deduplication by pairwise alignment.
 
-Overlapping documents are found through the hashes of their lines. Every document is paired with the first document that has
-one of its lines; for rare lines (in at most ``rare`` documents) also with the one before it among their holders, so that a
-line makes at most two pairs for each of its occurrences, however many documents share it. Pairs with fewer shared lines
-than a block are dropped before anything is fetched. The two line sequences of a pair are aligned by patience diff (longest
+Overlapping documents are found through the hashes of their runs of a block's length of consecutive lines. Every document is
+paired with the first document that has one of its runs, so that each block it repeats meets a document that holds it, and a
+run makes at most one pair for each of its occurrences, however many documents share it. The two line sequences of a pair are aligned by patience diff (longest
 increasing run of lines that are unique on both sides, then the gaps in the same way), and the aligned blocks are deleted from
 the later document. Documents with the same lines throughout are one class first: all but the least of a class lose every
 line, and only that one takes part in pairs.
@@ -19,9 +18,10 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .shared import keep, prepare
 
 RARE, BLOCK = 50, 2
@@ -107,13 +107,15 @@ def _sequences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_lines long, class binary, lines binary")
 
 
-def _occurrences(reps: DataFrame) -> DataFrame:
+def _occurrences(reps: DataFrame, block: int) -> DataFrame:
+    """A document's runs of ``block`` lines, each once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [np.unique(np.frombuffer(x, np.int64)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in parts]))], names=["line", "doc"])
+            parts = [np.unique(tk.windows(np.frombuffer(x, np.uint64), block)).view(np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *parts])), pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in parts]))], names=["run", "doc"])
 
-    return reps.select("doc_id", "lines").mapInArrow(run, "line long, doc long")
+    return reps.select("doc_id", "lines").mapInArrow(run, "run long, doc long")
 
 
 def _removals(pairs: DataFrame, reps: DataFrame, block: int) -> DataFrame:
@@ -141,7 +143,7 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, block: int = BLOCK, id_col: s
 
     Lines are compared without white space at their ends; blank lines are neither compared nor deleted. n_lines counts the
     lines that are not blank. An aligned block counts from ``block`` lines; a document all of whose lines are those of an earlier one
-    in the same order loses them all, however few. A null text stays null, without lines, its hash null. Everything is judged
+    in the same order loses them all, however few. ``rare`` has no part any more: blocks are found at every frequency. A null text stays null, without lines, its hash null. Everything is judged
     on the input. Rows with a null id lose nothing. Rows that repeat an id are never compared with each other; each loses what its own lines
     allow, as far as the row that stands for the id in pairs has the same lines. Columns of ``docs`` named like an added one
     give way to it; all others are passed through.
@@ -151,13 +153,9 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, block: int = BLOCK, id_col: s
     known = keep(_sequences(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))), "lines")
     first = known.where("n_lines > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
     reps = keep(known.join(first.select(F.col("rep").alias("doc_id"), F.col("class").alias("own")), "doc_id").where("class = own").drop("own").dropDuplicates(["doc_id"]), "reps")
-    held = keep(_occurrences(reps), "occurrences")
-    shared = held.groupBy("line").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
-    star = held.join(shared, "line").where("doc != first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
-    # dealt anew by another hash, so that the join before stays free to split the lines that are not rare
-    few = held.join(shared.where(F.col("docs") <= rare), "line").withColumn("deal", F.xxhash64("line")).repartition("deal")
-    before = few.withColumn("b", F.lag("doc").over(Window.partitionBy("deal", "line").orderBy("doc"))).where("b != first").select(F.col("doc").alias("a"), "b")
-    pairs = star.unionByName(before).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= block).select("a", "b")
+    held = keep(_occurrences(reps, block), "occurrences")
+    shared = held.groupBy("run").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    pairs = held.join(shared, "run").where("doc != first").select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct()
     removed = _removals(pairs, reps, block).join(reps.select("doc_id", F.col("class").alias("of")), "doc_id")
 
     names = [c for c in docs.columns if c not in ADDED]

@@ -71,3 +71,12 @@ def test_edges(spark):
     rows = [(1, "a\nb\nc"), (1, "x\ny\nz"), (None, "a\nb\nc"), (2, "a\nb\nc"), (3, "x\ny\nz"), (3, "new\na\nb")]
     got = sorted(((r["doc_id"] is not None, r["doc_id"]), r["n_removed"], r["text"]) for r in dedup_lines(documents(spark, rows)).collect())
     assert ((False, None), 0, "a\nb\nc") in got and ((True, 2), 3, "") in got and ((True, 1), 0, "a\nb\nc") in got and ((True, 1), 0, "x\ny\nz") in got
+
+
+def test_each_repeated_block_meets_a_holder(spark):
+    """A holder of one line only, or other first holders of its lines, come before a block's holder."""
+    rows = [(1, "L1"), (2, "L1\nL2"), (3, "L1"), (4, "x\nL1\nL2\ny")]
+    rows += [(10, "A1\nz"), (11, "w\nA2"), (12, "A1\nA2\nv")] + [(20 + i, f"A1\nn{i}\nA2\nm{i}") for i in range(60)] + [(90, "u\nA1\nA2")]
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in dedup_lines(documents(spark, rows)).collect()}
+    assert got[4] == (2, "x\ny") and got[90] == (2, "u")
+    assert {i for i, v in got.items() if v[0]} == {3, 4, 90}
