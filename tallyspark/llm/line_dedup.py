@@ -3,8 +3,9 @@
 Overlapping documents are found through the hashes of their runs of a block's length of consecutive lines. Every document is
 paired with the first document that has one of its runs, so that each block it repeats meets a document that holds it, and a
 run makes at most one pair for each of its occurrences, however many documents share it. The two line sequences of a pair are aligned by patience diff (longest
-increasing run of lines that are unique on both sides, then the gaps in the same way), and the aligned blocks are deleted from
-the later document. Documents with the same lines throughout are one class first: all but the least of a class lose every
+increasing run of lines that are unique on both sides, then the gaps in the same way); what is left of the later document is
+matched against the runs of the earlier one, for passages that it repeats more than once or in another order. The blocks
+found are deleted from the later document. Documents with the same lines throughout are one class first: all but the least of a class lose every
 line, and only that one takes part in pairs.
 """
 
@@ -85,14 +86,35 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: Sequence, b: Sequence, least: int) -> list[tuple[int, int, int]]:
-    """Aligned blocks of at least ``least`` lines: start in a, start in b, length."""
+    """Blocks of at least ``least`` lines of a that b has: start in a, start in b, length. First the aligned ones, then the
+    runs of a that no alignment reaches."""
     blocks: list[list[int]] = []
     for i, j in patience(a, b):
         if blocks and blocks[-1][0] + blocks[-1][2] == i and blocks[-1][1] + blocks[-1][2] == j:
             blocks[-1][2] += 1
         else:
             blocks.append([i, j, 1])
-    return [tuple(x) for x in blocks if x[2] >= least]
+    out = [tuple(x) for x in blocks if x[2] >= least]
+    gone = bytearray(len(a))
+    for i, _, n in out:
+        gone[i : i + n] = b"\1" * n
+    starts: dict[tuple, int] = {}
+    if not all(gone):
+        for j in range(len(b) - least + 1):
+            starts.setdefault(tuple(b[j : j + least]), j)
+    i = 0
+    while starts and i + least <= len(a):
+        j = None if all(gone[i : i + least]) else starts.get(tuple(a[i : i + least]))
+        if j is None:
+            i += 1
+            continue
+        n = least
+        while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+            n += 1
+        out.append((i, j, n))
+        gone[i : i + n] = b"\1" * n
+        i += n - least + 1
+    return out
 
 
 def _sequences(docs: DataFrame) -> DataFrame:
@@ -142,7 +164,7 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, block: int = BLOCK, id_col: s
     """``docs`` with the deleted lines gone from its text, and n_lines, n_removed and kept_sha256 (of the new text) added.
 
     Lines are compared without white space at their ends; blank lines are neither compared nor deleted. n_lines counts the
-    lines that are not blank. An aligned block counts from ``block`` lines; a document all of whose lines are those of an earlier one
+    lines that are not blank. A block that an earlier document has, wherever and however often it stands, counts from ``block`` lines; a document all of whose lines are those of an earlier one
     in the same order loses them all, however few. ``rare`` has no part any more: blocks are found at every frequency. A null text stays null, without lines, its hash null. Everything is judged
     on the input. Rows with a null id lose nothing. Rows that repeat an id are never compared with each other; each loses what its own lines
     allow, as far as the row that stands for the id in pairs has the same lines. Columns of ``docs`` named like an added one

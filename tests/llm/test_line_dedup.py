@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from corpora import awkward, clashing, documents
 from hypothesis import given, settings
@@ -80,3 +81,36 @@ def test_each_repeated_block_meets_a_holder(spark):
     got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in dedup_lines(documents(spark, rows)).collect()}
     assert got[4] == (2, "x\ny") and got[90] == (2, "u")
     assert {i for i, v in got.items() if v[0]} == {3, 4, 90}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=20), st.lists(st.integers(0, 5), max_size=20), st.integers(1, 3))
+def test_blocks_hold_every_common_run(a, b, least):
+    blocks, runs = common_blocks(a, b, least), {tuple(b[j : j + least]) for j in range(len(b) - least + 1)}
+    assert all(a[i : i + n] == b[j : j + n] and n >= least for i, j, n in blocks)
+    common = {x for i in range(len(a) - least + 1) if tuple(a[i : i + least]) in runs for x in range(i, i + least)}
+    assert common == {x for i, _, n in blocks for x in range(i, i + n)}
+
+
+def every_pair(rows, block):
+    """Lines removed of each document if it is aligned with all earlier ones."""
+    strip = {d: [x.strip() for x in (t or "").split("\n") if x.strip()] for d, t in rows}
+    out = {}
+    for d in strip:
+        gone = set()
+        for p in strip:
+            if p < d and strip[p] == strip[d]:
+                gone |= set(range(len(strip[d])))
+            elif p < d:
+                gone |= {x for i, _, n in common_blocks(strip[d], strip[p], block) for x in range(i, i + n)}
+        out[d] = len(gone)
+    return out
+
+
+def test_against_alignment_of_all_pairs(spark):
+    rows = [(1001, "X\nL1\nL2\nW"), (1002, "Y\nL1\nL2\nZ\nL1\nL2\nV"), (1003, "p\nq\nr\ns"), (1004, "r\ns\np\nq"), (1005, "new\nr\ns\np\nq")]
+    rng = random.Random(3)
+    rows += [(1100 + i, "\n".join(f"line {rng.randrange(30)}" for _ in range(rng.randint(1, 12)))) for i in range(150)]
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in dedup_lines(documents(spark, rows + awkward(5))).collect()}
+    assert got[1002] == (4, "Y\nZ\nV") and got[1004] == (4, "") and got[1005] == (4, "new")
+    assert {d: v[0] for d, v in got.items()} == every_pair(rows + awkward(5), 2)
