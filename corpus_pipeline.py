@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm.decontaminate import find_contamination
-from tallyspark.llm.line_dedup import dedup_lines
+from tallyspark.llm.line_dedup import ALONE, dedup_lines
 from tallyspark.llm.minhash import near_duplicates
 from tallyspark.llm.packing import pack
 from tallyspark.llm.quality import filter_by_importance
@@ -24,8 +24,8 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the line blocks that earlier documents have; those left without any line go."""
-    found = dedup_lines(docs)
+    """Documents without the line blocks, and lines of many words, that earlier documents have; those left without any line go."""
+    found = dedup_lines(docs, alone=ALONE)
     left = found.where("n_removed = 0 or n_removed < n_lines")
     return left.select(*(F.char_length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns))
 

@@ -5,7 +5,8 @@ paired with the first document that has one of its runs, so that each block it r
 run makes at most one pair for each of its occurrences, however many documents share it. The two line sequences of a pair are aligned by patience diff (longest
 increasing run of lines that are unique on both sides, then the gaps in the same way); what is left of the later document is
 matched against the runs of the earlier one, for passages that it repeats more than once or in another order. The blocks
-found are deleted from the later document. Documents with the same lines throughout are one class first: all but the least of a class lose every
+found are deleted from the later document. If asked for, a line of enough words is a block of its own; the lowest bit of a
+line's hash tells such lines. Documents with the same lines throughout are one class first: all but the least of a class lose every
 line, and only that one takes part in pairs.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from . import textkit as tk
 from .shared import keep, prepare
 
 RARE, BLOCK = 50, 2
+#: Words from which the queries take a line for a block of its own.
+ALONE = 50
 ADDED = ("n_lines", "n_removed", "kept_sha256")
 
 
@@ -35,8 +38,9 @@ def lines_of(text: str | None) -> tuple[list[str], list[int]]:
     return lines, [i for i, x in enumerate(lines) if x.strip()]
 
 
-def _hash(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.strip().encode())
+def _hash(line: str, alone: int | None) -> int:
+    """The lowest bit is set for a line of at least ``alone`` words."""
+    return xxhash.xxh3_64_intdigest(line.strip().encode()) & ~1 | (alone is not None and len(line.split()) >= alone)
 
 
 def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
@@ -85,9 +89,9 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: Sequence, b: Sequence, least: int) -> list[tuple[int, int, int]]:
+def common_blocks(a: Sequence, b: Sequence, least: int, alone: Callable[[object], bool] | None = None) -> list[tuple[int, int, int]]:
     """Blocks of at least ``least`` lines of a that b has: start in a, start in b, length. First the aligned ones, then the
-    runs of a that no alignment reaches."""
+    runs of a that no alignment reaches, then single lines for which ``alone`` holds."""
     blocks: list[list[int]] = []
     for i, j in patience(a, b):
         if blocks and blocks[-1][0] + blocks[-1][2] == i and blocks[-1][1] + blocks[-1][2] == j:
@@ -114,27 +118,31 @@ def common_blocks(a: Sequence, b: Sequence, least: int) -> list[tuple[int, int,
         out.append((i, j, n))
         gone[i : i + n] = b"\1" * n
         i += n - least + 1
+    if alone and not all(gone):
+        places = {b[j]: j for j in range(len(b) - 1, -1, -1) if alone(b[j])}
+        out += [(i, places[x], 1) for i, x in enumerate(a) if not gone[i] and x in places]
     return out
 
 
-def _sequences(docs: DataFrame) -> DataFrame:
+def _sequences(docs: DataFrame, alone: int | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = []
             for text in batch.column(1).to_pylist():
                 all_, full = lines_of(text)
-                lines.append(np.array([_hash(all_[i]) for i in full], np.uint64).tobytes())
+                lines.append(np.array([_hash(all_[i], alone) for i in full], np.uint64).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 8 for x in lines]), pa.array([hashlib.md5(x).digest() for x in lines], pa.binary()), pa.array(lines, pa.binary())], names=["doc_id", "n_lines", "class", "lines"])
 
     return docs.mapInArrow(run, "doc_id long, n_lines long, class binary, lines binary")
 
 
 def _occurrences(reps: DataFrame, block: int) -> DataFrame:
-    """A document's runs of ``block`` lines, each once."""
+    """A document's runs of ``block`` lines and its lines that are blocks alone, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [np.unique(tk.windows(np.frombuffer(x, np.uint64), block)).view(np.int64) for x in batch.column(1).to_pylist()]
+            hashes = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            parts = [np.unique(np.concatenate([tk.windows(x, block), x[(x & tk.U64(1)) == 1]])).view(np.int64) for x in hashes]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *parts])), pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in parts]))], names=["run", "doc"])
 
     return reps.select("doc_id", "lines").mapInArrow(run, "run long, doc long")
@@ -150,7 +158,7 @@ def _removals(pairs: DataFrame, reps: DataFrame, block: int) -> DataFrame:
             for doc, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 later, earlier = np.frombuffer(x, np.uint64).tolist(), np.frombuffer(y, np.uint64).tolist()
                 gone = np.zeros(len(later), bool)
-                for i, _, n in common_blocks(later, earlier, block):
+                for i, _, n in common_blocks(later, earlier, block, lambda x: x & 1):
                     gone[i : i + n] = True
                 if gone.any():
                     docs.append(doc)
@@ -160,11 +168,12 @@ def _removals(pairs: DataFrame, reps: DataFrame, block: int) -> DataFrame:
     return both.select("a", "la", "lb").mapInArrow(run, "doc_id long, mask binary").groupBy("doc_id").agg(F.collect_list("mask").alias("masks"))
 
 
-def dedup_lines(docs: DataFrame, rare: int = RARE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, rare: int = RARE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", alone: int | None = None) -> DataFrame:
     """``docs`` with the deleted lines gone from its text, and n_lines, n_removed and kept_sha256 (of the new text) added.
 
     Lines are compared without white space at their ends; blank lines are neither compared nor deleted. n_lines counts the
-    lines that are not blank. A block that an earlier document has, wherever and however often it stands, counts from ``block`` lines; a document all of whose lines are those of an earlier one
+    lines that are not blank. A block that an earlier document has, wherever and however often it stands, counts from ``block`` lines, and a
+    single line if it has at least ``alone`` words (None: never); a document all of whose lines are those of an earlier one
     in the same order loses them all, however few. ``rare`` has no part any more: blocks are found at every frequency. A null text stays null, without lines, its hash null. Everything is judged
     on the input. Rows with a null id lose nothing. Rows that repeat an id are never compared with each other; each loses what its own lines
     allow, as far as the row that stands for the id in pairs has the same lines. Columns of ``docs`` named like an added one
@@ -172,7 +181,7 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, block: int = BLOCK, id_col: s
     """
     prepare(docs.sparkSession)
     text = F.col(text_col).cast("string")
-    known = keep(_sequences(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))), "lines")
+    known = keep(_sequences(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")), alone), "lines")
     first = known.where("n_lines > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
     reps = keep(known.join(first.select(F.col("rep").alias("doc_id"), F.col("class").alias("own")), "doc_id").where("class = own").drop("own").dropDuplicates(["doc_id"]), "reps")
     held = keep(_occurrences(reps, block), "occurrences")
@@ -194,7 +203,7 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, block: int = BLOCK, id_col: s
                 lines, full = lines_of(value)
                 drop = np.zeros(len(full), bool)
                 if full and (copied or masks):
-                    own = hashlib.md5(np.array([_hash(lines[i]) for i in full], np.uint64).tobytes()).digest()
+                    own = hashlib.md5(np.array([_hash(lines[i], alone) for i in full], np.uint64).tobytes()).digest()
                     if own in (copied or ()):
                         drop[:] = True
                     elif own == of:

@@ -34,9 +34,9 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .line_dedup import dedup_lines
+    from .line_dedup import ALONE, dedup_lines
 
-    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+    return dedup_lines(_table(spark, sf_dir, "documents"), alone=ALONE).select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,3 +114,12 @@ def test_against_alignment_of_all_pairs(spark):
     got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in dedup_lines(documents(spark, rows + awkward(5))).collect()}
     assert got[1002] == (4, "Y\nZ\nV") and got[1004] == (4, "") and got[1005] == (4, "new")
     assert {d: v[0] for d, v in got.items()} == every_pair(rows + awkward(5), 2)
+
+
+def test_long_lines_are_blocks_alone(spark):
+    passage, short = " ".join(f"word{i}" for i in range(50)), " ".join(f"word{i}" for i in range(49))
+    rows = [(1, f"a\n{passage}\nb\n{short}"), (2, f"c\n {passage} \nd\n{short}\n{passage}"), (3, f"{passage}\ne")]
+    removed = lambda **x: {r["doc_id"]: (r["n_removed"], r["text"]) for r in dedup_lines(documents(spark, rows), **x).collect()}
+    got = removed(alone=50)
+    assert got[1][0] == 0 and got[2] == (2, f"c\nd\n{short}") and got[3] == (1, "e")
+    assert not any(v[0] for v in removed().values())
