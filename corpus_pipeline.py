@@ -18,8 +18,8 @@ from tallyspark.llm.shared import keep
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance sample keeps; the labels' low-quality share goes."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("good"))
+    """Documents that the importance sample keeps; the labels' low-quality share goes, and documents with toxic words."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("good"), "toxic")
     return filter_by_importance(docs, labels)
 
 

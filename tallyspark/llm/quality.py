@@ -9,6 +9,10 @@ the seed, so a task that runs again draws the same.
 n-grams: one and two consecutive tokens, a token being a run of letters, digits and non-ASCII bytes (lower-cased) or a run of
 punctuation; and one and two consecutive token shapes (kind, capitals, digits, length of punctuation, repeats the token of the
 same kind before it), which see shouting, symbol noise and repetition whatever the words.
+
+Toxicity sits in single words, which a sum over a document's length drowns. So it is judged apart, word by word: of the labelled
+documents that hold a word, the share of toxic ones has a beta posterior, and a word is toxic if its lower bound exceeds one half. A
+document with such a word has no part in the target: its weight is minus infinity.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from .shared import keep, prepare
 BUCKETS, SHAPES = 1 << 15, 1 << 12
 #: Labelled good documents the target model is fitted on at most: those with the least hashed ids.
 LABELLED = 20_000
+#: Buckets for the words of the toxicity judgement, the weight of its prior in documents, and the bound's deviations.
+WORDS, PRIOR, DEVIATIONS = 1 << 20, 2.0, 1.645
 _PIECE = 1 << 20
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[48 + i for i in range(10)] + [65 + i for i in range(26)] + [97 + i for i in range(26)] + list(range(128, 256))] = 1
@@ -88,6 +94,48 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             yield ids[a:b], offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
 
 
+def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of all documents, each once for a document, and each word's document (by position)."""
+    start, end, kind, first = _runs(offsets, data)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[kind == 1]
+    start, end, low = start[kind == 1], end[kind == 1], tk.LOWER[data]
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(data) + 1, tk.U64)
+        np.cumsum(tk._BYTES[low] * tk.powers(tk.BYTE_BASE, len(data))[: len(data)], dtype=tk.U64, out=total[1:])
+        token = tk.mix((total[end] - total[start]) * tk.powers(tk.inverse(tk.BYTE_BASE), max(len(data), 1))[start])
+    each = np.unique(doc * WORDS + (token % tk.U64(WORDS)).astype(np.int64))
+    return each % WORDS, each // WORDS
+
+
+def toxic_words(docs: DataFrame, known: DataFrame, labelled: int) -> np.ndarray:
+    """The numbers of the toxic words, ascending. known: (doc_id, toxic), of which at most ``labelled`` of either kind are read. The
+    driver gets one row for each word that a toxic document holds."""
+    some = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled) for t in (0, 1)]
+    marked = docs.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("toxic", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, seen = np.zeros((2, WORDS), np.int64), np.zeros(2, np.int64)
+        for toxic, offsets, data in _pieces(batches):
+            word, doc = words(offsets, data)
+            for t in (0, 1):
+                totals[t] += np.bincount(word[toxic[doc] == t], minlength=WORDS)
+                seen[t] += np.count_nonzero(toxic == t)
+        held = np.flatnonzero(totals.any(axis=0))
+        columns = [np.append(held, -1), np.append(totals[0][held], seen[0]), np.append(totals[1][held], seen[1])]
+        yield from tk.rebatch(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["word", "fine", "toxic"])]))
+
+    counted = marked.mapInArrow(count, "word long, fine long, toxic long").groupBy("word").agg(F.sum("fine").alias("fine"), F.sum("toxic").alias("toxic")).where("toxic > 0")
+    rows = np.array([(r["word"], r["fine"], r["toxic"]) for r in counted.collect()], np.int64).reshape(-1, 3)
+    whole = rows[rows[:, 0] < 0][:, 1:].sum(axis=0)
+    rows = rows[rows[:, 0] >= 0]
+    if not len(rows):
+        return np.zeros(0, np.int64)
+    base = whole[1] / whole.sum()
+    a, b = rows[:, 2] + PRIOR * base, rows[:, 1] + PRIOR * (1 - base)
+    bound = a / (a + b) - DEVIATIONS * np.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
+    return np.sort(rows[bound > 0.5, 0])
+
+
 def log_ratio(docs: DataFrame, good_ids: np.ndarray, alpha: float = 1.0) -> np.ndarray:
     """The log ratio of both models for every feature. docs: (doc_id, text). The driver gets one row for each feature."""
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(good_ids))
@@ -112,22 +160,25 @@ def log_ratio(docs: DataFrame, good_ids: np.ndarray, alpha: float = 1.0) -> np.n
     return out
 
 
-def _weigh(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, ratio: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _weigh(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, ratio: np.ndarray, toxic: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     feature, doc = features(offsets, data)
     weight = np.bincount(doc, ratio[feature], len(ids)) if len(doc) else np.zeros(len(ids))
+    if len(toxic):
+        word, doc = words(offsets, data)
+        weight[doc[toxic[np.searchsorted(toxic, word) % len(toxic)] == word]] = -np.inf
     uniform = ((tk.mix(ids.view(tk.U64) ^ tk.mix(np.array([seed], tk.U64))) >> tk.U64(11)).astype(float) + 0.5) / (1 << 53)
     return weight, weight - np.log(-np.log(uniform))
 
 
-def log_weights(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
+def log_weights(docs: DataFrame, ratio: np.ndarray, toxic: np.ndarray, seed: int) -> DataFrame:
     """(doc_id, log_weight, score): score is the weight with its Gumbel noise."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    shared = docs.sparkSession.sparkContext.broadcast((ratio, toxic))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weights, scores = [], []
             for ids, offsets, data in _pieces(iter([batch])):
-                weight, score = _weigh(ids, offsets, data, shared.value, seed)
+                weight, score = _weigh(ids, offsets, data, *shared.value, seed)
                 weights.append(weight)
                 scores.append(score)
             if weights:
@@ -160,17 +211,22 @@ def kth_largest(scores: DataFrame, k: int, column: str = "score", few: int = 10_
             return float(low)
 
 
-def _model(docs: DataFrame, labels: DataFrame, share: float | None, seed: int, labelled: int) -> tuple[DataFrame, np.ndarray, float]:
-    """The scores of docs (doc_id, text), the features' log ratios, and the least score that is kept."""
-    known = labels.where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
+def _model(docs: DataFrame, labels: DataFrame, share: float | None, seed: int, labelled: int) -> tuple[DataFrame, np.ndarray, np.ndarray, float]:
+    """The scores of docs (doc_id, text), the features' log ratios, the toxic words, and the least score that is kept."""
+    known, toxic = labels.where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min("good").alias("good")), np.zeros(0, np.int64)
+    if "toxic" in labels.columns:
+        flags = keep(labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic")), "toxic")
+        toxic = toxic_words(docs, flags, labelled)
+        known = known.join(flags.where("toxic = 1"), "doc_id", "left_anti")
     if share is None:
         found = known.agg(F.avg(F.col("good").cast("double"))).first()[0]
         share = 1.0 if found is None else float(found)
     picked = known.where("good = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()
     good = np.array([r[0] for r in picked], np.int64)
     ratio = log_ratio(docs, good) if len(good) else np.zeros(FAMILIES[-1])
-    scores = keep(log_weights(docs, ratio, seed), "scores")
-    return scores, ratio, kth_largest(scores, round(share * scores.count()))
+    scores = keep(log_weights(docs, ratio, toxic, seed), "scores")
+    among = scores.where(F.col("score") > F.lit(float("-inf")))
+    return scores, ratio, toxic, kth_largest(among, round(share * among.count()))
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -183,11 +239,13 @@ def select_by_importance(docs: DataFrame, labels: DataFrame, share: float | None
     ``labels`` holds (doc_id, good) with good 0 or 1 (nulls don't count; an id is good if all its labels are). ``share`` of the
     documents is kept, the labels' share of good documents if not given; exactly round(share * rows), but for documents whose score ties
     with the last one kept, which stay as well. Null and empty texts have log weight 0. Without good labels every weight is
-    0 and the sample is uniform; without any label everything is kept. Rows with a null id share one draw of noise. An empty
+    0 and the sample is uniform; without any label everything is kept. With a column ``toxic`` (0 or 1; an id is toxic if one of its
+    labels is) toxic documents count neither as good nor in the share, and documents with a toxic word, whose weight and
+    score are minus infinity, are never kept; rows are then those without one. Rows with a null id share one draw of noise. An empty
     table gives an empty result. Other columns play no part.
     """
     prepare(docs.sparkSession)
-    scores, _, cut = _model(_plain(docs, id_col, text_col), labels, share, seed, labelled)
+    scores, _, _, cut = _model(_plain(docs, id_col, text_col), labels, share, seed, labelled)
     return scores.withColumn("kept", F.col("score") >= F.lit(cut))
 
 
@@ -195,13 +253,13 @@ def filter_by_importance(docs: DataFrame, labels: DataFrame, share: float | None
     """The rows of ``docs`` that ``select_by_importance`` keeps, all columns as they are. Rows are scored where they stand a
     second time, so no text is shuffled."""
     prepare(docs.sparkSession)
-    _, ratio, cut = _model(_plain(docs, id_col, text_col), labels, share, seed, labelled)
-    shared, names = docs.sparkSession.sparkContext.broadcast(ratio), docs.columns
+    _, ratio, toxic, cut = _model(_plain(docs, id_col, text_col), labels, share, seed, labelled)
+    shared, names = docs.sparkSession.sparkContext.broadcast((ratio, toxic)), docs.columns
     at, text = names.index(id_col), names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [score for piece in _pieces(iter([pa.RecordBatch.from_arrays([batch.column(at).cast(pa.int64()), batch.column(text).cast(pa.string())], names=["doc_id", "text"])])) for score in _weigh(*piece, shared.value, seed)[1]]
+            scores = [score for piece in _pieces(iter([pa.RecordBatch.from_arrays([batch.column(at).cast(pa.int64()), batch.column(text).cast(pa.string())], names=["doc_id", "text"])])) for score in _weigh(*piece, *shared.value, seed)[1]]
             yield batch.filter(pa.array(np.array(scores) >= cut)) if scores else batch
 
     return docs.mapInArrow(run, docs.schema)

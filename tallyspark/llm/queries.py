@@ -56,7 +56,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import select_by_importance
 
-    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"), "toxic")
     return select_by_importance(_table(spark, sf_dir, "documents"), labels)
 
 

@@ -48,3 +48,28 @@ def test_held_out_labels(spark):
     odd = found.join(labels.where("doc_id % 2 = 1"), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
     kept = {r["quality"]: r["kept"] for r in odd}
     assert kept[1] > 0.98 and kept[0] < 0.1
+
+
+def test_toxic_words(spark):
+    """One insult in a long text decides; toxic labels leave the target and the share."""
+    rng = random.Random(4)
+    prose = lambda: " ".join(rng.choice(("ordinary", "words", "make", "up", "plain", "prose", "here")) for _ in range(300))
+    rows = [(i, prose() + (" you Idiot! " if i % 6 == 0 else " ") + prose()) for i in range(300)] + [(300, None), (301, ""), (None, "an idiot")]
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(0, 300, 2)] + [(1, 1, None), (None, 1, 1)], "doc_id long, good int, toxic int")
+    found = Q.select_by_importance(documents(spark, rows), labels).collect()
+    assert {r["doc_id"] for r in found if not r["kept"]} == {None, *range(0, 300, 6)} and len(found) == 303
+    assert {r["doc_id"] for r in found if r["log_weight"] == float("-inf")} == {None, *range(0, 300, 6)}
+    assert {r["doc_id"] for r in Q.filter_by_importance(documents(spark, rows), labels).collect()} == {r["doc_id"] for r in found if r["kept"]}
+    assert Q.select_by_importance(documents(spark, rows).limit(0), labels).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_held_out_toxic_labels(spark):
+    """Fitted on the labels of even ids: English toxic documents of odd ids are rejected, clean ones stay."""
+    d = "/root/testdata/sf0.1"
+    labels, docs = spark.read.parquet(f"{d}/labels.parquet"), spark.read.parquet(f"{d}/documents.parquet")
+    found = Q.select_by_importance(docs, labels.where("doc_id % 2 = 0").select("doc_id", F.col("quality").alias("good"), "toxic"))
+    odd = found.join(labels.where("doc_id % 2 = 1 and quality = 1"), "doc_id").join(docs.select("doc_id", F.expr("lang = 'en'").alias("english")), "doc_id")
+    kept = {(r["toxic"], r["english"]): (r["kept"], r["n"]) for r in odd.groupBy("toxic", "english").agg(F.avg(F.col("kept").cast("double")).alias("kept"), F.count("*").alias("n")).collect()}
+    clean = [kept[0, e] for e in (True, False)]
+    assert kept[1, True][0] < 0.1 and kept[1, False][0] < 0.5 and sum(r * n for r, n in clean) / sum(n for _, n in clean) > 0.98
