@@ -2,7 +2,8 @@
 
 First pass: every page's containers are scored (text that is not links, in blocks of its own, with hints from tag and class
 names), and the page votes for the generalised path of its best one: the tags from the body down, with class names whose
-digits are blotted out. Votes are counted by host in Spark. Second pass: a page is cut at the element that has its host's
+digits are blotted out. An article, main or content element around the best one stands for it if what else it holds is mostly not
+links. Votes are counted by host in Spark. Second pass: a page is cut at the elements that have its host's
 winning path, so that one odd page follows the other pages of its host; a page without such an element, or a host without a
 majority, falls back on the page's own best container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments inside the container are left out.
@@ -47,11 +48,11 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "out", "parent", "text", "links", "blocks", "hint", "inner")
+    __slots__ = ("tag", "path", "out", "parent", "text", "links", "blocks", "hint", "inner", "kept", "kept_links")
 
     def __init__(self, tag: str, path: str, out: bool, parent: Node | None, hint: float):
         self.tag, self.path, self.out, self.parent, self.hint = tag, path, out, parent, hint
-        self.text = self.links = self.blocks = self.inner = 0.0
+        self.text = self.links = self.blocks = self.inner = self.kept = self.kept_links = 0.0
 
 
 def _open(tag: str, attrs: str, parent: Node | None) -> Node:
@@ -89,11 +90,15 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             if text:
                 node = stack[-1]
                 blocks.append((node, text))
+                out = node.out
                 while node.tag not in _CONTAINER and node.parent:  # a block counts for the container around it
                     node = node.parent
                 node.text += len(text)
                 node.links += min(len(text), linked)
                 node.blocks += 1
+                if not out:
+                    node.kept += len(text)
+                    node.kept_links += min(len(text), linked)
             words, linked, size = [], 0, 0
 
     while at < n:
@@ -151,8 +156,12 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
 
 
 def _score(nodes: list[Node]) -> None:
-    """inner: what a container's own blocks are worth, with a part of what its children hold."""
+    """inner: what a container's own blocks are worth, with a part of what its children hold. kept and kept_links become those of
+    all that stands in an element and is not left out."""
     for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.kept += node.kept
+            node.parent.kept_links += node.kept_links
         if node.tag in _CONTAINER and not node.out:
             node.inner += max(0.0, node.text - 2 * node.links) * node.hint
             above = node.parent
@@ -162,24 +171,38 @@ def _score(nodes: list[Node]) -> None:
             node.parent.inner += node.inner
 
 
+def _best(usable: list[Node]) -> Node:
+    """The best container, or the outermost article, main or content element around it whose other text is mostly not links."""
+    best = up = max(usable, key=lambda x: x.inner)
+    while (up := up.parent) is not None:
+        if up.tag in _CONTAINER and up.tag != "body" and not up.out and up.hint > 1 and up.kept - best.kept >= 2 * (up.kept_links - best.kept_links):
+            best = up
+    return best
+
+
 def best_container(page: str) -> tuple[str, float]:
     """The generalised path of the best container and its score; an empty path for a page without text."""
     _, nodes = parse(page)
     _score(nodes)
-    best = max((x for x in nodes if x.tag in _CONTAINER and not x.out), key=lambda x: x.inner, default=None)
+    usable = [x for x in nodes if x.tag in _CONTAINER and not x.out]
+    best = _best(usable) if any(x.inner > 0 for x in usable) else None
     return (best.path, best.inner) if best is not None and best.inner > 0 else ("", 0.0)
 
 
 def extract(page: str, path: str | None) -> str:
-    """The main text of a page whose host's articles stand at ``path`` (None: by the page's own best container)."""
+    """The main text of a page whose host's articles stand at ``path`` (None: by the page's own best container): of all elements
+    with that path."""
     blocks, nodes = parse(page)
     _score(nodes)
     usable = [x for x in nodes if x.tag in _CONTAINER and not x.out]
-    fits = [x for x in usable if path and x.path == path and x.inner > 0] or usable
-    if not fits:
+    if not usable:
         return ""
-    top = max(fits, key=lambda x: x.inner)
-    inside: dict[int, bool] = {id(top): True}
+    tops = [x for x in usable if path and x.path == path and x.inner > 0]
+    if not tops:
+        best = _best(usable)
+        tops = [x for x in usable if x is best or x.path == best.path and x.inner > 0]
+    ends = {id(x) for x in tops}
+    inside: dict[int, bool] = dict.fromkeys(ends, True)
 
     def within(node: Node | None) -> bool:
         seen = []
@@ -194,7 +217,7 @@ def extract(page: str, path: str | None) -> str:
     def heading(node: Node) -> bool:
         """Inside a header element only headings belong to the article."""
         up, is_heading = node, False
-        while up is not None and up is not top:
+        while up is not None and id(up) not in ends:
             is_heading = is_heading or up.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
             if up.tag == "header":
                 return is_heading

@@ -42,3 +42,16 @@ def test_paths_and_votes(spark):
         assert texts[0] == TEXT and texts[5] == "Short." and texts[6].startswith("This is the larger part") and texts[7] == TEXT and texts[8] == ""
         assert all(len(r[3]) == r[2] for r in got) and {r[3] for r in got if r[0] == 9} == {"", TEXT}
     assert extract_main_text(table.limit(0)).count() == 0
+
+
+def test_articles_in_several_containers(spark):
+    long, short = "A long part of the article. " * 40, "A shorter part of it. " * 15
+    parts = page(f"<main><article><h1>Title</h1><section><p>{long}</p></section><section><p>{short}</p></section></article></main>")
+    whole = f"Title\n{long.strip()}\n{short.strip()}"
+    assert extract(parts, None) == whole and extract(parts, best_container(parts)[0]) == whole
+    divs = page(f"<div class='part'><p>{long}</p></div><div class='part'><p>{short}</p></div>")
+    assert extract(divs, "body/div.part") == extract(divs, None) == f"{long.strip()}\n{short.strip()}"
+    links = page(f"<main><article><p>{long}</p></article><div>{'<p><a href=x>Another headline</a></p>' * 20}</div></main>")
+    assert extract(links, None) == long.strip()
+    table = spark.createDataFrame([(i, "http://a.org/x", parts) for i in range(3)], PAGES)
+    assert {(r["text"], r["path"]) for r in extract_main_text(table).collect()} == {(whole, "body/main")}
