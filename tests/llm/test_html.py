@@ -1,6 +1,9 @@
+import time
+
+import pytest
 from corpora import clashing
 
-from tallyspark.llm.html_extract import best_container, extract, extract_main_text
+from tallyspark.llm.html_extract import attributes, best_container, extract, extract_main_text
 
 PAGES = "page_id long, url string, html string"
 BODY = "<p>First   paragraph &amp; more text that is long enough to matter for scores.</p><p>Second&nbsp;one,<br>with a break and <a href='x'>a link</a> in it, long enough as well.</p>"
@@ -36,8 +39,8 @@ def test_paths_and_votes(spark):
     assert best_container(usual)[0] == "body/div.p#.post"
     rows = [(i, "http://a.org/x", usual) for i in range(5)] + [(5, "http://A.org/y", odd), (6, "http://b.org/", odd), (7, None, usual), (8, "http://a.org/", None), (9, "http://a.org/", ""), (9, "http://a.org/", usual)]
     table = clashing(spark.createDataFrame(rows, PAGES)).repartition(3)
-    for hosts in (50_000, 0):  # broadcast, and the join that stands in for it
-        got = {(r["page_id"], r["url"], r["n_chars"], r["text"]) for r in extract_main_text(table, broadcast_hosts=hosts).collect()}
+    for size in (1 << 20, 0):  # broadcast, and the join that stands in for it
+        got = {(r["page_id"], r["url"], r["n_chars"], r["text"]) for r in extract_main_text(table, broadcast_bytes=size).collect()}
         texts = {r[0]: r[3] for r in got if r[0] != 9}
         assert texts[0] == TEXT and texts[5] == "Short." and texts[6].startswith("This is the larger part") and texts[7] == TEXT and texts[8] == ""
         assert all(len(r[3]) == r[2] for r in got) and {r[3] for r in got if r[0] == 9} == {"", TEXT}
@@ -55,3 +58,55 @@ def test_articles_in_several_containers(spark):
     assert extract(links, None) == long.strip()
     table = spark.createDataFrame([(i, "http://a.org/x", parts) for i in range(3)], PAGES)
     assert {(r["text"], r["path"]) for r in extract_main_text(table).collect()} == {(whole, "body/main")}
+
+
+@pytest.mark.parametrize("start", ['<article style="overflow:hidden">', '<article title="the hidden valley">', '<article data-hidden="false">', '<article data-id="share-7">', '<article class="overflow-hidden">', '<main class="content with-sidebar">', '<article class="long-form">', "<div class='layout sidebar-left'><article>", "<form id='page'><div>", "<div role='dialog'><div>", "<article class='comments-open' id=content/>"])
+def test_marks_that_do_not_make_a_page_empty(start):
+    assert extract(page(start + BODY), None) == TEXT
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot", "site-footer", "navBar", "comment-list", "sidebar_left", "cookie-notice", "sr-only", "related", "share-buttons", "newsletter-box", "x sponsored y"])
+def test_names_of_what_is_left_out(name):
+    inner = f"<article>{BODY}<div class='{name}'>Not the article.</div><div id='{name}'>Nor this.</div></article>"
+    assert extract(page(inner), None) == TEXT if " " not in name else extract(page(inner), None) == f"{TEXT}\nNor this."
+
+
+def test_elements_that_end_early_or_never():
+    for odd in ("<svg/>", "<iframe/>", "<svg>", "<iframe src=x>", "<textarea>", "<object data=x>", "<select>", "<noscript>", "<title>", "<canvas/>"):
+        assert extract(page(f"<article><p>Lead words</p>{odd}{BODY}</article>"), None) == f"Lead words\n{TEXT}", odd
+    assert extract(page(f"<article><p>Lead <svg><title>no</title><p>no</p></svg>words</p>{BODY}<object><p>no</p></object></article>"), None) == f"Lead words\n{TEXT}"
+    assert extract("<p title=\"a > b\" class=x/>one<p data-x='</p>' id=a>two", None) == "one\ntwo"
+    assert extract("<p>&#000065;&#99999999999999999999;&#xD800;&bogus; a &lt b</p>", None) == "A\ufffd\ufffd&bogus; a < b"
+    assert attributes(" a=1 B = 'x>y' c=\"\" d e=u/v a=2/") == {"a": "1", "b": "x>y", "c": "", "d": "", "e": "u/v"}
+
+
+def test_the_headline_and_lead_beside_the_article():
+    top = f"<h1>Title</h1><div class='ad'>Buy</div><p class='teaser'>The lead.</p><div class='content'>{BODY}</div>"
+    for around in ("{}", "<div class='wrap'>{}</div>"):
+        text = page(around.format(top))
+        assert extract(text, None) == extract(text, best_container(text)[0]) == f"Title\nThe lead.\n{TEXT}"
+    assert extract(page(f"<header><h1>Site</h1></header><p>Stray.</p><div class='content'>{BODY}</div>"), None) == TEXT
+
+
+def test_names_never_judge_the_winning_path(spark):
+    """The path that a host's pages vote for holds on a page where the same names would say otherwise."""
+    usual, odd = page(f"<div class='post share'><h1>T</h1>{BODY}</div>"), page(f"<div class='post share'>{BODY}</div><div><p>{'A longer other part. ' * 30}</p></div>")
+    table = spark.createDataFrame([(i, "http://a.org/x", usual) for i in range(3)] + [(3, "http://a.org/y", odd)], PAGES)
+    got = {r["page_id"]: (r["text"], r["path"]) for r in extract_main_text(table).collect()}
+    assert got[0] == (f"T\n{TEXT}", "body/div.post.share") and got[3] == (TEXT, "body/div.post.share")
+
+
+HOSTILE = {"quotes": '<p "', "raw": "<textarea x", "raw ends": "<textarea x>", "stray ends": "<div><li></p>", "quoted ends": "<p \">\"'>' ", "never ends": "<p a=\">\" b='>' c=\"", "deep": "<div>x", "items": "<ul><li>x", "tables": "<table><tr><td>", "comments": "<!--", "less": "<", "muted": "<svg><div>", "headers": "<header><h1>a<div>", "blanks": "<div a " + " " * 40}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_reading_is_linear(name):
+    def seconds(size):
+        text, best = HOSTILE[name] * (size // len(HOSTILE[name])), 1e9
+        for _ in range(2):
+            began = time.process_time()
+            extract(text, "body/div/div")
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert seconds(400_000) < 0.25 + 14 * seconds(50_000)  # eight times the text; the square would be 64 times
