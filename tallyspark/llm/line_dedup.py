@@ -1,13 +1,14 @@
 """Line deduplication by pairwise alignment.
 
-Overlapping documents are found through the hashes of their runs of a block's length of consecutive lines. Every document is
-paired with the first document that has one of its runs, so that each block it repeats meets a document that holds it, and a
-run makes at most one pair for each of its occurrences, however many documents share it. The two line sequences of a pair are aligned by patience diff (longest
-increasing run of lines that are unique on both sides, then the gaps in the same way); what is left of the later document is
-matched against the runs of the earlier one, for passages that it repeats more than once or in another order. The blocks
-found are deleted from the later document. If asked for, a line of enough words is a block of its own; the lowest bit of a
+Overlapping documents are found through the hashes of their lines, taken in runs of a block's length, since a single common line makes
+no block. Every document is paired with the first document that has one of its runs. That makes at most one pair for an
+occurrence of a run, however many documents share it, and loses nothing against aligning all pairs: a line goes if it lies in a run
+that some earlier document has, and the run's first holder is such a document. The two line sequences of a pair are aligned by
+patience diff (longest increasing run of lines that are unique on both sides, then the gaps in the same way); what is left of the
+later document is matched against the runs of the earlier one, for passages that it repeats more than once or in another order. The
+blocks found are deleted from the later document. If asked for, a line of enough words is a block of its own; the lowest bit of a
 line's hash tells such lines. Documents with the same lines throughout are one class first: all but the least of a class lose every
-line, and only that one takes part in pairs.
+line, and only that one takes part in pairs. Lines are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .shared import keep, prepare
 
-RARE, BLOCK = 50, 2
+BLOCK = 2
 #: Words from which the queries take a line for a block of its own.
 ALONE = 50
 ADDED = ("n_lines", "n_removed", "kept_sha256")
@@ -168,13 +169,13 @@ def _removals(pairs: DataFrame, reps: DataFrame, block: int) -> DataFrame:
     return both.select("a", "la", "lb").mapInArrow(run, "doc_id long, mask binary").groupBy("doc_id").agg(F.collect_list("mask").alias("masks"))
 
 
-def dedup_lines(docs: DataFrame, rare: int = RARE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", alone: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", alone: int | None = None) -> DataFrame:
     """``docs`` with the deleted lines gone from its text, and n_lines, n_removed and kept_sha256 (of the new text) added.
 
     Lines are compared without white space at their ends; blank lines are neither compared nor deleted. n_lines counts the
     lines that are not blank. A block that an earlier document has, wherever and however often it stands, counts from ``block`` lines, and a
     single line if it has at least ``alone`` words (None: never); a document all of whose lines are those of an earlier one
-    in the same order loses them all, however few. ``rare`` has no part any more: blocks are found at every frequency. A null text stays null, without lines, its hash null. Everything is judged
+    in the same order loses them all, however few. A null text stays null, without lines, its hash null. Everything is judged
     on the input. Rows with a null id lose nothing. Rows that repeat an id are never compared with each other; each loses what its own lines
     allow, as far as the row that stands for the id in pairs has the same lines. Columns of ``docs`` named like an added one
     give way to it; all others are passed through.
@@ -185,7 +186,8 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, block: int = BLOCK, id_col: s
     first = known.where("n_lines > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
     reps = keep(known.join(first.select(F.col("rep").alias("doc_id"), F.col("class").alias("own")), "doc_id").where("class = own").drop("own").dropDuplicates(["doc_id"]), "reps")
     held = keep(_occurrences(reps, block), "occurrences")
-    shared = held.groupBy("run").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    # written apart from the join, so that adaptive execution can split a run that a great share of all documents has
+    shared = keep(held.groupBy("run").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("docs")).where("docs > 1").drop("docs"), "shared")
     pairs = held.join(shared, "run").where("doc != first").select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct()
     removed = _removals(pairs, reps, block).join(reps.select("doc_id", F.col("class").alias("of")), "doc_id")
 
@@ -223,3 +225,26 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, block: int = BLOCK, id_col: s
     kinds = dict(docs.dtypes) | {text_col: "string"}
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", n_lines long, n_removed long, kept_sha256 string"
     return rows.join(facts, "__id", "left").select(*names, "__masks", "__of", "__copied").mapInArrow(run, schema)
+
+
+#: The same in DuckDB's SQL, for blocks of 2 lines, or of one line of 50 words.
+SQL = r"""
+WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, i, l[i] AS line, regexp_replace(l[i], '^[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g') AS s
+      FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM raw)),
+f AS MATERIALIZED (SELECT doc_id, i, s, lead(i) OVER o AS next_i, lead(s) OVER o AS next_s, len(string_split_regex(s, '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')) AS n
+      FROM p WHERE s <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT s, next_s, min(doc_id) AS first FROM f WHERE next_i IS NOT NULL GROUP BY s, next_s),
+alone AS (SELECT s, min(doc_id) AS first FROM f WHERE n >= 50 GROUP BY s),
+whole AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY i) AS t FROM f GROUP BY doc_id),
+copy AS (SELECT doc_id FROM whole JOIN (SELECT t, min(doc_id) AS first FROM whole GROUP BY t) USING (t) WHERE first < doc_id),
+gone AS (SELECT doc_id, i FROM f JOIN runs USING (s, next_s) WHERE first < doc_id
+         UNION SELECT doc_id, next_i FROM f JOIN runs USING (s, next_s) WHERE first < doc_id
+         UNION SELECT doc_id, i FROM f JOIN alone USING (s) WHERE n >= 50 AND first < doc_id
+         UNION SELECT doc_id, i FROM f JOIN copy USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM p ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n_lines FROM f GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept.t, '')) END AS kept_sha256
+FROM documents d LEFT JOIN counts ON counts.doc_id = d.doc_id LEFT JOIN lost ON lost.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
