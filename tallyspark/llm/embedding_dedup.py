@@ -6,8 +6,10 @@ product of the suffix norms, which rides along as one more dimension of the same
 reaches the threshold go on to more dimensions, and the pairs that are left are settled on the unrotated vectors in double
 precision. Blocks whose ranges on the first axis are too far apart for the threshold are never brought together.
 
-Equal vectors are one class with a multiplicity before any comparison. Tasks compare pairs of blocks of bounded size and give
-back a number of links and a local root for each vector, never the pairs.
+Equal vectors are one class with a multiplicity before any comparison. Vectors are dealt into blocks by their place on the first
+axis; a range in which more stand than a block takes, however equal their places, is dealt on by hash. Blocks are written once to
+the shared folder, so the shuffle is as large as the table; a task reads one block and, one after the other, a few of those in
+its reach, and gives back a number of links and a local root for each vector, never the pairs.
 """
 
 from __future__ import annotations
@@ -17,14 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .graph import components
-from .shared import keep, prepare, width
+from .shared import file_system, keep, new_folder, prepare, width
 
-BLOCK, TILE = 4096, 1024
+#: Vectors in a block, rows in a tile of the matrix product, and blocks that a task compares one block with.
+BLOCK, TILE, RUN = 4096, 1024, 16
 #: Dimensions after which a pair's bound is looked at.
 STEPS = (16, 32)
 
@@ -106,6 +111,10 @@ def _compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, s
                 yield p[alive], q[alive]
 
 
+def _selector(path: str) -> fs.FileSelector:
+    return fs.FileSelector(path, allow_not_found=True)
+
+
 def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
@@ -113,8 +122,9 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     is linked with directly, copies included; component_id is the least vec_id that links reach; kept: it is the vector's own.
     Null, empty, zero vectors and those with null or non-finite components link with nothing. A vector shorter than the
     longest is taken with zeros behind it. Rows with a null id are left out; rows that repeat an id are vectors of their own.
-    Other columns play no part. Work grows with the square of the number of distinct vectors on overlapping ranges of the
-    first axis; memory of a task with ``block`` alone.
+    Other columns play no part. Comparisons, and bytes read from the shared folder, grow with the square of the number of distinct
+    vectors on overlapping ranges of the first axis; bytes shuffled in proportion to the table. A task holds two blocks, of about ``block`` vectors
+    each whatever the vectors are.
     """
     spark = prepare(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null")
@@ -124,54 +134,59 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     reps = keep(unit.where("unit is not null").groupBy("class").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit")), "vectors")
     axes = _axes(reps, size)
     axis, count = np.ascontiguousarray(axes[:, 0]), reps.count()
-    blocks = max(1, -(-count // block))
+    bins = max(1, -(-count // block))
 
     def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist())).reshape(-1, size) @ axis)], names=["x"])
 
-    cuts = np.array(reps.select("unit").mapInArrow(along, "x double").approxQuantile("x", [k / blocks for k in range(1, blocks)], 0.1 / blocks) if blocks > 1 else [])
+    cuts = np.unique(reps.select("unit").mapInArrow(along, "x double").approxQuantile("x", [k / bins for k in range(1, bins)], 0.1 / bins) if bins > 1 else [])
     gap = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
     low, high = np.append(-np.inf, cuts), np.append(cuts, np.inf)
-    reach = [(int(np.searchsorted(high, low[k] - gap)), int(np.searchsorted(low, high[k] + gap, "right")) - 1) for k in range(blocks)]
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, copies = (batch.column(k).to_numpy() for k in (0, 1))
-            x = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(-1, size)
-            mine = np.searchsorted(cuts, x @ axis, "right")
-            out: list[tuple] = []
-            for k in np.unique(mine).tolist():
-                at = np.flatnonzero(mine == k)
-                packed = (ids[at].tobytes(), copies[at].tobytes(), x[at].tobytes())
-                out += [(min(k, o) * blocks + max(k, o), k, *packed) for o in range(reach[k][0], reach[k][1] + 1)]
-            for r in out:
-                yield pa.RecordBatch.from_arrays([pa.array([c]) for c in r], names=["pair", "block", "ids", "copies", "units"])
+            x = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(-1, size) @ axis
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, x, "right")), *batch.columns], names=["bin", "rep", "copies", "unit"])
+
+    placed = keep(reps.select("rep", "copies", "unit").mapInArrow(place, "bin long, rep long, copies long, unit binary"), "placed")
+    # blocks are numbered in the order of the first axis: a bin has as many as it needs
+    parts = {r["bin"]: -(-r["count"] // block) for r in placed.groupBy("bin").count().collect()}
+    first = np.concatenate([[0], np.cumsum([parts.get(b, 0) for b in range(len(low))])]).tolist()
+    reach = [first[int(np.searchsorted(low, high[b] + gap, "right"))] for b in range(len(low))]  # the block after the last in reach
+    numbers = spark.createDataFrame([(b, n, first[b]) for b, n in sorted(parts.items())], "bin long, parts long, start long")
+    dealt = placed.join(numbers, "bin").select((F.col("start") + F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block"), "rep", "copies", "unit")
+    folder, blocks = new_folder(spark, "blocks"), first[-1]
+    dealt.repartition(max(width(spark), min(20_000, blocks)), "block").sortWithinPartitions("block").write.partitionBy("block").option("compression", "zstd").parquet(folder)
+
+    def load(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        system, path = file_system(f"{folder}/block={k}")
+        tables = [pq.read_table(x.path, filesystem=system, partitioning=None) for x in system.get_file_info(_selector(path)) if x.path.endswith(".parquet")]
+        table = pa.concat_tables(tables) if tables else pa.table({"rep": pa.array([], pa.int64()), "copies": pa.array([], pa.int64()), "unit": pa.array([], pa.binary())})
+        return table["rep"].to_numpy(), table["copies"].to_numpy(), np.frombuffer(b"".join(table["unit"].to_pylist())).reshape(-1, size)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pair, table in tk.groups(batches, "pair"):
-            i, j = divmod(int(pair), blocks)
-            sides = []
-            for k in (i,) if i == j else (i, j):
-                of = [r for r in table.to_pylist() if r["block"] == k]
-                sides.append((np.frombuffer(b"".join(r["ids"] for r in of), np.int64), np.frombuffer(b"".join(r["copies"] for r in of), np.int64), np.frombuffer(b"".join(r["units"] for r in of)).reshape(-1, size)))
-            if not all(len(s[0]) for s in sides):
-                continue
-            a, b = sides[0], sides[-1]
-            ids, copies = (a[0], a[1]) if i == j else (np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]))
-            shift = 0 if i == j else len(a[0])
-            links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
-            for p, q in _compare(a[2], b[2], axes, threshold, i == j):
-                q = q + shift
-                np.add.at(links, p, copies[q])
-                np.add.at(links, q, copies[p])
-                _hook(parent, p, q)
-            some = np.flatnonzero(links)
-            yield from tk.rebatch(iter([pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[parent[some]])], names=["rep", "links", "root"])]))
-
-    dealt = reps.select("rep", "copies", "unit").mapInArrow(deal, "pair long, block long, ids binary, copies binary, units binary")
-    parts = max(width(spark), min(20_000, blocks * (blocks + 1) // 2))
-    found = keep(dealt.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(compare, "rep long, links long, root long"), "links")
+        for batch in batches:
+            for i, start, stop in zip(*(c.to_pylist() for c in batch.columns)):
+                a = load(i)
+                for j in range(start, stop):
+                    b = a if i == j else load(j)
+                    ids, copies = (a[0], a[1]) if i == j else (np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]))
+                    shift = 0 if i == j else len(a[0])
+                    links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
+                    for p, q in _compare(a[2], b[2], axes, threshold, i == j):
+                        q = q + shift
+                        np.add.at(links, p, copies[q])
+                        np.add.at(links, q, copies[p])
+                        _hook(parent, p, q)
+                    some = np.flatnonzero(links)
+                    yield from tk.rebatch(iter([pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[parent[some]])], names=["rep", "links", "root"])]))
+
+    ends = [(k, reach[b]) for b in sorted(parts) for k in range(first[b], first[b + 1])]
+    runs = spark.createDataFrame(ends, "i long, stop long").select("i", F.explode(F.sequence("i", F.col("stop") - 1, F.lit(RUN))).alias("start"), "stop")
+    runs = runs.select("i", "start", F.least("stop", F.col("start") + RUN).alias("stop"))
+    tasks = max(width(spark), min(20_000, sum(-(-(stop - k) // RUN) for k, stop in ends)))
+    found = keep(runs.repartition(tasks, "i", "start").mapInArrow(compare, "rep long, links long, root long"), "links")
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     classes = reps.select("class", "rep", "copies").join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(roots, "rep", "left")
     classes = classes.select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "rep").alias("root"))

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
@@ -41,6 +42,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system for a folder or file of the shared folder, and the path in it."""
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:/") else f"file://{uri}")
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete an intermediate that nothing reads any more."""
     jvm = spark.sparkContext._jvm

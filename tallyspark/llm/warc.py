@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import keep, new_folder, prepare, width
+from .shared import file_system, forget, keep, new_folder, prepare, width
 
 HEADERS = "row long, file string, offset long, length long, page_id long, uri string, record_type string, digest string, payload_bytes long, record_id string, date string, refers_to long"
 RECORDS = "page_id long, uri string, record_type string, payload_digest string, payload_bytes long, refers_to long, record_id string, refers_to_record string, payload binary"
@@ -35,10 +35,6 @@ _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAME = re.compile(rb"^([!#$%&'*+\-.^_`|~0-9A-Za-z]+):[ \t]*(.*?)[ \t]*\r?$", re.M)
 
 
-def _at(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:/") else f"file://{uri}")
-
-
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -47,7 +43,7 @@ class Writer:
     """Appends records to archives of a folder; ``written`` says where each one went."""
 
     def __init__(self, folder: str, name: str):
-        self.fs, self.folder = _at(folder)
+        self.fs, self.folder = file_system(folder)
         self.uri, self.name, self.number, self.file, self.place = folder, name, 0, None, 0
         self.fs.create_dir(self.folder, recursive=True)
 
@@ -77,11 +73,11 @@ def _record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(repr(parts).encode()).digest(), version=4)}>"
 
 
-def _token() -> tuple[int, str]:
+def _token(prefix: str = "") -> tuple[int, str]:
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId()
-    return number, f"part-{number:05d}-{uuid.uuid4().hex[:12]}"
+    return number, f"{prefix}part-{number:05d}-{uuid.uuid4().hex[:12]}"
 
 
 def write_archives(pages: DataFrame, folder: str, date: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -128,19 +124,19 @@ def resolve_revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def write_deduplicated(resolved: DataFrame, folder: str, date: str) -> DataFrame:
+def write_deduplicated(resolved: DataFrame, folder: str, date: str, token: str = "fresh") -> DataFrame:
     """New archives with fresh headers, payloads only in responses; returns the table of their headers."""
     files = resolved.select("file").distinct().count()
     names = ["row", "file", "offset", "length", "page_id", "uri", "digest", "payload_bytes", "record_type", "o_page", "o_uri", "o_date", "o_row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, name = _token()
+        _, name = _token(f"{token}-")
         writer, source, now = Writer(folder, name), None, None
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 if r["file"] != now:
-                    system, path = _at(r["file"])
+                    system, path = file_system(r["file"])
                     source, now = system.open_input_file(path), r["file"]
                 identity = _record_id("fresh", r["row"])
                 headers = [("WARC-Type", r["record_type"]), ("WARC-Record-ID", identity), ("WARC-Date", date), ("WARC-Target-URI", r["uri"]), ("WARC-Payload-Digest", f"sha1:{r['digest']}"), ("Content-Type", "application/http; msgtype=response")]
@@ -170,7 +166,7 @@ def split_record(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _members(uri: str) -> Iterator[bytes]:
-    system, path = _at(uri)
+    system, path = file_system(uri)
     with system.open_input_stream(path, compression=None) as source:
         open_, parts = zlib.decompressobj(31), []
         data = source.read(1 << 20)
@@ -220,12 +216,26 @@ def archive_and_deduplicate(pages: DataFrame, min_bytes: int = 0, date: str = "2
     in the shared folder if not given) and returns their files' names in a table (file).
 
     A null html is an empty payload; empty payloads are payloads like others, unless ``min_bytes`` is above 0. A null url is
-    archived under a URN of the page. Repeated rows are records of their own. An empty table gives no archive. Other columns
-    play no part."""
+    archived under a URN of the page. A null page_id has no header of its own and is read back as null; it is smaller than any other, and what
+    revisits such a record refers to null. Repeated rows are records of their own. An empty table gives no archive. Other columns
+    play no part. Archives that failed or repeated attempts left in ``folder`` are deleted at the end, and the first archives with them."""
     spark = prepare(pages.sparkSession)
-    headers = write_archives(pages, new_folder(spark, "archives"), date)
-    fresh = write_deduplicated(resolve_revisits(headers, min_bytes), folder or new_folder(spark, "deduplicated"), fresh_date)
-    return keep(fresh.select("file").distinct(), "files")
+    source, target = new_folder(spark, "archives"), folder or new_folder(spark, "deduplicated")
+    headers = write_archives(pages, source, date)
+    token = uuid.uuid4().hex[:8]
+    fresh = write_deduplicated(resolve_revisits(headers, min_bytes), target, fresh_date, token)
+    files = keep(fresh.select("file").distinct(), "files")
+    forget(spark, source)
+    _tidy(target, token, {r["file"].rpartition("/")[2] for r in files.toLocalIterator()})
+    return files
+
+
+def _tidy(folder: str, token: str, named: set[str]) -> None:
+    """Delete what a call with this token wrote to ``folder`` and no header names. The driver holds one name for each archive."""
+    system, path = file_system(folder)
+    for x in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if x.is_file and x.base_name.startswith(f"{token}-part-") and x.base_name not in named:
+            system.delete_file(x.path)
 
 
 SQL = r"""
