@@ -19,14 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .graph import components
-from .shared import file_system, keep, new_folder, prepare, width
+from .shared import keep, new_folder, prepare, read_part, width
 
 #: Vectors in a block, rows in a tile of the matrix product, and blocks that a task compares one block with.
 BLOCK, TILE, RUN = 4096, 1024, 16
@@ -111,10 +109,6 @@ def _compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, s
                 yield p[alive], q[alive]
 
 
-def _selector(path: str) -> fs.FileSelector:
-    return fs.FileSelector(path, allow_not_found=True)
-
-
 def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
@@ -160,9 +154,9 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     dealt.repartition(max(width(spark), min(20_000, blocks)), "block").sortWithinPartitions("block").write.partitionBy("block").option("compression", "zstd").parquet(folder)
 
     def load(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        system, path = file_system(f"{folder}/block={k}")
-        tables = [pq.read_table(x.path, filesystem=system, partitioning=None) for x in system.get_file_info(_selector(path)) if x.path.endswith(".parquet")]
-        table = pa.concat_tables(tables) if tables else pa.table({"rep": pa.array([], pa.int64()), "copies": pa.array([], pa.int64()), "unit": pa.array([], pa.binary())})
+        table = read_part(f"{folder}/block={k}", ["rep", "copies", "unit"])
+        if table is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, size))
         return table["rep"].to_numpy(), table["copies"].to_numpy(), np.frombuffer(b"".join(table["unit"].to_pylist())).reshape(-1, size)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

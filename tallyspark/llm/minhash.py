@@ -10,10 +10,11 @@ before that. In the first round every document of a band's bucket is verified ag
 bucket of any size makes as many pairs as it has members. In the second round, only buckets that still hold documents of
 different components are taken up again: members of different components whose signatures agree in enough coordinates
 (``sketch``; so low that a pair at the threshold fails it about as seldom as it misses all bands) are verified. Large buckets are
-cut into chunks for that, and what is left to verify goes out as requests of one document against a block of others, not as
-pairs. Documents of one component need no more comparison.
+cut into chunks for that, which tasks read two by two from the shared folder, and what is left to verify goes out as requests of one
+document against a block of others, not as pairs. Documents of one component need no more comparison.
 
-Verification counts shingles on the full sets; no link rests on signatures.
+Verification counts shingles on the full sets, by their 64-bit hashes; no link between different sets rests on signatures. Sets count as equal if
+their sizes and two independent 64-bit sums agree (chance agreement of any two of n sets: n**2 / 2**129).
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .graph import components
-from .shared import keep, prepare, width
+from .shared import keep, new_folder, prepare, read_part, width
 
 RING = 1 << 20
 BANDS, ROWS = 30, 5
 #: Share of signature coordinates that two documents must agree in to be compared in the second round; bucket members a task holds.
-SKETCH, CHUNK = 0.65, 2048
+SKETCH, CHUNK = 0.65, 1024
+#: Requests to a block that a task answers.
+PROBES = 4096
 #: Shingles in a block of documents that requests are verified against, on the average.
 _BLOCK_SHINGLES = 4_000_000
 #: Bytes of text worked on at once.
@@ -165,58 +168,96 @@ def _banded(reps: DataFrame) -> DataFrame:
 REQUESTS = "block long, probe long, targets binary, roots binary"
 
 
-def _unsettled(rows: DataFrame, percent: int, sketch: float, blocks: int, parts: int) -> DataFrame:
-    """What is left to compare: for a document and a block of documents, those of the block that sizes and signatures leave
-    possible and that are of other components. Each pair comes from the first band that it shares, once.
-
-    rows: key, c1, c2, c (the row's own chunk), doc, root, n, sketch, bands."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        pending = 0
-
-        def packed() -> pa.RecordBatch:
-            nonlocal pending
-            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["block", "probe", "targets", "roots"])
-            pending = 0
-            out.clear()
-            return batch
-
-        for _, table in tk.groups(batches, "group"):
-            own, c1, c2 = (table.column(x).to_numpy() for x in ("c", "c1", "c2"))
-            doc, root, n = (table.column(x).to_numpy() for x in ("doc", "root", "n"))
-            sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(doc), -1)
-            bands = np.frombuffer(b"".join(table.column("bands").to_pylist()), np.int64).reshape(len(doc), -1)
-            band = int(np.argmax(bands[0] == table.column("key")[0].as_py()))
-            same = c1[0] == c2[0]
-            left, right = np.flatnonzero(own == c1[0]), np.flatnonzero(own == c2[0])
-            _, inverse, size = np.unique(root, return_inverse=True, return_counts=True)
-            weight = size[inverse]  # members of larger components are targets, not probes: few probes make few rows
-            if not same and weight[left].sum() > weight[right].sum():
-                left, right = right, left
-            elif same:
-                left = right = left[np.lexsort((doc[left], weight[left]))]
-            for at, i in enumerate(left.tolist()):
-                other = right[at + 1 :] if same else right
-                other = other[(root[other] != root[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
-                if len(other):
-                    other = other[(sketches[other] == sketches[i]).mean(axis=1) >= sketch]
-                if len(other):
-                    other = other[(bands[other] == bands[i]).argmax(axis=1) == band]
-                if not len(other):
-                    continue
-                block = _block(doc[other], blocks)
-                for k in np.unique(block).tolist():
-                    to = other[block == k]
-                    out.append((k, int(doc[i]), doc[to].tobytes(), root[to].tobytes()))
-                    pending += 16 * len(to) + 100
-                if pending > 1 << 20:
-                    yield packed()
-        if out:
-            yield packed()
+class _Requests:
+    """What is left to compare among members of a bucket: for a document and a block of documents, those of the block that sizes and
+    signatures leave possible and that are of other components. Each pair comes from the first band that it shares, once."""
+
+    def __init__(self, percent: int, sketch: float, blocks: int):
+        self.percent, self.sketch, self.blocks = percent, sketch, blocks
+        self.rows: list[tuple] = []
+        self.pending = 0
+
+    @staticmethod
+    def members(table: pa.Table) -> tuple[np.ndarray, ...]:
+        """doc, root, n, sketches and bands."""
+        packed = [np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(table.num_rows, -1) for c, kind in (("sketch", np.uint8), ("bands", np.int64))]
+        return (*(table.column(c).to_numpy() for c in ("doc", "root", "n")), *packed)
+
+    def compare(self, key: int, left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...] | None) -> Iterator[pa.RecordBatch]:
+        """Between two chunks of a bucket, or within one (right: None)."""
+        same = right is None
+        doc, root, n, sketches, bands = left if same else (np.concatenate(x) for x in zip(left, right))
+        band = int(np.argmax(bands[0] == key))
+        _, inverse, size = np.unique(root, return_inverse=True, return_counts=True)
+        weight = size[inverse]  # members of larger components are targets, not probes: few probes make few rows
+        a, b = np.arange(len(left[0])), np.arange(len(left[0]), len(doc))
+        if same:
+            a = b = a[np.lexsort((doc[a], weight[a]))]
+        elif weight[a].sum() > weight[b].sum():
+            a, b = b, a
+        for at, i in enumerate(a.tolist()):
+            other = b[at + 1 :] if same else b
+            other = other[(root[other] != root[i]) & (100 * np.minimum(n[other], n[i]) >= self.percent * np.maximum(n[other], n[i]))]
+            if len(other):
+                other = other[(sketches[other] == sketches[i]).mean(axis=1) >= self.sketch]
+            if len(other):
+                other = other[(bands[other] == bands[i]).argmax(axis=1) == band]
+            if not len(other):
+                continue
+            block = _block(doc[other], self.blocks)
+            for k in np.unique(block).tolist():
+                to = other[block == k]
+                self.rows.append((k, int(doc[i]), doc[to].tobytes(), root[to].tobytes()))
+                self.pending += 16 * len(to) + 100
+            if self.pending > 1 << 20:
+                yield self.flush()
+
+    def flush(self) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in self.rows], t) for i, t in enumerate(kinds)], names=["block", "probe", "targets", "roots"])
+        self.rows, self.pending = [], 0
+        return batch
+
+
+MEMBERS = ["doc", "root", "n", "sketch", "bands"]
+
+
+def _unsettled(members: DataFrame, percent: int, sketch: float, blocks: int) -> DataFrame:
+    """The requests. members: key, chunks (of the key's bucket), doc, root, n, sketch, bands.
+
+    A bucket of one chunk is gathered in a task. The chunks of larger buckets are written once to the shared folder, and a task reads
+    the two that it compares, so no member is sent more than once whatever the size of its bucket."""
+    spark = members.sparkSession
+    rows, cells = members.select(F.count(F.lit(1)), F.sum(F.when(F.col("chunks") > 1, 1).otherwise(0))).first()
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Requests(percent, sketch, blocks)
+        for key, table in tk.groups(batches, "key"):
+            yield from out.compare(int(key), out.members(table), None)
+        yield out.flush()
+
+    parts = max(width(spark), -(-rows // 200_000))
+    small = members.where("chunks = 1").select("key", *MEMBERS).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(within, REQUESTS)
+    if not cells:
+        return small
+    folder = new_folder(spark, "cells")
+    cell = lambda c: F.hex(F.xxhash64("key", c))
+    large = members.where("chunks > 1").withColumn("cell", cell(F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")))
+    large.select("cell", *MEMBERS).repartition(parts, "cell").write.partitionBy("cell").option("compression", "zstd").parquet(folder)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Requests(percent, sketch, blocks)
+        for batch in batches:
+            for key, one, two in zip(*(c.to_pylist() for c in batch.columns)):
+                tables = [read_part(f"{folder}/cell={x}", MEMBERS) for x in dict.fromkeys((one, two))]
+                if None not in [t if t is None else 0 for t in tables]:
+                    yield from out.compare(key, *(out.members(t) for t in tables), *([None] if one == two else []))
+        yield out.flush()
 
-    keyed = rows.withColumn("group", F.xxhash64("key", "c1", "c2"))
-    return keyed.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(run, REQUESTS)
+    buckets = members.where("chunks > 1").select("key", "chunks").distinct()
+    pairs = buckets.select("key", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c1")).select("key", "c1", F.explode(F.sequence("c1", F.col("chunks") - 1)).alias("c2"))
+    pairs = keep(pairs.select("key", cell("c1").alias("one"), cell("c2").alias("two")), "pairs")
+    return small.unionByName(pairs.repartition(max(width(spark), min(20_000, pairs.count())), "key", "one", "two").mapInArrow(across, REQUESTS))
 
 
 def _block(docs: np.ndarray, blocks: int) -> np.ndarray:
@@ -234,13 +275,16 @@ def _sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
-def verify_blocks(requests: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int, blocks: int, parts: int) -> DataFrame:
+def verify_blocks(requests: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int, blocks: int, parts: int, probes: int = PROBES) -> DataFrame:
     """Links (a, b) among the requests, the least target of each component that a probe is linked with.
 
     A block's documents are indexed by shingle, and a probe's shingles are counted against all of them at once, so a document that looks like
-    thousands of others costs one row and one pass for each block. members: the documents that requests can name."""
+    thousands of others costs one row and one pass for each block. A block with more than ``probes`` requests is sent to several tasks,
+    which share its requests. members: the documents that requests can name."""
     named = texts.join(members.select(F.col("doc").alias("id")).distinct().hint("merge"), "id", "left_semi")
-    asked = requests.join(texts.withColumnRenamed("id", "probe").hint("merge"), "probe").select("block", F.lit(1).alias("kind"), F.col("probe").alias("id"), "z", "targets", "roots")
+    splits = keep(requests.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / probes).cast("int").alias("splits")), "splits")
+    asked = requests.join(texts.withColumnRenamed("id", "probe").hint("merge"), "probe").join(splits, "block")
+    asked = asked.select("block", F.pmod(F.xxhash64("probe"), F.col("splits")).cast("int").alias("split"), F.lit(1).alias("kind"), F.col("probe").alias("id"), "z", "targets", "roots")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +292,8 @@ def verify_blocks(requests: DataFrame, members: DataFrame, texts: DataFrame, k:
             block = _block(batch.column(0).to_numpy(), blocks)
             yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), batch.column(1), none, none], names=["block", "kind", "id", "z", "targets", "roots"])
 
-    both = named.mapInArrow(place, "block long, kind int, id long, z binary, targets binary, roots binary").unionByName(asked)
+    placed = named.mapInArrow(place, "block long, kind int, id long, z binary, targets binary, roots binary").join(splits, "block")
+    both = placed.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits").unionByName(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompressobj
@@ -256,8 +301,8 @@ def verify_blocks(requests: DataFrame, members: DataFrame, texts: DataFrame, k:
         for batch in batches:
             out: list[tuple[int, int]] = []
             for r in batch.to_pylist():
-                if r["block"] != now:
-                    now, fresh, index = r["block"], [], None
+                if (r["block"], r["split"]) != now:
+                    now, fresh, index = (r["block"], r["split"]), [], None
                 text = open_().decompress(r["z"])
                 if r["kind"] == 0:
                     fresh.append((r["id"], text))
@@ -281,7 +326,8 @@ def verify_blocks(requests: DataFrame, members: DataFrame, texts: DataFrame, k:
                     out.append((r["id"], int(targets[roots == of].min())))
             yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], names=["a", "b"])
 
-    return both.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(run, "a long, b long")
+    count = splits.agg(F.sum("splits")).first()[0] or 0
+    return both.repartition(max(parts, count), "block", "split").sortWithinPartitions("block", "split", "kind").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, sketch: float = SKETCH, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,8 +336,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     Documents are linked if 100 * intersection >= percent * union of their sets of distinct ``shingle``-word sequences (A-Z
     lower-cased, words split at ASCII white space; fewer words than that make one shingle). component_id is the least doc_id
     that links reach, kept says that it is the document's own. Documents without words, or with a null text, have an empty set and link with
-    nothing. Null ids are left out. doc_id is taken as unique: of rows that repeat an id each gets a result row, and a
-    verified pair may use either text. Other columns play no part.
+    nothing. Null ids are left out. Rows that repeat an id are judged each by its own text, with a result row each; where such an id is the least
+    of those with an equal set, the links of any of its texts are its links. Other columns play no part.
     """
     spark = prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
@@ -312,12 +358,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     open_ = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("size > 2 and low != high")
     open_ = open_.select("key", F.ceil(F.col("size") / chunk).cast("int").alias("chunks"))
     members = keep(rooted.join(open_, "key").join(reps.select(F.col("doc_id").alias("doc"), "n", "sketch", "bands"), "doc"), "open")
-    own = F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")
-    spread = members.withColumn("c", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("c1", F.least("c", "o")).withColumn("c2", F.greatest("c", "o"))
     shingles = members.select("doc", "n").distinct().agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-int(shingles) // _BLOCK_SHINGLES))
-    requests = keep(_unsettled(spread.select("key", "c", "c1", "c2", "doc", "root", "n", "sketch", "bands"), percent, sketch, blocks, width(spark)), "requests")
-    more = keep(verify_blocks(requests, members, texts, shingle, percent, blocks, max(width(spark), blocks)), "links")
+    requests = keep(_unsettled(members, percent, sketch, blocks), "requests")
+    more = keep(verify_blocks(requests, members, texts, shingle, percent, blocks, width(spark)), "links")
     named = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     merged = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
 

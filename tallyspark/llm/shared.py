@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +49,14 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:/") else f"file://{uri}")
 
 
+def read_part(folder: str, columns: list[str]) -> pa.Table | None:
+    """What one folder of a table that Spark wrote with partitionBy holds, for tasks that need some folders and not a shuffle; None for no rows."""
+    system, path = file_system(folder)
+    files = [x.path for x in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if x.path.endswith(".parquet")]
+    tables = [pq.read_table(x, filesystem=system, partitioning=None, columns=columns) for x in sorted(files)]
+    return pa.concat_tables(tables).combine_chunks() if tables else None
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete an intermediate that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -2,9 +2,11 @@
 
 Fixed-block anchors. Every document is cut into non-overlapping blocks of half a window; any window of the asked length holds
 at least one whole block of the document it comes from. The block hashes are the index; every rolling half-window of every
-document probes it. A hit marks a place where a repeat can be; around the hits all full windows are compared by 80-bit hashes
-(64 in the row, 16 and more in the bucket's choice), and runs of equal windows are the maximal exact repeats. No pair of
-documents is ever made, so a passage that thousands share costs its occurrences, not their square.
+document probes it. A hit marks a place where a repeat can be; around the hits all full windows are compared, and runs of equal
+windows are the maximal exact repeats. No pair of documents is ever made, so a passage that thousands share costs its
+occurrences, not their square. Windows are equal if a 64-bit hash and the bucket of a second, independent one agree, that is 64 bits and the
+logarithm of the number of buckets, which grows with the input: of w windows compared, at most about w * 4e-14 are expected to agree with
+another by chance (a twelfth of one window in a 100 TB corpus of which an eighth is compared).
 
 Layout. Documents are gathered into slices of about 1 MB, compressed, and written once to the shared folder; a slice sends each
 distinct hash of its own once to the hash's bucket (pre-aggregation: a hash that occurs everywhere reaches its bucket once a
