@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .graph import components
-from .shared import keep, new_folder, prepare, read_part, width
+from .shared import drop, forget, keep, new_folder, prepare, read_part, width
 
 #: Vectors in a block, rows in a tile of the matrix product, and blocks that a task compares one block with.
 BLOCK, TILE, RUN = 4096, 1024, 16
@@ -152,6 +152,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     dealt = placed.join(numbers, "bin").select((F.col("start") + F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block"), "rep", "copies", "unit")
     folder, blocks = new_folder(spark, "blocks"), first[-1]
     dealt.repartition(max(width(spark), min(20_000, blocks)), "block").sortWithinPartitions("block").write.partitionBy("block").option("compression", "zstd").parquet(folder)
+    drop(placed)
 
     def load(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         table = read_part(f"{folder}/block={k}", ["rep", "copies", "unit"])
@@ -181,6 +182,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     runs = runs.select("i", "start", F.least("stop", F.col("start") + RUN).alias("stop"))
     tasks = max(width(spark), min(20_000, sum(-(-(stop - k) // RUN) for k, stop in ends)))
     found = keep(runs.repartition(tasks, "i", "start").mapInArrow(compare, "rep long, links long, root long"), "links")
+    forget(spark, folder)
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     classes = reps.select("class", "rep", "copies").join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(roots, "rep", "left")
     classes = classes.select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "rep").alias("root"))

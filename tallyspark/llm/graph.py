@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import drop, keep
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,9 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = keep(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
-        if (then := _signature(after)) == sign:
-            break
+        done = (then := _signature(after)) == sign
+        drop(now)
         now, sign = after, then
+        if done:
+            break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

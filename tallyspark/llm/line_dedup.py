@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import keep, prepare
+from .shared import drop, keep, prepare
 
 BLOCK = 2
 #: Words from which the queries take a line for a block of its own.
@@ -189,7 +189,8 @@ def dedup_lines(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", tex
     # written apart from the join, so that adaptive execution can split a run that a great share of all documents has
     shared = keep(held.groupBy("run").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("docs")).where("docs > 1").drop("docs"), "shared")
     pairs = held.join(shared, "run").where("doc != first").select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct()
-    removed = _removals(pairs, reps, block).join(reps.select("doc_id", F.col("class").alias("of")), "doc_id")
+    removed = keep(_removals(pairs, reps, block).join(reps.select("doc_id", F.col("class").alias("of")), "doc_id"), "removed")
+    drop(held, shared, reps)
 
     names = [c for c in docs.columns if c not in ADDED]
     where = names.index(text_col)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .graph import components
-from .shared import keep, new_folder, prepare, read_part, width
+from .shared import drop, keep, new_folder, prepare, read_part, width
 
 RING = 1 << 20
 BANDS, ROWS = 30, 5
@@ -351,6 +351,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     stars = keep(stars, "stars")
     texts = texts_of(docs, stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))))
     links = keep(verify(stars, texts, shingle, percent), "links")
+    drop(stars)
     roots = keep(components(links), "roots")
 
     # buckets of three and more (all pairs of smaller ones are settled) with documents of different components
@@ -358,12 +359,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     open_ = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("size > 2 and low != high")
     open_ = open_.select("key", F.ceil(F.col("size") / chunk).cast("int").alias("chunks"))
     members = keep(rooted.join(open_, "key").join(reps.select(F.col("doc_id").alias("doc"), "n", "sketch", "bands"), "doc"), "open")
+    drop(links, banded, reps)
     shingles = members.select("doc", "n").distinct().agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-int(shingles) // _BLOCK_SHINGLES))
     requests = keep(_unsettled(members, percent, sketch, blocks), "requests")
     more = keep(verify_blocks(requests, members, texts, shingle, percent, blocks, width(spark)), "links")
+    drop(texts, members, requests)
     named = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    merged = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    joined = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    drop(more)
+    merged = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
 
     final = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")).join(merged, "root", "left")
     final = final.select("s1", "s2", "n", F.coalesce("top", "root").alias("top"))

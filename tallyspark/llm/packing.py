@@ -122,7 +122,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[np.nd
 
     ``encoder`` is called once in each task and returns a function from texts to arrays of ids. A null or empty text is the
     separator alone. Rows with the same id are separate documents. Sequence ids are unique: the partition's number times
-    2**40 plus a running number. A sequence is to be padded to ``capacity`` by its reader unless its length is a power of two.
+    2**40 plus a running number. Pieces of equal length are placed in the order of the rows, open sequences of equal room last opened first. A sequence is to be padded to ``capacity`` by its reader unless its length is a power of two.
     With ``with_ids`` the ids of each piece follow in column ``ids``. An empty table gives an empty result. Other columns of
     ``docs`` play no part.
     """

@@ -34,6 +34,8 @@ LABELLED = 20_000
 #: Buckets for the words of the toxicity judgement, the weight of its prior in documents, and the bound's deviations.
 WORDS, PRIOR, DEVIATIONS = 1 << 20, 2.0, 1.645
 _PIECE = 1 << 20
+#: What the noise of rows with a null id is drawn from.
+_NULL = -(1 << 63)
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[48 + i for i in range(10)] + [65 + i for i in range(26)] + [97 + i for i in range(26)] + list(range(128, 256))] = 1
 _KIND[tk.BLANK] = 0
@@ -86,10 +88,12 @@ def features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
 FAMILIES = np.array([0, BUCKETS, 2 * BUCKETS, 2 * BUCKETS + SHAPES, 2 * BUCKETS + 2 * SHAPES])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ma.MaskedArray, np.ndarray, np.ndarray]]:
+    """The first column's numbers, masked where they are null, and the texts, about _PIECE bytes at a time."""
     for batch in batches:
         offsets, data = tk.buffers(batch.column(1))
-        ids = np.array([-1 if x is None else x for x in batch.column(0).to_pylist()], np.int64)
+        column = batch.column(0)
+        ids = np.ma.array(column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), mask=column.is_null().to_numpy(zero_copy_only=False))
         for a, b in tk.slices(offsets, _PIECE):
             yield ids[a:b], offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
 
@@ -116,7 +120,7 @@ def toxic_words(docs: DataFrame, known: DataFrame, labelled: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, seen = np.zeros((2, WORDS), np.int64), np.zeros(2, np.int64)
         for toxic, offsets, data in _pieces(batches):
-            word, doc = words(offsets, data)
+            (word, doc), toxic = words(offsets, data), toxic.filled(-1)
             for t in (0, 1):
                 totals[t] += np.bincount(word[toxic[doc] == t], minlength=WORDS)
                 seen[t] += np.count_nonzero(toxic == t)
@@ -144,7 +148,7 @@ def log_ratio(docs: DataFrame, good_ids: np.ndarray, alpha: float = 1.0) -> np.n
         totals = np.zeros((2, FAMILIES[-1]), np.int64)
         for ids, offsets, data in _pieces(batches):
             feature, doc = features(offsets, data)
-            good = np.isin(ids, shared.value)
+            good = np.isin(ids.data, shared.value) & ~ids.mask
             totals[0] += np.bincount(feature, minlength=FAMILIES[-1])
             totals[1] += np.bincount(feature[good[doc]], minlength=FAMILIES[-1])
         some = np.flatnonzero(totals[0])
@@ -160,13 +164,13 @@ def log_ratio(docs: DataFrame, good_ids: np.ndarray, alpha: float = 1.0) -> np.n
     return out
 
 
-def _weigh(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, ratio: np.ndarray, toxic: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _weigh(ids: np.ma.MaskedArray, offsets: np.ndarray, data: np.ndarray, ratio: np.ndarray, toxic: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     feature, doc = features(offsets, data)
     weight = np.bincount(doc, ratio[feature], len(ids)) if len(doc) else np.zeros(len(ids))
     if len(toxic):
         word, doc = words(offsets, data)
         weight[doc[toxic[np.searchsorted(toxic, word) % len(toxic)] == word]] = -np.inf
-    uniform = ((tk.mix(ids.view(tk.U64) ^ tk.mix(np.array([seed], tk.U64))) >> tk.U64(11)).astype(float) + 0.5) / (1 << 53)
+    uniform = ((tk.mix(ids.filled(_NULL).view(tk.U64) ^ tk.mix(np.array([seed], tk.U64))) >> tk.U64(11)).astype(float) + 0.5) / (1 << 53)
     return weight, weight - np.log(-np.log(uniform))
 
 
@@ -188,7 +192,8 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, toxic: np.ndarray, seed: int
 
 
 def kth_largest(scores: DataFrame, k: int, column: str = "score", few: int = 10_000) -> float:
-    """The exact k-th largest value, by histograms that close in on it until at most ``few`` rows (or one value) are left."""
+    """The exact k-th largest value, by histograms that close in on it until at most ``few`` rows are left, or a range that holds no more than
+    some hundred different numbers; their counts reach the driver."""
     low, high, n = scores.agg(F.min(column), F.max(column), F.count(column)).first()
     if not n or k <= 0:
         return float("inf")
@@ -199,8 +204,11 @@ def kth_largest(scores: DataFrame, k: int, column: str = "score", few: int = 10_
         inside = scores.where(F.col(column).between(low, high))
         step = (high - low) / 1000
         if n <= few or not low + step > low:
-            rows = sorted((r[0] for r in inside.select(column).limit(few + 1).collect()), reverse=True)
-            return float(rows[min(k - above, len(rows)) - 1])
+            for value, count in sorted(map(tuple, inside.groupBy(column).count().collect()), reverse=True):
+                above += count
+                if above >= k:
+                    break
+            return float(value)
         bins = inside.groupBy(F.least(F.floor((F.col(column) - low) / step), F.lit(999)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("a"), F.max(column).alias("b")).collect()
         for r in sorted(bins, key=lambda r: -r["bin"]):
             if above + r["n"] >= k:

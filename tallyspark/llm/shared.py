@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -15,13 +16,20 @@ from ..session import ship
 
 _CHECKPOINT = "spark.checkpoint.dir"
 _folders: dict[str, tuple[SparkSession, str]] = {}
+_kept: dict[int, tuple[weakref.ref, str]] = {}
+
+
+#: Rows and bytes of an Arrow batch, where the session has Spark's own defaults (these come first).
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": (("-1", "268435456", "67108864"), str(2 << 20))}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Ship the package to the executors, and bound the Arrow batches that reach Python by bytes as well as rows."""
+    """Ship the package to the executors, and bound the Arrow batches that reach Python by bytes as well as rows. A session's own
+    settings stay; results are lazy, so the bounds hold for as long as the session does."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
+    for key, (usual, bound) in _BATCHES.items():
+        if spark.conf.get(key, None) in (None, *([usual] if isinstance(usual, str) else usual)):
+            spark.conf.set(key, bound)
     return spark
 
 
@@ -70,7 +78,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _kept[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def drop(*kept: DataFrame) -> None:
+    """Delete what ``keep`` wrote for these tables, once nothing that is still to run reads them."""
+    for df in kept:
+        of, path = _kept.pop(id(df), (None, None))
+        if of is not None and of() is df:
+            forget(df.sparkSession, path)
 
 
 def width(spark: SparkSession) -> int:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .shared import keep
 
-#: Suffixes of two labels under which domains are registered; every other suffix is the last label.
+#: Suffixes of two labels under which domains are registered; every other suffix is the last label. A table of all public suffixes can stand in for them.
 LONG_SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "co.nz", "gov.uk", "org.uk")
 #: Host, path and verdict of the rules.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -67,10 +67,22 @@ def _shrunk(level: DataFrame) -> DataFrame:
     return rows.withColumn("var", F.col("rate") * (1 - F.col("rate")) / (F.col("n") + m + 1) + F.pow(m / (F.col("n") + m), 2) * F.col("prior_var"))
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
+def placed_by(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """``hosts`` (host, ..) with domain and suffix by a table of suffixes (suffix: labels joined by dots, without rules or wild cards): the longest
+    that ends the host, else its last label."""
+    known = suffixes.select(F.lower(F.trim("suffix")).alias("suffix")).where("suffix != ''").distinct()
+    most = known.agg(F.max(F.size(F.split("suffix", r"\.")))).first()[0] or 1
+    ends = hosts.select("host", F.explode(F.sequence(F.lit(1), F.least(F.size(F.split("host", r"\.")), F.lit(most)))).alias("labels"))
+    longest = ends.withColumn("suffix", F.expr("substring_index(host, '.', -labels)")).join(known, "suffix").groupBy("host").agg(F.max("labels").alias("labels"))
+    both = hosts.join(longest, "host", "left").withColumn("labels", F.coalesce("labels", F.lit(1)))
+    return both.withColumns({"domain": F.expr("substring_index(host, '.', -labels - 1)"), "suffix": F.expr("substring_index(host, '.', -labels)")}).drop("labels")
+
+
+def host_reputation(outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """From (host, bad 0/1, null for unlabelled pages): host, n (labelled), s (bad), prior, rate (posterior mean), var, spread."""
     counts = outcomes.where("host is not null").groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("s"))
-    hosts = keep(counts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
+    named = counts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}) if suffixes is None else placed_by(counts, suffixes)
+    hosts = keep(named, "hosts")
     domains = keep(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     n, s = domains.agg(F.sum("n"), F.sum("s")).first()
@@ -81,18 +93,20 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     return hosts.withColumn("spread", F.sqrt("var"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, bad_share: float = 0.5, z: float = 1.645, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, bad_share: float = 0.5, z: float = 1.645, id_col: str = "page_id", url_col: str = "url", suffixes: DataFrame | None = None) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, and the reputation's bad_rate and bad_bound.
 
     ``outcomes`` holds (page_id, bad) with bad 0 or 1. A null url, or one without ``://``, has an empty host and path; it is
-    judged like any host. A host without labels has its domain's rate, or its suffix's. Repeated pages are judged each for itself. The join from pages to
+    judged like any host. A host without labels has its domain's rate, or its suffix's. Repeated pages are judged each for itself; an outcome counts
+    once for each row of ``outcomes`` and each page row with its id. ``suffixes`` (suffix) names the suffixes under which domains are registered; without it they
+    are the last label and the few of LONG_SUFFIXES, so that hosts under any other long suffix share one domain's prior. Urls of any length are read. The join from pages to
     hosts carries ids and urls only; a host with a great share of all pages is split by adaptive execution, and where the
     reputations turn out to be small the engine broadcasts them under its own size limit.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     labelled = rows.join(outcomes.where("page_id is not null and bad is not null").select("page_id", "bad"), "page_id", "left").select("host", "bad")
-    known = host_reputation(labelled).select("host", F.col("rate").alias("bad_rate"), (F.col("rate") - z * F.col("spread")).alias("bad_bound"))
+    known = host_reputation(labelled, suffixes).select("host", F.col("rate").alias("bad_rate"), (F.col("rate") - z * F.col("spread")).alias("bad_bound"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_bound") > bad_share, F.lit("block")).otherwise(F.lit("allow"))
     return rows.join(known, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bad_rate", "bad_bound")

@@ -22,8 +22,9 @@ def test_patience_follows_unique_lines():
     assert patience("axbxc", "xaxbc") == [(0, 1), (1, 2), (2, 3), (4, 4)] or set(patience("axbxc", "xaxbc")) >= {(0, 1), (2, 3), (4, 4)}
 
 
-def brute(rows, block):
-    """By definition: a line goes if it lies in a run of ``block`` lines that some document with a smaller id has, or if its document repeats one."""
+def brute(rows, block, alone=None):
+    """By definition: a line goes if it lies in a run of ``block`` lines that some document with a smaller id has, if its document repeats one, or if
+    it has ``alone`` words and some document with a smaller id has it."""
     strip = {d: [x.strip() for x in (t or "").split("\n") if x.strip()] for d, t in rows}
     runs = {d: {tuple(x[i : i + block]) for i in range(len(x) - block + 1)} for d, x in strip.items()}
     out = {}
@@ -34,6 +35,8 @@ def brute(rows, block):
         for i in range(len(full) - block + 1):
             if any(tuple(strip[d][i : i + block]) in runs[p] for p in earlier):
                 gone[i : i + block] = [True] * block
+        for i, x in enumerate(strip[d]):
+            gone[i] = gone[i] or alone is not None and len(x.split()) >= alone and any(x in strip[p] for p in earlier)
         drop = {full[i] for i, g in enumerate(gone) if g}
         kept = text if not drop else "\n".join(x for i, x in enumerate(lines) if i not in drop)
         out[d] = (len(full), sum(gone), None if kept is None else hashlib.sha256(kept.encode()).hexdigest(), kept)

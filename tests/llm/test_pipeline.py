@@ -2,7 +2,7 @@ import os
 
 import corpus_pipeline as P
 import pytest
-from corpora import DOCS, documents
+from corpora import DOCS, clashing, documents
 
 from test_decontaminate import brute as contaminated
 from test_line_dedup import brute as lines
@@ -25,7 +25,7 @@ def test_stages_against_plain_python(spark):
     assert sum(i in kept for i, q in labels.items() if q == 1) >= 0.9 * sum(q == 1 for q in labels.values())
 
     second = P.drop_repeated_lines(spark, first, DIR)
-    expected = lines(list(kept.items()), 50, 2)
+    expected = lines(list(kept.items()), 2, 50)
     assert dict(rows_of(second)) == {d: v[3] for d, v in expected.items() if not v[1] or v[1] < v[0]}
     assert second.columns == docs.columns and second.where("n_chars != length(text)").count() == 0
 
@@ -51,3 +51,18 @@ def test_awkward_and_empty_input(spark):
             rows = stage(spark, rows, DIR)
             assert rows.columns == docs.columns
         P.pack_sequences(spark, rows, DIR).collect()
+
+
+def test_what_each_stage_keeps_of_odd_rows(spark):
+    """Rows without an id stay, rows that repeat one stand or fall together, columns of any name pass through."""
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").where("length(text) > 100").first()["text"]
+    plain = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, plain), (None, plain), (5, plain), (6, plain + " and one more"), (6, "another text of id 6"), (7, plain), (7, plain), (8, None), (9, ""), (10, item), (None, item)]
+    docs = clashing(documents(spark, rows))
+    kept = lambda df: sorted((r["doc_id"] or 0, r["text"] or "") for r in df.collect())
+    near = P.drop_near_duplicates(spark, docs, DIR)
+    assert near.columns == docs.columns and kept(near) == sorted((i or 0, t or "") for i, t in rows if i not in (6, 7))
+    clean = P.drop_contaminated(spark, docs, DIR)
+    assert clean.columns == docs.columns and kept(clean) == sorted((i or 0, t or "") for i, t in rows if i != 10)
+    lines = P.drop_repeated_lines(spark, docs, DIR)
+    assert lines.columns == docs.columns and {i for i, _ in kept(lines)} >= {0, 5, 6, 8, 9, 10} and 7 not in {i for i, _ in kept(lines)}

@@ -1,11 +1,15 @@
+import math
 import os
 import random
+import re
+from collections import Counter
 
 import pytest
 from corpora import awkward, clashing, documents
 from pyspark.sql import functions as F
 
 from tallyspark.llm import quality as Q
+from tallyspark.llm import textkit as tk
 
 
 def test_kth_largest(spark):
@@ -31,6 +35,64 @@ def test_selection(spark):
     assert kept == {i for i in got if got[i]}
 
 
+def plain_features(text):
+    """The features of a text, token by token, in whole numbers."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 31
+        x = x * 0x7FB5D329728EA185 & mask
+        x ^= x >> 27
+        x = x * 0x81DADEF4BC2DD44D & mask
+        return x ^ x >> 33
+
+    tokens, last = [], {}
+    for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\t-\r ]+", (text or "").encode()):
+        raw, kind = m[0], 1 if re.match(rb"[0-9A-Za-z\x80-\xff]", m[0]) else 2
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+        code = mix(sum(int(tk._BYTES[b]) * pow(tk.BYTE_BASE, i, 1 << 64) for i, b in enumerate(low)) & mask)
+        capitals, size = sum(65 <= b <= 90 for b in raw), len(raw)
+        case = 0 if not capitals else 1 if capitals == 1 else 3 if capitals == size else 2
+        place = min(size, 15) // 4 if kind == 1 else 4 + min(size, 4) - 1
+        tokens.append((code, ((place * 4 + case) * 2 + any(48 <= b <= 57 for b in raw)) * 2 + (last.get(kind) == code)))
+        last[kind] = code
+    out = [c % Q.BUCKETS for c, _ in tokens] + [2 * Q.BUCKETS + s for _, s in tokens]
+    for (c, s), (d, t) in zip(tokens, tokens[1:]):
+        out += [Q.BUCKETS + mix((c * 3 + d) & mask) % Q.BUCKETS, 2 * Q.BUCKETS + Q.SHAPES + (s * 128 + t) % Q.SHAPES]
+    return out
+
+
+def test_weights_against_plain_python(spark):
+    """Counts, log ratios and weights, computed one document and one feature at a time; a null id is no id, -1 is one."""
+    rows = awkward(6)[:140] + [(None, "Null ID words, words words!"), (-1, "minus one, 2 words WORDS"), (-2, "unlabelled text")]
+    good = {100, 7, -1, 500, 501, 502, 300}
+    labels = [(i, 1) for i in good] + [(503, 0), (-1, 1), (504, 0), (504, 1), (None, 1)]
+    found = Q.select_by_importance(documents(spark, rows).repartition(5), spark.createDataFrame(labels, "doc_id long, good int")).collect()
+    raw, target = Counter(), Counter()
+    for d, text in rows:
+        raw.update(plain_features(text))
+        if d in good:
+            target.update(plain_features(text))
+    ratio = {}
+    for a, b in zip(Q.FAMILIES.tolist(), Q.FAMILIES.tolist()[1:]):
+        r, t = (sum(n for f, n in c.items() if a <= f < b) + b - a for c in (raw, target))
+        ratio |= {f: math.log((target[f] + 1) / t) - math.log((raw[f] + 1) / r) for f in raw if a <= f < b}
+    want = sorted((str(d), round(sum(ratio[f] for f in plain_features(text)), 6)) for d, text in rows)
+    got = sorted((str(r["doc_id"]), round(r["log_weight"], 6)) for r in found)
+    assert [d for d, _ in got] == [d for d, _ in want] and all(abs(x - y) < 1e-4 for (_, x), (_, y) in zip(got, want))
+    noise = [r["score"] - r["log_weight"] for r in found]
+    assert len({round(x, 9) for x in noise}) == len({r["doc_id"] for r in found}) and abs(sum(noise) / len(noise) - 0.577) < 0.5
+    share = sum(r[1] for r in {(i, min(g for j, g in labels if j == i)) for i, _ in labels if i is not None}) / len({i for i, _ in labels if i is not None})
+    scores = sorted((r["score"] for r in found), reverse=True)
+    assert {r["score"] for r in found if r["kept"]} == set(scores[: round(share * len(scores))])
+
+
+def test_many_equal_scores(spark):
+    table = spark.range(30_000).selectExpr("CASE WHEN id < 12000 THEN 1.0 WHEN id < 12001 THEN 1.0000000000000002 ELSE 1.0000000000000004 END AS score")
+    for k, value in ((1, 1.0000000000000004), (17_999, 1.0000000000000004), (18_000, 1.0000000000000002), (18_001, 1.0), (29_999, 1.0)):
+        assert Q.kth_largest(table.selectExpr("cast(score as double) as score"), k, few=5) == value
+
+
 def test_edges(spark):
     docs, none = documents(spark, awkward(3) + [(None, "null id"), (6, "word")]), spark.createDataFrame([], "doc_id long, good int")
     assert Q.select_by_importance(docs, none).where("not kept").count() == 0

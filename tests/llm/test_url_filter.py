@@ -34,6 +34,27 @@ def test_reputation(spark):
     assert judged(spark, urls[:2])[0]["verdict"] == "allow" and judged(spark, []) == {}
 
 
+def test_suffix_table(spark):
+    """Sites under one registry are strangers if the table says so; without it they share the registry's prior."""
+    urls = [f"http://s{i}.bad.co.xx/" for i in range(40)] + [f"http://h{i}.co.xx/" for i in range(40)] + ["http://new.co.xx/", "http://t.bad.co.xx/", "http://co.xx/", "http://xx/", "http:///"]
+    outcomes = [(i, 1) for i in range(80) if i < 40 or i % 4 == 0]
+    table = spark.createDataFrame([("CO.xx",), ("xx",), ("co.xx",), ("",), (None,), ("a.b.zz",)], "suffix string")
+    hosts = spark.createDataFrame([("t.bad.co.xx",), ("co.xx",), ("xx",), ("",), ("n.a.b.zz",), ("b.zz",)], "host string")
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in U.placed_by(hosts, table).collect()}
+    assert got == {"t.bad.co.xx": ("bad.co.xx", "co.xx"), "co.xx": ("co.xx", "co.xx"), "xx": ("xx", "xx"), "": ("", ""), "n.a.b.zz": ("n.a.b.zz", "a.b.zz"), "b.zz": ("b.zz", "zz")}
+    own, shared = judged(spark, urls, outcomes, suffixes=table), judged(spark, urls, outcomes)
+    assert own[81]["verdict"] == "block" and own[81]["bad_rate"] > own[80]["bad_rate"] and shared[80]["bad_rate"] == shared[81]["bad_rate"]
+
+
+def test_long_urls_and_repeated_rows(spark):
+    long = "http://" + "a." * 20_000 + "net/" + "x" * 500_000
+    pages = spark.createDataFrame([(1, long), (1, long), (2, "http://b.net/"), (2, "http://b.net/"), (None, "http://b.net/")], "page_id long, url string")
+    labels = spark.createDataFrame([(2, 1)] * 30, "page_id long, bad int")
+    for suffixes in (None, spark.createDataFrame([("net",)], "suffix string")):
+        got = U.filter_urls(pages, labels, suffixes=suffixes).collect()
+        assert len(got) == 5 and {r["verdict"] for r in got if r["host"] == "b.net"} == {"block"} and {len(r["path"]) for r in got if r["page_id"] == 1} == {500_001}
+
+
 def test_no_python_in_the_plan(spark):
     pages = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
     plan = U.filter_urls(pages, spark.createDataFrame([(1, 1)], "page_id long, bad int"))._jdf.queryExecution().executedPlan().toString()
