@@ -6,7 +6,10 @@ Text that is missing is the empty string, numbers that cannot be read are null.
 from __future__ import annotations
 
 import datetime
+import json
 import re
+from collections.abc import Mapping
+from decimal import Decimal
 from urllib.parse import quote
 
 from pyspark.sql import Column
@@ -19,6 +22,7 @@ MONTHS = {
 }
 #: White space as text editors know it: Unicode spaces, line ends and the byte order mark.
 _SPACE = r"[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+# The three shapes of a purchase date, and what a number looks like.
 _ISO, _US, _NAMED = r"^(\d{4})([-/])(\d{2})\2(\d{2})$", r"^(\d{2})/(\d{2})/(\d{2})$", r"^([A-Za-z]+)\s+(\d{1,2}),\s*(\d{4})$"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _DOUBLE_STEP = 2.220446049250313e-16
@@ -66,22 +70,25 @@ def leading_number(text: Column) -> Column:
 
 def purchase_date(text: Column) -> Column:
     """YYYY-MM-DD, YYYY/MM/DD, MM/DD/YY (20YY) or "Month D, YYYY" as a date; null for other shapes and impossible days."""
-    t = trimmed(text)
-    numeric = F.regexp_replace(F.regexp_replace(t, _ISO, "$1-$3-$4"), _US, "20$3-$1-$2")
     names = F.create_map(*[F.lit(x) for name, n in MONTHS.items() for x in (name, f"-{n:02d}-")])
-    month = F.try_element_at(names, F.lower(F.regexp_extract(t, _NAMED, 1)))
-    named = F.concat(F.regexp_extract(t, _NAMED, 3), month, F.lpad(F.regexp_extract(t, _NAMED, 2), 2, "0"))
-    return F.try_to_date(F.regexp_replace(F.coalesce(named, numeric), "^0000", "none"), "yyyy-MM-dd")
+
+    def read(t: Column) -> Column:
+        numeric = F.regexp_replace(F.regexp_replace(t, _ISO, "$1-$3-$4"), _US, "20$3-$1-$2")
+        month = F.try_element_at(names, F.lower(F.regexp_extract(t, _NAMED, 1)))
+        named = F.concat(F.regexp_extract(t, _NAMED, 3), month, F.lpad(F.regexp_extract(t, _NAMED, 2), 2, "0"))
+        return F.try_to_date(F.regexp_replace(F.when(t.rlike("^[0-9]"), numeric).otherwise(named), "^0000", "none"), "yyyy-MM-dd")
+
+    return let(trimmed(text), read)
 
 
 def read_date(text: str | None) -> datetime.date | None:
     """``purchase_date`` for a parameter, on the driver."""
     t = re.sub(rf"^{_SPACE}+|{_SPACE}+$", "", text or "")
-    if m := re.search(_ISO, t):
+    if m := re.search(_ISO, t, re.ASCII):
         year, month, day = int(m[1]), int(m[3]), int(m[4])
-    elif m := re.search(_US, t):
+    elif m := re.search(_US, t, re.ASCII):
         year, month, day = 2000 + int(m[3]), int(m[1]), int(m[2])
-    elif m := re.search(_NAMED, t):
+    elif m := re.search(_NAMED, t, re.ASCII):
         year, month, day = int(m[3]), MONTHS.get(m[1].lower(), 0), int(m[2])
     else:
         return None
@@ -239,32 +246,36 @@ def storage_key(prefix: str, identity: str) -> str:
     return prefix + quote(identity, safe="!'()*-._~")
 
 
-def error_text(error: object) -> str:
-    """A short text for any kind of error value."""
-    if isinstance(error, BaseException):
-        name, message = type(error).__name__, str(error).strip()
-        return message if name == "Exception" and message else f"{name}: {message}" if message else name
-    if error is None:
-        return "null"
-    if isinstance(error, bool):
-        return str(error).lower()
-    if isinstance(error, (int, float)):
-        return f"{error:g}" if isinstance(error, float) else str(error)
-    if isinstance(error, str):
-        return error.strip() or "empty error string"
-    if isinstance(error, dict):
-        name, message = (str(error.get(k) or "").strip() if isinstance(error.get(k), str) else "" for k in ("name", "message"))
-        if message and name and name != "Error":
-            return f"{name}: {message}"
-        if message or name:
-            return message or name
-        import json
+# The texts for errors that say nothing, and the type names that add nothing to a message.
+EMPTY_TEXT, UNKNOWN_OBJECT, PLAIN_ERRORS = "empty error string", "unknown error object", ("", "Error", "Exception")
 
+
+def number_text(value: float) -> str:
+    """A number as scripts write it: shortest digits that read back the same, an exponent only from 1e21 on and below 1e-6."""
+    if value != value or abs(value) == float("inf"):
+        return "NaN" if value != value else "Infinity" if value > 0 else "-Infinity"
+    if value == 0 or 1e-6 <= abs(value) < 1e21:
+        return f"{int(value)}" if value == int(value) else f"{Decimal(repr(value)):f}"
+    return re.sub(r"e([+-])0+", r"e\1", repr(value))
+
+
+def error_text(error: object) -> str:
+    """A short text for any kind of error value. Exceptions and mappings are named by their type and message, as far as they have
+    them; mappings with neither are written as JSON; texts are trimmed; everything else is written as scripts do."""
+    if isinstance(error, (BaseException, Mapping)):
+        said = (error.get("name"), error.get("message")) if isinstance(error, Mapping) else (type(error).__name__, str(error))
+        name, message = (x.strip() if isinstance(x, str) else "" for x in said)
+        if name or message:
+            return (message if name in PLAIN_ERRORS else f"{name}: {message}") if message else name
         try:
-            return json.dumps(error, separators=(",", ":")) if error else "unknown error object"
+            return json.dumps(dict(error), separators=(",", ":")) if error else UNKNOWN_OBJECT
         except TypeError:
-            return "unknown error object"
-    return str(error)
+            return UNKNOWN_OBJECT
+    if isinstance(error, str):
+        return error.strip() or EMPTY_TEXT
+    if isinstance(error, float):
+        return number_text(error)
+    return {None: "null", True: "true", False: "false"}.get(error, str(error)) if error is None or isinstance(error, bool) else str(error)
 
 
 def cleanup_text(package: Column, opened: Column, activation: Column, kept: Column, failures: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import scalars as S
 from .receipts import ReceiptFilter, filter_receipts
@@ -11,6 +12,8 @@ from .receipts import ReceiptFilter, filter_receipts
 # The headers of both exports.
 RECEIPT_HEADER = ("Date", "Invoice ID", "Merchant Name", "Items Purchased", "Total GST/HST")
 REBATE_HEADER = ("Date", "Invoice ID", "Supplier Name", "Brief Description of Purchases", "GST/HST")
+#: Places of the order that are numbered together; a shard is taken for a hundred places.
+SLICE = 100_000
 
 
 def items_text(items: Column) -> Column:
@@ -43,10 +46,18 @@ def header_line(names: tuple[str, ...]) -> str:
 
 
 def image_names(receipts: DataFrame) -> DataFrame:
-    """(id, ord, name): ``date - vendor.jpg``, numbered from the second of a name on, in order."""
+    """(id, ord, name): ``date - vendor.jpg``, numbered from the second of a name on, in order.
+
+    A name that a great share of all receipts have is numbered slice by slice of the order, and each slice's numbers begin behind
+    those of the slices before it, so no task sees more rows than a slice. ``ord`` is a number, or a struct that begins with one."""
     base = F.concat(F.coalesce(F.date_format(S.purchase_date(F.coalesce("purchase_date", F.lit(""))), "yyyy-MM-dd"), F.lit("unknown-date")), F.lit(" - "), S.filename_part(F.coalesce("vendor", F.lit("")), "Unknown retailer"))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("ord"))
-    named = receipts.select("id", "ord", base.alias("base")).withColumn("n", n)
+    kind = receipts.schema["ord"].dataType
+    place = F.col("ord") if not isinstance(kind, StructType) else F.col(f"ord.{kind.fields[0].name}") * (SLICE // 100)
+    named = receipts.select("id", "ord", base.alias("base"), F.floor(place / SLICE).alias("slice"))
+    named = named.withColumn("own", F.row_number().over(Window.partitionBy("base", "slice").orderBy("ord")))
+    sizes = named.groupBy("base", "slice").agg(F.max("own").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("base").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    named = named.join(sizes.select("base", "slice", before.alias("before")), ["base", "slice"]).withColumn("n", F.col("before") + F.col("own"))
     return named.select("id", "ord", F.concat("base", F.when(F.col("n") > 1, F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise(""), F.lit(".jpg")).alias("name"))
 
 

@@ -86,10 +86,12 @@ def count_subsets(cents: list[int], low: int, high: int) -> tuple[int, list[int]
 
 
 def _count_udf():
+    """From an array of low, high and the lines' cents, null where there is nothing to count."""
+
     @F.pandas_udf("struct<n:int,places:array<int>>")
-    def count(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for lists, lows, highs in batches:
-            rows = [count_subsets([int(c) for c in values], int(a), int(b)) for values, a, b in zip(lists, lows, highs)]
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for asked in batches:
+            rows = [(0, []) if values is None else count_subsets([int(c) for c in values[2:]], int(values[0]), int(values[1])) for values in asked]
             yield pd.DataFrame({"n": [r[0] for r in rows], "places": [r[1] for r in rows]})
 
     return count
@@ -100,7 +102,8 @@ def infer(receipts: DataFrame, rate_percent: float | None = None, enumerated: in
 
     Without a positive tax or rate: unmatched. If the subtotal's tax is the receipt's, everything bought is the answer. Else the
     subsets of lines whose sum has that tax are counted: exactly one is an answer, several are ambiguous. Receipts of more than
-    ``enumerated`` lines are counted by an Arrow UDF with one state for each sum, the others without leaving the JVM."""
+    ``enumerated`` lines are counted by an Arrow UDF with one state for each sum, for the others it gets nothing to count. The
+    receipts are read once."""
     points = S.basis_points(rate_percent)
     if points is None:
         return receipts.withColumns({"match_status": F.lit("unmatched"), "description": F.lit("")})
@@ -110,15 +113,21 @@ def infer(receipts: DataFrame, rate_percent: float | None = None, enumerated: in
     taxed = F.coalesce(F.col("_tax") > 0, F.lit(False))
     whole = taxed & F.coalesce(S.tax_cents(F.col("_sub"), rate_percent) == F.col("_tax"), F.lit(False))
     n = F.size("_lines")
-    simple = rows.where(~taxed | whole | (n == 0)).withColumns({"_n": F.lit(0), "_places": F.array().cast("array<int>"), "_whole": whole})
-    open_ = rows.where(taxed & ~whole & (n > 0))
-    named = lambda rows: rows.withColumns({"_n": F.col("_r.n"), "_places": F.col("_r.places"), "_whole": F.lit(False)}).drop("_r")
-    small = named(open_.where(n <= enumerated).withColumn("_r", _enumerate(F.col("_lines"), F.col("_low"), F.col("_high"))))
-    large = named(open_.where(n > enumerated).withColumn("_r", _count_udf()(F.transform("_lines", lambda x: x["cents"]), "_low", "_high")))
-    both = simple.unionByName(small).unionByName(large)
+    rows = rows.withColumns({"_whole": whole, "_open": F.when(taxed & ~whole & (n > 0), n).otherwise(0)})
+    listed = F.concat(F.array("_low", "_high"), F.transform("_lines", lambda x: x["cents"]))
+    counted = rows.withColumn("_counted", _count_udf()(F.when(F.col("_open") > enumerated, listed)))
+    small = F.when(F.col("_open").between(1, enumerated), _enumerate(F.col("_lines"), F.col("_low"), F.col("_high"))).otherwise(F.col("_counted"))
+    both = counted.withColumn("_r", small).withColumns({"_n": F.col("_r.n"), "_places": F.col("_r.places")})
     status = F.when(F.col("_whole") | (F.col("_n") == 1), "matched").when(F.col("_n") > 1, "ambiguous").otherwise("unmatched")
     text = F.when(F.col("_whole"), describe_items(bought_items(F.col("items")))).when(F.col("_n") == 1, describe_items(_picked(F.col("_lines"), F.col("_places")))).otherwise("")
-    return both.withColumns({"match_status": status, "description": text}).drop("_tax", "_sub", "_lines", "_low", "_high", "_n", "_places", "_whole")
+    return both.withColumns({"match_status": status, "description": text}).drop("_tax", "_sub", "_lines", "_low", "_high", "_n", "_places", "_whole", "_open", "_counted", "_r")
+
+
+def check_rate(rate_percent: float) -> float:
+    """Refuses a rate in percent that isn't above 0 and at most 100."""
+    if not 0 < float(rate_percent) <= 100:
+        raise ValueError("enter a rate between 0 and 100 %")
+    return float(rate_percent)
 
 
 def rebate_rows(receipts: DataFrame, from_date: str | None = None, to_date: str | None = None, rate_percent: float | None = None) -> DataFrame:

@@ -16,10 +16,10 @@ def upsert_receipts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows first in their order, over the existing ones of their ids; then the rest. ``rank`` gives the new order.
 
     Both have (id, ord, ..). Incoming values win; a local image of the existing row stays; a merged row is a success without
-    an error text."""
+    an error text. Of existing rows that repeat an id the first one's image counts."""
     names = incoming.columns
-    old = existing.select(F.col("id"), F.col("local_image_url").alias("_image"), F.lit(True).alias("_old")) if "local_image_url" in existing.columns else existing.select("id", F.lit(True).alias("_old"))
-    merged = incoming.join(old.dropDuplicates(["id"]), "id", "left")
+    image = [F.min_by("local_image_url", "ord").alias("_image")] if "local_image_url" in existing.columns else []
+    merged = incoming.join(existing.groupBy("id").agg(F.min(F.lit(True)).alias("_old"), *image), "id", "left")
     if "local_image_url" in names and "local_image_url" in existing.columns:
         merged = merged.withColumn("local_image_url", F.coalesce(F.when(F.col("_image") != "", F.col("_image")), F.col("local_image_url")))
     for name, value in (("status", F.lit("success")), ("error_message", F.lit(None).cast("string"))):
@@ -71,6 +71,51 @@ def mirrored(columns: Sequence[str]) -> list[str]:
     return [c for c in columns if c in MIRRORED]
 
 
+def _merged(document: Column, fields: Column) -> Column:
+    """A JSON object's text with fields (map of VARIANT) set; a text that isn't an object's counts as an empty one."""
+    own = F.coalesce(F.from_json(document, "map<string,variant>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>")))
+    return F.to_json(F.map_concat(F.map_filter(own, lambda k, v: ~F.map_contains_key(fields, k)), fields))
+
+
+def write_edits(shards: DataFrame, details: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables after edits (shard_doc_id, receipt_id, ord, field, value JSON): shards and details.
+
+    A detail takes all fields that its edits set, by the last edit of each (by ``ord``); a detail that isn't there is made. The
+    receipt's metadata in its shard takes the mirrored ones among them; metadata that isn't there, or is no object, stays as it
+    is. Other documents and other fields of the same document keep their values. Both results come from one reading of the
+    edits; they are written by the caller."""
+    last = edits.groupBy("shard_doc_id", "receipt_id", "field").agg(F.max_by("value", "ord").alias("value")).withColumn("value", F.try_parse_json("value"))
+    fields = lambda rows: F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields")
+    keys = ["shard_doc_id", "receipt_id"]
+    joined = details.join(last.groupBy(*keys).agg(fields(last)), keys, "full_outer")
+    data = F.when(F.col("fields").isNotNull(), _merged(F.coalesce("data", F.lit("{}")), F.col("fields"))).otherwise(F.col("data"))
+    written = joined.select(*(data.alias("data") if c == "data" else F.col(c) for c in details.columns))
+    mirrored_ = last.where(F.col("field").isin(*MIRRORED))
+    by_shard = mirrored_.groupBy(*keys).agg(fields(mirrored_)).groupBy("shard_doc_id").agg(F.map_from_entries(F.collect_list(F.struct("receipt_id", F.to_json("fields").alias("fields")))).alias("_edits"))
+
+    def entry(key: Column, value: Column) -> Column:
+        new = F.from_json(F.try_element_at("_edits", key), "map<string,variant>")
+        return F.when(new.isNotNull() & F.ltrim(value).startswith("{"), _merged(value, new)).otherwise(value)
+
+    def text(entries: Column) -> Column:
+        one = lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.char_length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), entry(e["key"], e["value"]))
+        return F.concat(F.lit("{"), F.array_join(F.transform(entries, one), ","), F.lit("}"))
+
+    own = F.map_entries(F.from_json("receipt_metadata", "map<string,variant>"))
+    entries = F.transform(own, lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value")))
+    mirror = F.when(F.col("_edits").isNotNull() & own.isNotNull(), text(entries)).otherwise(F.col("receipt_metadata"))
+    both = shards.join(by_shard.withColumnRenamed("shard_doc_id", "id"), "id", "left")
+    return both.select(*(mirror.alias("receipt_metadata") if c == "receipt_metadata" else F.col(c) for c in shards.columns)), written
+
+
+def replace_images(receipts: DataFrame, changes: DataFrame) -> DataFrame:
+    """Receipts with the last image (by ``ord``) of changes (id, ord, storage_path, image_grayscale); a null gray flag leaves the
+    receipt's as it is, false is written."""
+    last = changes.groupBy("id").agg(F.max_by(F.struct("storage_path", "image_grayscale"), "ord").alias("_new"))
+    values = {"image_url": F.when(F.col("_new").isNotNull(), F.col("_new.storage_path")).otherwise(F.col("image_url")), "image_grayscale": F.coalesce("_new.image_grayscale", "image_grayscale")}
+    return receipts.join(last, "id", "left").select(*(values[c].alias(c) if c in values else F.col(c) for c in receipts.columns))
+
+
 def replace_item(items: Column, index: int, name: str, quantity: float, price: float) -> Column:
     """Items with one replaced; a name, and numbers, are required."""
     if not name.strip():

@@ -59,13 +59,19 @@ def search_cards(purchases: DataFrame, value: str, key: bytes = b"") -> DataFram
     return found.select("purchase_id", F.col("card.id").alias("card_id"), "sales_receipt_id", F.col("card.last4").alias("last4"), F.col("card.denomination").alias("denomination"), F.col("card.state").alias("state"), "activation_receipt_count")
 
 
-def open_results(results: DataFrame, active: DataFrame, archived: DataFrame, everything: DataFrame) -> DataFrame:
-    """Each result with its purchase and card: from the active list, else the archived one, else all purchases."""
-    lists = [p.select(F.lit(rank).alias("source"), F.col("id").alias("purchase_id"), F.explode("cards").alias("card")) for rank, p in enumerate((active, archived, everything))]
-    cards = lists[0].unionByName(lists[1]).unionByName(lists[2]).withColumn("card_id", F.col("card.id"))
-    best = cards.groupBy("purchase_id", "card_id").agg(F.min("source").alias("source"))
-    rows = cards.join(best, ["purchase_id", "card_id", "source"], "left_semi").dropDuplicates(["purchase_id", "card_id"])
-    return results.join(rows, ["purchase_id", "card_id"])
+def open_results(results: DataFrame, *lists: DataFrame) -> DataFrame:
+    """Each result with its purchase and card, and ``source``, the number of the first list that has it: of the active, the archived,
+    and all purchases. One table of all purchases can stand for the three: there a card's state tells the list. Of cards with
+    the same id in a purchase the first counts."""
+    cards = None
+    for rank, purchases in enumerate(lists):
+        one = purchases.select(F.col("id").alias("purchase_id"), F.posexplode("cards").alias("pos", "card"))
+        one = one.withColumn("source", F.lit(rank) if len(lists) > 1 else F.when(is_archived(F.col("card")), 1).otherwise(0))
+        cards = one if cards is None else cards.unionByName(one)
+    keys = ["purchase_id", "card_id"]
+    wanted = cards.withColumn("card_id", F.col("card.id")).join(results.select(*keys), keys, "left_semi")
+    rank = F.struct("source", "pos")
+    return results.join(wanted.groupBy(*keys).agg(F.min_by("card", rank).alias("card"), F.min("source").alias("source")), keys)
 
 
 def card_detail(purchases: DataFrame, purchase_id: str, card_id: str) -> DataFrame:
@@ -92,12 +98,14 @@ def results_with_receipts(results: DataFrame, receipts: DataFrame) -> DataFrame:
 
 
 def upsert_purchase(purchases: DataFrame, changed: DataFrame) -> DataFrame:
-    """Changed purchases in the place of the old ones, new ones in front (lowest ``ord``); those left without cards go."""
-    low = purchases.agg(F.min("ord").alias("low"))
+    """Changed purchases in the place of the old ones, new ones in front: one after the other in the order of their own ``ord``, so the
+    last of them comes first. Of several changes of a purchase the last counts; purchases left without cards go."""
+    last = changed.groupBy("id").agg(F.max_by(F.struct(*(c for c in changed.columns if c != "id")), "ord").alias("_new")).select("id", "_new.*")
+    base = F.coalesce(purchases.agg(F.min("ord")).scalar(), F.lit(0))
+    since = F.col("ord") - changed.agg(F.min("ord")).scalar()
     old = purchases.select("id", F.col("ord").alias("_ord"))
-    base = F.coalesce(low.scalar(), F.lit(0))
-    placed = changed.drop("ord").join(old, "id", "left").withColumn("ord", F.coalesce("_ord", base - 1)).drop("_ord")
-    return purchases.join(changed.select("id").distinct(), "id", "left_anti").unionByName(placed.select(*purchases.columns)).where(F.size("cards") > 0)
+    placed = last.join(old, "id", "left").withColumn("ord", F.coalesce("_ord", base - 1 - since)).drop("_ord")
+    return purchases.join(last.select("id"), "id", "left_anti").unionByName(placed.select(*purchases.columns)).where(F.size("cards") > 0)
 
 
 def cleanup_counts(purchases: DataFrame) -> DataFrame:
@@ -127,12 +135,12 @@ def activation_ordinals(purchases: DataFrame) -> DataFrame:
 
 
 def card_rows(purchases: DataFrame) -> DataFrame:
-    """What the list shows of a card: masked number, short barcode, denomination (0 if unknown), image name."""
+    """What the list shows of a card: masked number, short barcode, denomination (0 if unknown), names of its images."""
     cards = explode_cards(purchases)
     digits = S.digits(F.coalesce("card.last4", F.lit("")))
     plain = F.substring(F.regexp_replace(F.coalesce("card.id", F.lit("card")), "[^a-zA-Z0-9_-]", ""), 1, 24)
     identity = F.when(digits != "", F.right(digits, F.lit(4))).when(plain != "", plain).otherwise("card")
-    return cards.select("purchase_id", F.col("card.id").alias("card_id"), F.concat(F.lit("•••• "), F.coalesce("card.last4", F.lit(""))).alias("masked"), S.short_tail(F.coalesce("card.activation_barcode", F.lit(""))).alias("barcode"), F.coalesce("card.denomination", F.lit(0.0)).alias("denomination"), F.concat(F.lit("package-card-"), identity, F.lit(".jpg")).alias("package_image_name"))
+    return cards.select("purchase_id", F.col("card.id").alias("card_id"), F.concat(F.lit("•••• "), F.coalesce("card.last4", F.lit(""))).alias("masked"), S.short_tail(F.coalesce("card.activation_barcode", F.lit(""))).alias("barcode"), F.coalesce("card.denomination", F.lit(0.0)).alias("denomination"), *(F.concat(F.lit(f"{kind}-card-"), identity, F.lit(".jpg")).alias(f"{kind}_image_name") for kind in ("package", "opened")))
 
 
 _DRAFT_FIELDS = ("storage_path", "activation_barcode", "vanilla_serial", "denomination")

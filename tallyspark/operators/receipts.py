@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..sources import documents as D
 
+# The columns of a receipt.
 COLUMNS = ("id", "vendor", "subtotal", "tax", "total", "category", "purchase_date", "invoice_id", "extracted_text", "extracted_fields", "items", "created_at", "image_url", "image_grayscale", "status", "shard_doc_id")
 # The fields that edits copy into the shard's metadata.
 MIRRORED = ("vendor", "subtotal", "tax", "total", "category", "purchase_date", "invoice_id")
@@ -81,11 +82,11 @@ def expand_shards(shards: DataFrame) -> DataFrame:
 def all_receipts(shards: DataFrame, details: DataFrame) -> DataFrame:
     """Every receipt of the shards once, with ``ord``, the place of its id's first occurrence.
 
-    Details are looked up for entries with incomplete metadata only; the others never take part in the join. Of several
-    entries of an id the first complete one counts, else the last one."""
-    entries = _read(D.shard_entries(shards), "meta", "m").withColumn("whole", complete("m"))
-    lacking = entries.where(~F.col("whole")).join(details.select("shard_doc_id", "receipt_id", "data"), ["shard_doc_id", "receipt_id"], "left")
-    return resolve_duplicates(project(entries.where("whole"), "m").unionByName(project(_read(lacking, "data", "d"), "m", "d")))
+    Details are looked up for entries with incomplete metadata only: the others have no key to look up, so they meet none and are
+    spread over the join's tasks by their shard. Of several entries of an id the first complete one counts, else the last one."""
+    entries = _read(D.shard_entries(shards), "meta", "m").withColumn("asks", F.when(~complete("m"), F.col("receipt_id")))
+    found = details.select("shard_doc_id", F.col("receipt_id").alias("asks"), "data")
+    return resolve_duplicates(project(_read(entries.join(found, ["shard_doc_id", "asks"], "left"), "data", "d"), "m", "d"))
 
 
 def resolve_duplicates(rows: DataFrame) -> DataFrame:
@@ -108,22 +109,24 @@ def in_order(receipts: DataFrame) -> DataFrame:
     return receipts.orderBy(S.epoch_millis(F.col("created_at")).desc_nulls_last(), "ord")
 
 
-def date_bounds(date: Column, from_date: str | None, to_date: str | None) -> Column:
-    """Inclusive bounds on a date; a bound that can't be read asks for nothing, a row without a date fails any bound."""
-    condition = F.lit(True)
-    for bound, above in ((from_date, True), (to_date, False)):
-        value = S.read_date(bound)
-        if value is not None:
-            condition = condition & F.coalesce(date >= F.lit(value) if above else date <= F.lit(value), F.lit(False))
-    return condition
+def date_bounds(date: Column, from_date: str | None, to_date: str | None, stored: bool = False) -> Column:
+    """Inclusive bounds on a date; a bound that can't be read asks for nothing, a row without a date fails any bound.
+
+    A date that is not ``stored`` is computed once for both bounds; a stored one is left to the scan."""
+    low, high = S.read_date(from_date), S.read_date(to_date)
+    if low is None and high is None:
+        return F.lit(True)
+    within = lambda d: F.coalesce((d >= F.lit(low) if low else F.lit(True)) & (d <= F.lit(high) if high else F.lit(True)), F.lit(False))
+    return within(date) if stored else S.let(date, within)
 
 
 def filter_receipts(receipts: DataFrame, wanted: ReceiptFilter) -> DataFrame:
     """Receipts that meet every part of the filter; categories are alternatives, the vendor a part of the name in any case.
 
     Where the table has ``purchase_day`` (the normalised date, materialised) the bounds are pushed down on it."""
-    date = F.col("purchase_day") if "purchase_day" in receipts.columns else S.purchase_date(F.coalesce("purchase_date", F.lit("")))
-    condition = date_bounds(date, wanted.from_date, wanted.to_date)
+    stored = "purchase_day" in receipts.columns
+    date = F.col("purchase_day") if stored else S.purchase_date(F.coalesce("purchase_date", F.lit("")))
+    condition = date_bounds(date, wanted.from_date, wanted.to_date, stored)
     categories = sorted({c.strip() for c in wanted.categories} - {""})
     if categories:
         condition = condition & S.trimmed(F.col("category")).isin(*categories)
@@ -140,6 +143,20 @@ def check_range(wanted: ReceiptFilter) -> None:
         raise ValueError("the range ends before it begins")
 
 
+def with_purchase_day(receipts: DataFrame) -> DataFrame:
+    """Receipts with their normalised date as a column, to be written: filters on stored dates reach the scan."""
+    return receipts.withColumn("purchase_day", S.purchase_date(F.coalesce("purchase_date", F.lit(""))))
+
+
+def export_rows(receipts: DataFrame, wanted: ReceiptFilter) -> DataFrame:
+    """The receipts that an export of CSV lines or images is made of; a bad range, and a filter that nothing meets, are refused."""
+    check_range(wanted)
+    rows = filter_receipts(receipts, wanted)
+    if rows.isEmpty():
+        raise ValueError("no receipts match the selected filters")
+    return rows
+
+
 def group_by_date(receipts: DataFrame, with_rows: bool = False) -> DataFrame:
     """Groups under a date label in the order of their first receipts: label, n, total_cents, first_ord (and the ids)."""
     label = F.when(F.col("purchase_date") == "", "Unknown Date").otherwise(S.date_label(F.col("purchase_date")))

@@ -58,9 +58,10 @@ def receipts(spark: SparkSession, sf_dir: str, with_items: bool = False) -> Data
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard documents of receipts. Every seventh receipt lacks its category; receipts of the second order of a hundred also
     stand in the next shard, complete and under another vendor."""
-    rows = receipts(spark, sf_dir).withColumn("shard", F.floor(F.col("key") / SHARD))
-    again = rows.where(F.col("key") % SHARD == 1).withColumns({"shard": F.col("shard") + 1, "vendor": F.concat(F.lit("again "), F.col("vendor"))})
-    both = rows.withColumn("category", F.when(F.col("key") % 7 == 0, "").otherwise(F.col("category"))).unionByName(again)
+    own = F.floor(F.col("key") / SHARD)
+    both = receipts(spark, sf_dir).withColumn("shard", F.explode(F.when(F.col("key") % SHARD == 1, F.array(own, own + 1)).otherwise(F.array(own))))
+    again = F.col("shard") > own
+    both = both.withColumns({"vendor": F.when(again, F.concat(F.lit("again "), F.col("vendor"))).otherwise(F.col("vendor")), "category": F.when(~again & (F.col("key") % 7 == 0), "").otherwise(F.col("category"))})
     meta = F.to_json(F.struct("vendor", F.col("total").alias("subtotal"), F.lit(0.0).alias("tax"), "total", "category", "purchase_date", "created_at"))
     entries = F.array_sort(F.collect_list(F.struct("key", "id", meta.alias("meta"))))
     # the map's JSON text keeps the order of its entries
@@ -71,9 +72,10 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detail documents: a category for every fourteenth receipt, under another vendor that must not win."""
-    rows = receipts(spark, sf_dir).where(F.col("key") % 14 == 0)
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").where(key % 14 == 0)
     data = F.to_json(F.struct(F.lit("detail vendor").alias("vendor"), F.lit("from detail").alias("category"), F.lit("text").alias("extracted_text")))
-    return rows.select(F.concat(F.lit("s"), F.floor(F.col("key") / SHARD)).alias("shard_doc_id"), F.col("id").alias("receipt_id"), data.alias("data"))
+    return rows.select(F.concat(F.lit("s"), F.floor(key / SHARD)).alias("shard_doc_id"), F.concat(F.lit("r"), key).alias("receipt_id"), data.alias("data"))
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:

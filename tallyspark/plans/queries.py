@@ -16,6 +16,7 @@ from ..operators import receipts as R
 from ..operators import subscriptions as U
 from ..sources import documents as D
 from ..streaming import changes as C
+from ..streaming import uploads as T
 from . import adapter as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +45,7 @@ def spending_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts of a range and two categories by day: number, total, items."""
     wanted = R.ReceiptFilter("1996-01-01", "1998-12-31", ("1-URGENT", "2-HIGH"))
     rows = R.filter_receipts(A.receipts(spark, sf_dir), wanted)
-    lines = A.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.count(F.lit(1)).alias("lines"))
+    lines = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key")).join(rows.select("key"), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("lines"))
     day = S.date_text(S.purchase_date(F.col("purchase_date")))
     return rows.join(lines, "key", "left").groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum(S.cents(F.col("total"))).alias("total_cents"), F.sum("lines").alias("n_items"))
 
@@ -250,7 +251,7 @@ def search_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search, its results opened from the lists, with their retailers."""
     purchases = A.purchases(spark, sf_dir)
     results = P.search_cards(purchases, "00-42")
-    opened = P.open_results(results, P.with_state(purchases, "active"), P.with_state(purchases, "archived"), purchases)
+    opened = P.open_results(results, purchases)
     return P.results_with_receipts(opened, A.receipts(spark, sf_dir)).select("purchase_id", "card_id", "state", "retailer", "activation_receipt_count")
 
 
@@ -272,7 +273,7 @@ def cleanup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.cleanup_counts(A.purchases(spark, sf_dir))
 
 
-@query(f"WITH {_CARDS} SELECT 'p' || k AS purchase_id, 'c' || n AS card_id, '•••• ' || last4 AS masked, '...' || right(lpad(CAST(l_partkey * 7919 + k * 104729 + 1 AS VARCHAR), 30, '0'), 12) AS barcode, l_extendedprice AS denomination, 'package-card-' || last4 || '.jpg' AS package_image_name FROM pc")
+@query(f"WITH {_CARDS} SELECT 'p' || k AS purchase_id, 'c' || n AS card_id, '•••• ' || last4 AS masked, '...' || right(lpad(CAST(l_partkey * 7919 + k * 104729 + 1 AS VARCHAR), 30, '0'), 12) AS barcode, l_extendedprice AS denomination, 'package-card-' || last4 || '.jpg' AS package_image_name, 'opened-card-' || last4 || '.jpg' AS opened_image_name FROM pc")
 def card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.card_rows(A.purchases(spark, sf_dir))
 
@@ -420,9 +421,132 @@ def draft_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.when(P.drafts_valid(draft), "ok").otherwise("no").alias("valid"))
 
 
-@query()
+@query(
+    "WITH x AS (SELECT p_partkey AS id, 10 + p_size % 20 AS x0 FROM part) SELECT id, 80 AS width, 60 AS height, CAST(floor(x0 - (59 - x0) * 0.04) AS BIGINT) AS left_, 10 AS top_, CAST(ceil(59 + (59 - x0) * 0.04) AS BIGINT) AS right_, 49 AS bottom_ FROM x",
+    base=False,
+)
 def auto_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paper on a dark ground, drawn from the parts table's sizes, found and cut out."""
     from ..operators import images as I
 
-    return I.auto_crop(I.drawn(A.table(spark, sf_dir, "part"))).drop("pixels")
+    found = I.auto_crop(I.drawn(A.table(spark, sf_dir, "part")))
+    return found.select("id", "width", "height", *(F.col(f"crop.{n}").alias(f"{n}_") for n in ("left", "top", "right", "bottom")))
+
+
+@query("SELECT 'd' || p_partkey // 2 AS id, arg_max(p_type, (p_partkey % 2, p_partkey)) AS description FROM part WHERE p_partkey % 7 <> 0 GROUP BY 1", base=False)
+def owner_category_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category documents under an address as typed and in lower case; of both copies of an id the one in lower case counts."""
+    k = F.col("p_partkey")
+    email = F.when(k % 7 == 0, "ME@X.ORG").when(k % 2 == 0, "Me@x.org").otherwise("me@x.org")
+    docs = A.table(spark, sf_dir, "part").select(F.concat(F.lit("d"), F.floor(k / 2)).alias("id"), k.alias("ord"), email.alias("owner_email"), F.create_map("p_brand", "p_type").alias("categories"))
+    return D.owner_categories(docs, " Me@x.org ").select("id", F.get(F.map_values("categories"), F.lit(0)).alias("description"))
+
+
+@query("SELECT 'Plus' AS plan_name, c_custkey AS monthly_limit, 'u3' AS owner_email FROM customer WHERE c_custkey % 10 = 3 ORDER BY CAST(c_custkey AS VARCHAR) LIMIT 1", base=False)
+def user_plan_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of a user who isn't known by id, but by address."""
+    k = F.col("c_custkey")
+    email = F.concat(F.lit("u"), k % 10)
+    users = A.table(spark, sf_dir, "customer").select(k.cast("string").alias("uid"), email.alias("owner_email"), F.to_json(F.struct(F.lit("Plus yearly").alias("plan_name"), k.alias("monthly_limit"), email.alias("owner_email"))).alias("data"))
+    return U.user_plan(users, "nobody", "u3").select("plan_name", "monthly_limit", "owner_email")
+
+
+@query(f"WITH {_CARDS} SELECT last4, CASE WHEN archived THEN 'archived' ELSE 'active' END AS state, l_extendedprice AS denomination FROM pc WHERE n = 1 AND k = 1")
+def card_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.card_detail(A.purchases(spark, sf_dir), "p1", "c1").select("card.last4", "card.state", "card.denomination")
+
+
+@query("SELECT o_orderkey AS k, 2 AS n_items, CAST(o_orderkey % 10 AS DOUBLE) AS quantity, CAST(0 AS DOUBLE) AS price, '' AS second_name, CAST(2 AS DOUBLE) AS second_quantity, 1 AS n_fields, 'v' || o_orderkey AS value FROM orders", base=False)
+def detail_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and extracted fields of stored details, with what can't be read among them."""
+    k = F.col("o_orderkey")
+    items = F.concat(F.lit('{"items":[{"name":"a","quantity":"'), k % 10, F.lit('","price":"x"},7,{"name":1,"quantity":2}],'))
+    data = F.concat(items, F.lit('"extracted_fields":[{"label":"l","value":"v'), k, F.lit('"},{"label":"l"},{"label":1,"value":"v"},"t"]}'))
+    rows = A.table(spark, sf_dir, "orders").select(k.alias("k"), F.parse_json(data).alias("d")).select("k", D.items_of(F.col("d")).alias("i"), D.fields_of(F.col("d")).alias("f"))
+    first, second = (F.get("i", F.lit(n)) for n in (0, 1))
+    return rows.select("k", F.size("i").alias("n_items"), first["quantity"].alias("quantity"), first["price"].alias("price"), second["name"].alias("second_name"), second["quantity"].alias("second_quantity"), F.size("f").alias("n_fields"), F.get("f", F.lit(0))["value"].alias("value"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS n, CASE WHEN p_partkey % 3 > 0 THEN CAST(p_partkey AS VARCHAR) || '56' END AS barcode, CASE WHEN p_partkey % 3 = 1 THEN CAST(p_size AS DOUBLE) END AS denomination FROM part", base=False)
+def draft_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cards of drafts: empty ones are left out, digits are kept, an amount that can't be read is none."""
+    k = F.col("p_partkey")
+    text = lambda c: F.when(k % 3 > 0, c).otherwise("")
+    draft = F.struct(F.lit("").alias("storage_path"), text(F.concat(k.cast("string"), F.lit("-5 6"))).alias("activation_barcode"), F.lit("").alias("vanilla_serial"), text(F.when(k % 3 == 1, F.concat(F.lit(" "), F.col("p_size"))).otherwise("none")).alias("denomination"))
+    rows = A.table(spark, sf_dir, "part").select(k.alias("id"), P.draft_cards(F.array(draft)).alias("cards"))
+    one = F.get("cards", F.lit(0))
+    return rows.select("id", F.size("cards").alias("n"), one["activation_barcode"].alias("barcode"), one["denomination"].alias("denomination"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 AND p_size % 2 = 0 THEN 'read' ELSE 'typed' END AS activation_barcode, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE '5' END AS denomination FROM part", base=False)
+def extraction_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted values over those of drafts: an empty text leaves the draft's, a number replaces it."""
+    parts = A.table(spark, sf_dir, "part")
+    drafts = parts.select(F.col("p_partkey").alias("id"), F.lit("typed").alias("activation_barcode"), F.lit("s").alias("vanilla_serial"), F.lit("5").alias("denomination"))
+    new = parts.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 2 == 0, "read").otherwise("").alias("activation_barcode"), F.lit(None).cast("string").alias("serial_number"), F.col("p_size").cast("double").alias("denomination"))
+    return P.overlay_extraction(drafts, new).select("id", "activation_barcode", "denomination")
+
+
+@query(
+    f"WITH {_CARDS}, c AS (SELECT k, count(*) AS n FROM pc GROUP BY k), ch AS (SELECT min(k) AS low FROM c WHERE k % 5 = 0), al AS (SELECT min(k) AS low FROM c) "
+    "SELECT 'p' || k AS id, CASE WHEN k % 5 = 0 THEN 'new' WHEN k % 3 = 0 THEN 'x' || k ELSE 'r' || k END AS sales_receipt_id, n, k AS ord FROM c UNION ALL SELECT 'n' || k, 'new', n, al.low - 1 - (k - ch.low) FROM c, ch, al WHERE k % 50 = 0"
+)
+def purchase_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed purchases in their places, several new ones in front, the last of them first."""
+    purchases = A.purchases(spark, sf_dir)
+    changed = purchases.where("ord % 5 = 0").withColumn("sales_receipt_id", F.lit("new"))
+    new = changed.where("ord % 50 = 0").withColumn("id", F.concat(F.lit("n"), F.col("ord")))
+    return P.upsert_purchase(purchases, changed.unionByName(new)).select("id", "sales_receipt_id", F.size("cards").cast("long").alias("n"), "ord")
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    key = F.col("o_orderkey")
+    edit = lambda field, value, ord_: F.struct(F.lit(field).alias("field"), F.lit(value).alias("value"), F.lit(ord_).alias("ord"))
+    edits = F.array(edit("category", '"older"', 1), edit("category", '"edited"', 2), edit("extracted_text", '"seen"', 1))
+    rows = A.table(spark, sf_dir, "orders").where(key % 7 == 0).select(F.concat(F.lit("s"), F.floor(key / A.SHARD)).alias("shard_doc_id"), F.concat(F.lit("r"), key).alias("receipt_id"), F.explode(edits).alias("e"))
+    return M.write_edits(A.shards(spark, sf_dir), A.details(spark, sf_dir), rows.select("shard_doc_id", "receipt_id", "e.*"))
+
+
+@query("SELECT id, vendor, CASE WHEN k % 7 = 0 THEN 'edited' ELSE category END AS category, 's' || k // 100 AS shard_doc_id, total FROM r")
+def edited_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts after edits that were written to details and to the shards' metadata: the metadata is complete now and counts."""
+    shards, details = _edited(spark, sf_dir)
+    return R.all_receipts(shards, details).select("id", "vendor", "category", "shard_doc_id", "total")
+
+
+@query("SELECT 's' || k // 100 AS shard_doc_id, id AS receipt_id, CASE WHEN k % 14 = 0 THEN 'detail vendor' END AS vendor, 'edited' AS category, 'seen' AS extracted_text FROM r WHERE k % 7 = 0")
+def edited_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _edited(spark, sf_dir)[1]
+    return rows.select("shard_doc_id", "receipt_id", *(F.get_json_object("data", f"$.{n}").alias(n) for n in ("vendor", "category", "extracted_text")))
+
+
+@query("SELECT id, CASE WHEN k % 3 = 0 THEN 'new/' || k ELSE 'old' END AS image_url, CASE WHEN k % 6 = 0 THEN false ELSE true END AS image_grayscale FROM r")
+def image_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New images for every third receipt; half of them say that they aren't gray, the others say nothing."""
+    rows = A.receipts(spark, sf_dir).select("id", "key", F.lit("old").alias("image_url"), F.lit(True).alias("image_grayscale"))
+    changes = rows.where("key % 3 = 0").select("id", F.lit(1).alias("ord"), F.concat(F.lit("new/"), F.col("key")).alias("storage_path"), F.when(F.col("key") % 2 == 0, False).alias("image_grayscale"))
+    return M.replace_images(rows, changes).select("id", "image_url", "image_grayscale")
+
+
+@query(
+    "WITH e AS (SELECT user_id, event_id, ['started', 'stored', 'finalized', 'failed', 'removed'][event_id % 5 + 1] AS kind, CASE WHEN event_id % 2 = 0 THEN 201 ELSE 500 END AS code FROM events), "
+    "l AS (SELECT user_id, arg_max(kind, event_id) AS kind, arg_max(code, event_id) AS code, max(event_id) AS last, min(event_id) AS first FROM e GROUP BY user_id) "
+    "SELECT CASE WHEN kind = 'finalized' THEN 'r' || last ELSE 'u' || user_id END AS id, CASE WHEN kind = 'finalized' THEN 'success' WHEN kind = 'failed' OR kind = 'stored' AND code = 500 THEN 'error' ELSE 'uploading' END AS status, "
+    "CASE WHEN kind = 'failed' THEN 'no network' WHEN kind = 'stored' AND code = 500 THEN 'Upload failed' END AS error_message, first AS ord FROM l WHERE kind <> 'removed'",
+    base=False,
+)
+def upload_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the steps of uploads, a user's as those of one: where each upload stands."""
+    k = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ("started", "stored", "finalized", "failed", "removed"))), (k % 5 + 1).cast("int"))
+    steps = A.table(spark, sf_dir, "events").select(
+        F.concat(F.lit("u"), F.col("user_id")).alias("upload_id"), k.alias("ord"), kind.alias("kind"), F.when(k % 2 == 0, 201).otherwise(500).alias("code"), F.to_json(F.struct(F.concat(F.lit("r"), k).alias("id"))).alias("data"), F.when(k % 5 == 3, "no network").alias("message")
+    )
+    return T.upload_states(steps).select("id", "status", "error_message", "ord")
+
+
+@query("WITH n AS (SELECT max(sh) AS sh FROM (SELECT k // 100 AS sh FROM r UNION ALL SELECT k // 100 + 1 FROM r WHERE k % 100 = 1)) SELECT id, CASE WHEN k // 100 = n.sh OR k % 100 = 1 AND k // 100 + 1 = n.sh THEN 0 ELSE 1 END AS part FROM r, n")
+def latest_shard_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list after the newest shard was read again: its receipts first."""
+    rows = A.receipts(spark, sf_dir).select("id", F.struct(F.col("key").alias("shard_ord"), F.lit(0).alias("pos")).alias("ord"), F.lit("success").alias("status"))
+    return C.refresh_latest(rows, A.shards(spark, sf_dir))[0].select("id", F.col("rank.part").alias("part"))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import merge
+from ..operators import receipts as R
+from ..sources import documents as D
 
 
 def latest_by_key(events: DataFrame, key: str = "user_id", *order: str) -> DataFrame:
@@ -25,6 +27,15 @@ def apply_category_changes(receipts: DataFrame, changes: DataFrame) -> DataFrame
     return merge.update_by_id(receipts, changes.select(F.col("receipt_id").alias("id"), "category", F.col("ts").alias("ord")))
 
 
+def refresh_latest(existing: DataFrame, shards: DataFrame) -> tuple[DataFrame, int]:
+    """The list after a new look at an owner's shards, and the number of pages it has read: the newest shard's receipts are merged into it,
+    and paging goes on from there. Without any shard only rows that aren't saved stay, and no page is read."""
+    newest = D.shard_pages(shards).where("page = 1").drop("page")
+    if newest.isEmpty():
+        return merge.keep_unsaved(existing), 0
+    return merge.upsert_receipts(existing, R.expand_shards(newest)), 1
+
+
 def upsert_stream(stream: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], checkpoint: str):
     """Starts a query that upserts every micro-batch of receipts into a table and stops when the source is drained.
 

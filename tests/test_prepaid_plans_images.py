@@ -30,6 +30,7 @@ def test_search(spark):
     assert [r["card_id"] for r in P.search_cards(purchases(spark), "1" * 16, b"k").collect()] == ["c3"]
     opened = P.open_results(found, P.with_state(purchases(spark), "active"), P.with_state(purchases(spark), "archived"), purchases(spark))
     assert {(r["card_id"], r["source"]) for r in opened.collect()} == {("c1", 0), ("c2", 1)}
+    assert {tuple(r) for r in P.open_results(found, purchases(spark)).collect()} == {tuple(r) for r in opened.collect()}
     receipts = spark.createDataFrame([("r1", "Shop", "2026-02-02")], "id string, vendor string, purchase_date string")
     assert {r["retailer"] for r in P.results_with_receipts(found, receipts).collect()} == {"Shop"}
     assert {(r["id"], r["retailer"], r["shown_date"]) for r in P.with_sales_receipts(purchases(spark), receipts).collect()} == {("p1", "Shop", "2026-02-02"), ("p2", "Retailer", "2026-01-02"), ("p3", "Shop", "2026-02-02")}
@@ -45,6 +46,7 @@ def test_states_counts_and_cleanup(spark):
         P.card_detail(purchases(spark), "p1", "zz").collect()
     assert [(r["receipt_id"], r["ordinal"]) for r in P.activation_ordinals(purchases(spark)).where("purchase_id = 'p1'").orderBy("ordinal").collect()] == [("a1", 1), ("a2", 2)]
     assert {r["package_image_name"] for r in P.card_rows(purchases(spark)).collect()} == {"package-card-3456.jpg", "package-card-9999.jpg"}
+    assert {r["opened_image_name"] for r in P.card_rows(purchases(spark)).collect()} == {"opened-card-3456.jpg", "opened-card-9999.jpg"}
 
 
 def test_purchase_upsert(spark):
@@ -52,6 +54,9 @@ def test_purchase_upsert(spark):
     other = change.withColumn("id", F.lit("p0"))
     got = P.upsert_purchase(purchases(spark), change.unionByName(other)).orderBy("ord").collect()
     assert [(r["id"], r["sales_receipt_id"], r["ord"]) for r in got] == [("p0", "new", -1), ("p1", "new", 0), ("p2", "r9", 1)]
+    more = other.unionByName(other.withColumns({"id": F.lit("p9"), "ord": F.lit(5)})).unionByName(change.withColumns({"sales_receipt_id": F.lit("later"), "ord": F.lit(7)})).unionByName(change)
+    got = P.upsert_purchase(purchases(spark), more).orderBy("ord").collect()
+    assert [(r["id"], r["sales_receipt_id"], r["ord"]) for r in got] == [("p9", "new", -6), ("p0", "new", -1), ("p1", "later", 0), ("p2", "r9", 1)]
 
 
 def test_drafts(spark):
@@ -75,6 +80,8 @@ def test_plans(spark):
     assert (none["plan_name"], none["owner_email"], none["monthly_limit"]) == ("free", "z@z", None)
     plans = spark.createDataFrame([("1", "Free"), ("2", "Plus x"), ("3", "Odd")], "id string, name string")
     assert [r["id"] for r in U.visible_plans(plans, "PLUS").collect()] == ["2"] and U.visible_plans(plans, "odd").count() == 3
+    periods = plans.select(U.billing_period(F.element_at(F.array(*map(F.lit, ("monthly", "yearly", "weekly"))), F.col("id").cast("int"))))
+    assert [r[0] for r in periods.collect()] == ["month", "year", "weekly"]
     raw = spark.createDataFrame([("1", None, None, None, None, None, None)], "id string, name string, features array<string>, interval string, monthly_limit long, payment_plan_id long, price_cents long")
     assert tuple(D.read_plans(raw).first()) == ("1", "", [], "month", 0, 0, None)
 
@@ -114,5 +121,6 @@ def test_crop(spark):
     assert got["large"] == (281, 211, 1317, 987)
     fit = rows.select(I.fit_width(F.lit(2400), F.lit(1200), 1000)).first()[0]
     assert tuple(fit) == (1000, 500)
+    assert [r[0] for r in spark.createDataFrame([(True,), (False,)], "g boolean").select(I.jpeg_quality(F.col("g"))).collect()] == [0.65, 0.75]
     gray = rows.where("id = 'ok'").select(I.gray_pixels(F.col("width"), F.col("height"), F.col("pixels"))).first()[0]
     assert len(gray) == 400 * 300 * 4

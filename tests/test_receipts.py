@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import receipts as R
 from tallyspark.sources import documents as D
+from tallyspark.streaming import changes as C
+from tallyspark.streaming import uploads as T
 
 SHARDS = "ord long, id string, _schema string, owner_email string, shard_index string, receipt_metadata string"
 DETAILS = "shard_doc_id string, receipt_id string, data string"
@@ -69,6 +71,24 @@ def test_filters(spark):
     assert ids(vendor=" CAFÉ ") == ["a"] and ids(vendor="%") == ["a"] and ids(vendor="_") == ["c"] and ids(vendor="caf", categories=["Fuel"]) == ["b"]
     with pytest.raises(ValueError):
         R.check_range(R.ReceiptFilter("2026-07-02", "2026-07-01"))
+    assert ids(from_date="٢٠٢٦-07-01") == ["a", "b", "c"]
+    days = R.with_purchase_day(rows)
+    assert [r["id"] for r in R.filter_receipts(days, R.ReceiptFilter(from_date="2026-07-01")).collect()] == ["b"]
+    assert R.export_rows(rows, R.ReceiptFilter(vendor="x_y")).count() == 1
+    with pytest.raises(ValueError, match="no receipts"):
+        R.export_rows(rows, R.ReceiptFilter(vendor="nobody"))
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_receipts_are_read_once(spark):
+    """The plans of the heavier queries scan each table they need once, or once for each of the two things they need it for."""
+    from tallyspark.plans.queries import QUERIES
+
+    most = {"receipts_dedup": 3, "gst_match": 4, "filter_receipts": 2, "search_cards": 5, "spending_by_day": 5}
+    assert {n: scans(QUERIES[n](spark, "/root/testdata/sf0.001")) for n in most} == most
 
 
 def test_groups_totals_and_order(spark):
@@ -80,6 +100,26 @@ def test_groups_totals_and_order(spark):
     assert R.select_by_id(rows.where("id = 'a'"), rows, "b").first()["id"] == "b"
 
 
+def test_category_scan(spark):
+    docs = spark.createDataFrame([(0, "a", "Me@x.org", {"x": "typed"}), (1, "a", "me@x.org", {"x": "lower"}), (2, "b", "Me@x.org", {"y": None}), (3, "c", "you@x.org", {"z": "no"})], "ord long, id string, owner_email string, categories map<string,string>")
+    assert {r["id"]: r["categories"] for r in D.owner_categories(docs, " Me@x.org").collect()} == {"a": {"x": "lower"}, "b": {"y": None}}
+
+
+def test_refresh_reads_the_newest_shard(spark):
+    old = spark.createDataFrame([("a", (0, 0), "old", "error"), ("z", (0, 1), "z", "success")], "id string, ord struct<shard_ord:bigint,pos:int>, vendor string, status string")
+    docs = shards(spark, {"b": FULL}, {"a": FULL})
+    rows, page = C.refresh_latest(old, docs)
+    assert page == 1 and [(r["id"], r["vendor"], r["status"]) for r in rows.orderBy("rank").collect()] == [("a", "Shop", "success"), ("z", "z", "success")]
+    rows, page = C.refresh_latest(old, docs.limit(0))
+    assert page == 0 and [r["id"] for r in rows.collect()] == ["a"]
+
+
+def test_upload_states(spark):
+    steps = [("u1", 0, "started", None, '{"image_grayscale":true}', None), ("u1", 1, "stored", 204, None, None), ("u2", 2, "started", None, None, None), ("u2", 3, "stored", 500, None, " "), ("u3", 4, "started", None, None, None), ("u3", 5, "finalized", None, '{"id":"r3","vendor":"v"}', None), ("u4", 6, "failed", None, None, "offline"), ("u5", 7, "started", None, None, None), ("u5", 8, "retried", None, None, None), ("u6", 9, "finalized", None, "broken", None)]
+    got = {r["upload_id"]: (r["id"], r["status"], r["error_message"], r["image_grayscale"]) for r in T.upload_states(spark.createDataFrame(steps, "upload_id string, ord long, kind string, code int, data string, message string")).collect()}
+    assert got == {"u1": ("u1", "uploading", None, True), "u2": ("u2", "error", "Upload failed", False), "u3": ("r3", "success", None, False), "u4": ("u4", "error", "offline", False), "u6": ("u6", "success", None, False)}
+
+
 def test_sources(spark):
     token = spark.createDataFrame([("x.eyJlbWFpbCI6ImFAYiIsImV4cCI6NX0.y",), ("bad",), (None,)], "t string")
     assert [r[0] and tuple(r[0]) for r in token.select(D.token_payload(F.col("t"), "email string, exp long")).collect()] == [("a@b", 5), None, None]

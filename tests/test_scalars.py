@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
+from tallyspark.sources import documents as D
 
 
 def each(spark, values, expression, kind="string"):
@@ -80,3 +81,17 @@ def test_quantities(spark):
     assert each(spark, [1.0, 1.5, -2.0, 0.0, None, float("inf")], S.positive_whole, "double") == [1.0, None, None, None, None, None]
     rows = spark.createDataFrame([(" fee ", 2.0), ("fee", 1.5), ("", 1.0)], "n string, q double")
     assert [r[0] for r in rows.select(S.item_description(F.col("n"), F.col("q"))).collect()] == ["2 × fee", "fee", ""]
+
+
+@pytest.mark.parametrize("value, text", [(0.1 + 0.2, "0.30000000000000004"), (5.0, "5"), (-0.0, "0"), (1e21, "1e+21"), (1e-5, "0.00001"), (1e-7, "1e-7"), (float("nan"), "NaN"), (float("-inf"), "-Infinity"), (True, "true"), ({}, "unknown error object"), ({"name": " N ", "message": "m"}, "N: m"), ({"code": 1}, '{"code":1}'), ({"a": {1}}, "unknown error object"), (KeyError(), "KeyError")])
+def test_error_values(value, text):
+    assert S.error_text(value) == text
+
+
+def test_iso_timestamp_and_image_files(spark, tmp_path):
+    stamp = spark.sql("SELECT TIMESTAMP '2026-01-02 03:04:05.678' AS t, CAST(NULL AS TIMESTAMP) AS n")
+    assert tuple(stamp.select(S.iso_timestamp(stamp.t), S.iso_timestamp(stamp.n)).first()) == ("2026-01-02T03:04:05.678Z", None)
+    for name in ("a.JPG", "b.txt", "c.webp"):
+        (tmp_path / name).write_bytes(name.encode())
+    found = D.read_image_files(spark, str(tmp_path)).collect()
+    assert sorted(bytes(r["content"]).decode() for r in found) == ["a.JPG", "c.webp"]
