@@ -12,7 +12,9 @@ same kind before it), which see shouting, symbol noise and repetition whatever t
 
 Toxicity sits in single words, which a sum over a document's length drowns. So it is judged apart, word by word: of the labelled
 documents that hold a word, the share of toxic ones has a beta posterior, and a word is toxic if its lower bound exceeds one half. A
-document with such a word has no part in the target: its weight is minus infinity.
+document with such a word has no part in the target: its weight is minus infinity. Copies are no evidence of their own, or every word of a
+toxic document with many of them would be toxic: documents that agree in the least hash of their five-word sequences, as near copies do
+with the probability of their similarity, count once for each label.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .minhash import shingle_sets
 from .shared import keep, prepare
 
 #: Buckets for words and word pairs (each), and for shapes and shape pairs (each).
@@ -112,10 +115,23 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def toxic_words(docs: DataFrame, known: DataFrame, labelled: int) -> np.ndarray:
-    """The numbers of the toxic words, ascending. known: (doc_id, toxic), of which at most ``labelled`` of either kind are read. The
-    driver gets one row for each word that a toxic document holds."""
-    some = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled) for t in (0, 1)]
-    marked = docs.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("toxic", "text")
+    """The numbers of the toxic words, ascending. known: (doc_id, toxic), of which at most 2 * ``labelled`` are read: those with the least
+    hashed ids, whatever their label, so that toxic ones have the same share among them as among all. The driver gets one row
+    for each word that a toxic document holds."""
+    some = known.where(F.col("toxic").isin(0, 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * labelled)
+    marked = docs.join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = tk.buffers(batch.column(2))
+            for a, b in tk.slices(offsets, _PIECE):
+                values, cuts = shingle_sets(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], 5)
+                full = np.flatnonzero(np.diff(cuts))
+                part = batch.slice(a, b - a).take(pa.array(full))
+                yield pa.RecordBatch.from_arrays([pa.array(values[cuts[full]].view(np.int64)), *part.columns], names=["class", "doc_id", "toxic", "text"])
+
+    classes = marked.mapInArrow(place, "class long, doc_id long, toxic long, text string")
+    marked = classes.groupBy("class", "toxic").agg(F.min_by("text", "doc_id").alias("text")).select("toxic", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, seen = np.zeros((2, WORDS), np.int64), np.zeros(2, np.int64)
