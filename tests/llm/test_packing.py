@@ -46,6 +46,22 @@ def test_both_encoders_agree():
     assert [x.tolist() for x in byte_bpe(PATH)(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\r\n", "\x0b\x0c", "\x85\xa0", " \n\t"])
+def test_long_white_space(blank):
+    from tokenizers import Tokenizer
+
+    whole, encode = Tokenizer.from_file(PATH), byte_bpe(PATH)
+    for n in (999, 1000, 1_000_000):
+        text = "x" + blank * (n // len(blank)) + "y"
+        assert encode([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_documents_with_long_white_space(spark):
+    rows = [(1, "x" + " " * 1_000_000 + "y"), (2, "x" + "\n" * 1_000_000 + "y"), (3, "a b")]
+    got = pack(documents(spark, rows), encoder).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in got} == {i: len(e) + 1 for (i, t), e in zip(rows, byte_bpe(PATH)([t for _, t in rows]))}
+
+
 @pytest.mark.parametrize("capacity", [1024, 16])
 def test_pieces_make_the_documents_again(spark, capacity):
     rows = awkward(1) + [(6, "again and again"), (None, "no id")]
