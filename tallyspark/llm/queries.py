@@ -92,5 +92,19 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_periodic_runs(_table(spark, sf_dir, "documents"), rewrite=repeated_by_id, with_text=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_embedding_dedup, op4_line_dedup, op5_decontaminate, op6_url_filter, op7_quality, op8_minhash_dedup, op9_html_extract, op10_packing, op12_periodic_runs)}
+def word_encoder():
+    import public_tokenizers
+
+    from .vector_packing import word_bpe
+
+    return word_bpe(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_packing import pack_vectors
+
+    return pack_vectors(_table(spark, sf_dir, "documents"), word_encoder, capacity=2048, end_id=0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_embedding_dedup, op4_line_dedup, op5_decontaminate, op6_url_filter, op7_quality, op8_minhash_dedup, op9_html_extract, op10_packing, op12_periodic_runs, op13_vector_packing)}
 ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": substring_dedup.SQL, "op2_warc": warc.SQL, "op3_embedding_dedup": embedding_dedup.SQL, "op4_line_dedup": line_dedup.SQL, "op5_decontaminate": decontaminate.SQL, "op6_url_filter": url_filter.SQL, "op8_minhash_dedup": minhash.SQL, "op9_html_extract": html_extract.SQL, "op12_periodic_runs": periodic_runs.SQL}
