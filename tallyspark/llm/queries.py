@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, html_extract, line_dedup, minhash, periodic_runs, substring_dedup, url_filter, warc
+from . import decontaminate, embedding_dedup, html_extract, line_dedup, minhash, periodic_runs, substring_dedup, url_filter, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), encoder, capacity=1024, end_id=0)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compress_vectors
+
+    return compress_vectors(_table(spark, sf_dir, "embeddings"))[0]
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .periodic_runs import find_periodic_runs, repeated_by_id
 
@@ -106,5 +112,5 @@ def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_vectors(_table(spark, sf_dir, "documents"), word_encoder, capacity=2048, end_id=0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_embedding_dedup, op4_line_dedup, op5_decontaminate, op6_url_filter, op7_quality, op8_minhash_dedup, op9_html_extract, op10_packing, op12_periodic_runs, op13_vector_packing)}
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": substring_dedup.SQL, "op2_warc": warc.SQL, "op3_embedding_dedup": embedding_dedup.SQL, "op4_line_dedup": line_dedup.SQL, "op5_decontaminate": decontaminate.SQL, "op6_url_filter": url_filter.SQL, "op8_minhash_dedup": minhash.SQL, "op9_html_extract": html_extract.SQL, "op12_periodic_runs": periodic_runs.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_embedding_dedup, op4_line_dedup, op5_decontaminate, op6_url_filter, op7_quality, op8_minhash_dedup, op9_html_extract, op10_packing, op11_vector_codes, op12_periodic_runs, op13_vector_packing)}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": substring_dedup.SQL, "op2_warc": warc.SQL, "op3_embedding_dedup": embedding_dedup.SQL, "op4_line_dedup": line_dedup.SQL, "op5_decontaminate": decontaminate.SQL, "op6_url_filter": url_filter.SQL, "op8_minhash_dedup": minhash.SQL, "op9_html_extract": html_extract.SQL, "op11_vector_codes": vector_codes.SQL, "op12_periodic_runs": periodic_runs.SQL}
