@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources import store
 from .receipts import MIRRORED
 
 
@@ -108,6 +109,39 @@ def write_edits(shards: DataFrame, details: DataFrame, edits: DataFrame) -> tupl
     return both.select(*(mirror.alias("receipt_metadata") if c == "receipt_metadata" else F.col(c) for c in shards.columns)), written
 
 
+def store_edits(shards: str, details: str, edits: DataFrame, parts: int, batch: int | None = None) -> tuple[list[int], list[int]]:
+    """``write_edits`` on tables that ``store.write_table`` has laid out: shards by id, details by shard_doc_id, in the same number of parts.
+
+    Both tables get the edits of the parts that these touch, from the same reading; all other files stay. Returns the parts of each table. A batch that runs
+    again, also after it reached one of both tables only, gives the same tables."""
+    spark = edits.sparkSession
+    edits = edits.persist()
+    try:
+        empty = lambda path: store.read_table(spark, path).limit(0)
+        own = edits.select("shard_doc_id")
+        written = store.change_parts(spark, details, ["shard_doc_id"], parts, own, lambda rows: write_edits(empty(shards), rows, edits)[1], batch)
+        mirrors = edits.where(F.col("field").isin(*MIRRORED)).select(F.col("shard_doc_id").alias("id"))
+        mirrored_ = store.change_parts(spark, shards, ["id"], parts, mirrors, lambda rows: write_edits(rows, empty(details), edits)[0], batch)
+        return mirrored_, written
+    finally:
+        edits.unpersist()
+
+
+def store_upserts(path: str, incoming: DataFrame, parts: int, batch: int) -> list[int]:
+    """``upsert_receipts`` on a table of receipts that is laid out by id and has ``batch``, the number of the batch that a row came with: the list's order
+    is the latest batch first, then ``ord``. Of incoming rows that repeat an id the first by ``ord`` stays, as a table holds an id once."""
+    one = incoming.groupBy("id").agg(F.min_by(F.struct(*[c for c in incoming.columns if c != "id"]), "ord").alias("_row")).select("id", "_row.*").persist()
+    try:
+
+        def change(rows: DataFrame) -> DataFrame:
+            merged = upsert_receipts(rows, one)
+            return merged.withColumn("batch", F.when(F.col("rank.part") == 0, F.lit(batch)).otherwise(F.col("batch"))).drop("rank")
+
+        return store.change_parts(incoming.sparkSession, path, ["id"], parts, one.select("id"), change, batch)
+    finally:
+        one.unpersist()
+
+
 def replace_images(receipts: DataFrame, changes: DataFrame) -> DataFrame:
     """Receipts with the last image (by ``ord``) of changes (id, ord, storage_path, image_grayscale); a null gray flag leaves the
     receipt's as it is, false is written."""

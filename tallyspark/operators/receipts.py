@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources import documents as D
+from ..sources import store
 
 # The columns of a receipt.
 COLUMNS = ("id", "vendor", "subtotal", "tax", "total", "category", "purchase_date", "invoice_id", "extracted_text", "extracted_fields", "items", "created_at", "image_url", "image_grayscale", "status", "shard_doc_id")
@@ -104,6 +105,33 @@ def find_receipt(shards: DataFrame, details: DataFrame, receipt_id: str) -> Data
     return project(_read(_read(joined, "meta", "m"), "data", "d"), "m", "d").drop("ord", "complete")
 
 
+def write_index(shards: DataFrame, details: DataFrame, path: str, parts: int = 64) -> None:
+    """Lays out, by receipt id, every entry of the shards with its detail, for ``find_indexed``: one row per id and shard."""
+    entries = D.shard_entries(shards)
+    rows = entries.join(details.select("shard_doc_id", "receipt_id", "data"), ["shard_doc_id", "receipt_id"], "left")
+    store.write_table(rows.select("receipt_id", "shard_doc_id", "ord", "meta", "data"), path, ["receipt_id"], parts)
+
+
+def refresh_index(shards: DataFrame, details: DataFrame, path: str, shard_ids: DataFrame, parts: int = 64, batch: int | None = None) -> list[int]:
+    """Brings the index up to date after changes of the shards ``shard_ids`` (id) or their details; returns the parts rewritten. Entries that these shards have lost
+    are found by a scan of the index's shard column alone."""
+    spark, gone = shards.sparkSession, shard_ids.select(F.col("id").alias("shard_doc_id")).distinct().persist()
+    try:
+        entries = D.shard_entries(shards.join(shard_ids.select("id").distinct(), "id", "left_semi"))
+        fresh = entries.join(details.join(gone, "shard_doc_id", "left_semi").select("shard_doc_id", "receipt_id", "data"), ["shard_doc_id", "receipt_id"], "left").select("receipt_id", "shard_doc_id", "ord", "meta", "data").persist()
+        before = store.read_table(spark, path).select("receipt_id", "shard_doc_id").join(gone, "shard_doc_id", "left_semi")
+        touched = fresh.select("receipt_id").unionByName(before.select("receipt_id"))
+        return store.change_parts(spark, path, ["receipt_id"], parts, touched, lambda rows: rows.join(gone, "shard_doc_id", "left_anti").select(*fresh.columns).unionByName(fresh), batch)
+    finally:
+        gone.unpersist()
+
+
+def find_indexed(spark: SparkSession, path: str, receipt_id: str, parts: int = 64) -> DataFrame:
+    """``find_receipt`` from the index: one part is opened, the id is pushed down to its files, and no shard is parsed."""
+    entry = store.lookup(spark, path, parts, receipt_id=receipt_id).orderBy("ord").limit(1)
+    return project(_read(_read(entry, "meta", "m"), "data", "d"), "m", "d").drop("ord", "complete")
+
+
 def in_order(receipts: DataFrame) -> DataFrame:
     """Newest first by creation time; blank times count as the epoch, unreadable ones come last; ties in scan order."""
     return receipts.orderBy(S.epoch_millis(F.col("created_at")).desc_nulls_last(), "ord")

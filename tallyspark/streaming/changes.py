@@ -49,6 +49,19 @@ def upsert_stream(stream: DataFrame, read: Callable[[], DataFrame], write: Calla
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upsert_parts(stream: DataFrame, path: str, parts: int, checkpoint: str, interval: str | None = None):
+    """Starts a query that upserts every micro-batch of receipts into a stored table (``merge.store_upserts``), rewriting only the parts that it touches.
+
+    A micro-batch that the stream runs again after a failure is recognised by its number. Without an ``interval`` the query stops when the
+    source is drained."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        merge.store_upserts(path, rows, parts, number)
+
+    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
 def windowed_counts(events: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Events of each type by time window, with a watermark for late ones: works on streams and on tables."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
