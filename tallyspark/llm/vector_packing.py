@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain, islice
+from itertools import chain
 from math import isqrt
 
 import numpy as np
@@ -37,14 +38,14 @@ _LETTER, _NUMBER = "a-zªµºß-öø-ʯ", "0-9²³¹¼½¾"
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
 
 
-#: Different words whose ids a worker holds (about 200 bytes each), and words of a text that are looked up together.
-KNOWN, SOME = 500_000, 200_000
+#: Different words whose ids a worker holds (about 200 bytes each), and characters from which on a text's words aren't listed first.
+KNOWN, LONG = 500_000, 1 << 20
 
 
 def word_bpe(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     """Token ids as the ``tokenizers`` file (lower case, white space dropped, words apart) gives them, for a list of texts.
 
-    In texts of Latin letters without special tokens each different word is looked up once; all others go through ``tokenizers`` as a whole."""
+    In texts of Latin letters without special tokens the vocabulary's merges are worked out once for each different word; all others go through ``tokenizers`` as a whole."""
     if path not in _encoders:
         _encoders[path] = _word_bpe(path)
     return _encoders[path]
@@ -61,27 +62,28 @@ def _word_bpe(path: str) -> Callable[[list[str]], list[np.ndarray]]:
 
     whole = Tokenizer.from_file(path)
     special = re.compile("|".join(re.escape(t.content) for t in whole.get_added_tokens_decoder().values()) or "(?!)")
-    known: dict[str, bytes] = {}
-
-    def look_up(words: list[str]) -> bytes:
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            new = list({w for w in words if w not in known})
-            if len(known) + len(new) > KNOWN:
-                known.clear()
-                new = list(set(words))
-            for i in range(0, len(new), 1000):
-                found = whole.encode(" ".join(new[i : i + 1000]), add_special_tokens=False)
-                ids, cuts = np.array(found.ids, "<u4"), np.searchsorted(found.word_ids, np.arange(len(new[i : i + 1000]) + 1)).tolist()
-                known.update((w, ids[x:y].tobytes()) for w, x, y in zip(new[i : i + 1000], cuts, cuts[1:]))
-            return b"".join([known[w] for w in words])
+    model = whole.model
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the vocabulary spells as themselves; the others follow from 256 on
+    spelling = {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*plain}))}
+
+    class Known(dict):
+        def __missing__(self, word: str) -> bytes:
+            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(spelling)
+            ids = array("I", [token.id for token in model.tokenize(spelt)]).tobytes()
+            if len(word) <= 32:
+                if len(self) >= KNOWN:
+                    self.clear()
+                self[word] = ids
+            return ids
+
+    id_of = Known().__getitem__
 
     def one(text: str) -> np.ndarray:
         if _OTHER.search(text) or special.search(text):
             return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4")
-        words = (m[0] for m in _PIECE.finditer(text.lower()))
-        return np.frombuffer(b"".join(iter(lambda: look_up(list(islice(words, SOME))), b"")), "<u4") if len(text) > SOME else np.frombuffer(look_up(_PIECE.findall(text.lower())), "<u4")
+        lower = text.lower()
+        words = _PIECE.findall(lower) if len(lower) < LONG else (m[0] for m in _PIECE.finditer(lower))
+        return np.frombuffer(b"".join(map(id_of, words)), "=u4").astype("<u4", copy=False)
 
     return lambda texts: [one(t) for t in texts]
 

@@ -30,7 +30,7 @@ def test_words_have_the_ids_of_the_whole_text():
 
 def test_more_words_than_are_held(monkeypatch):
     monkeypatch.setattr(V, "KNOWN", 50)
-    monkeypatch.setattr(V, "SOME", 40)
+    monkeypatch.setattr(V, "LONG", 40)
     encode = V._word_bpe(public_tokenizers.path("word_bpe_49k.json"))
     texts = [t or "" for _, t in awkward(2)]
     assert [x.tolist() for x in encode(texts)] == [ids(t) for t in texts]
