@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +13,10 @@ from ..functions import scalars as S
 from . import receipts as R
 
 #: Largest number of candidate lines whose subsets are enumerated as column expressions; more go through the counting UDF,
-#: which needs a state for each sum instead of a step for each subset.
+#: which takes a step for each line, on an array of all sums, instead of one for each subset.
 ENUMERATED = 6
+#: Largest sum (in units of what divides all amounts) for which an array of all sums is made; beyond it only the sums that occur are listed.
+ARRAY = 1 << 26
 # The rows of the form and of its two pages, and the words that mark a line as no purchase.
 MAX_ROWS, PAGE_ROWS = 30, (11, 19)
 _NOT_BOUGHT = r"(?i)\b(?:discount|coupon|adjustment)\b"
@@ -66,23 +69,87 @@ def _enumerate(lines: Column, low: Column, high: Column) -> Column:
     return S.let(good, lambda g: F.struct(F.size(g).alias("n"), S.let(F.get(g, F.lit(0)), places).alias("places")))
 
 
-def count_subsets(cents: list[int], low: int, high: int) -> tuple[int, list[int]]:
-    """Subsets (by place) whose sum lies in low..high, counted up to 2, and the places of one of them.
-
-    The states are sums, each with a count up to 2 and one witness; sums beyond ``high`` can't come back, since no line is
-    negative, so there are at most high + 1 states."""
-    states: dict[int, tuple[int, int]] = {0: (1, 0)}
-    for place, value in enumerate(cents):
-        if value == 0:  # in or out makes no difference to the sum, but two subsets of each one
-            states = {amount: (2, mask) for amount, (_, mask) in states.items()}
+def _reachable(values: np.ndarray, limit: int, low: int | None = None) -> np.ndarray:
+    """For each sum up to ``limit`` how many subsets of the values (all above 0) have it, counted up to 2. Given ``low``, it ends as soon as two subsets
+    have a sum of at least ``low``: what the other values add doesn't matter then."""
+    ways, top = np.zeros(limit + 1, np.uint8), 0
+    ways[0] = 1
+    for value in values.tolist():
+        if value > limit:
             continue
-        for amount in sorted((a for a in states if a + value <= high), reverse=True):
-            n, mask = states[amount]
-            have = states.get(amount + value)
-            states[amount + value] = (n, mask | 1 << place) if have is None else (min(2, have[0] + n), have[1])
-    fits = [s for amount, s in states.items() if low <= amount <= high]
-    witness = fits[0][1] if fits else 0
-    return min(2, sum(n for n, _ in fits)), [i for i in range(len(cents)) if witness >> i & 1]
+        top = min(limit, top + value)
+        ways[value : top + 1] += ways[: top + 1 - value].copy()
+        np.minimum(ways[: top + 1], 2, out=ways[: top + 1])
+        if low is not None and top >= low and int(ways[low : top + 1].sum(dtype=np.int64)) >= 2:
+            break
+    return ways
+
+
+def _few_sums(values: np.ndarray, places: np.ndarray, low: int, high: int) -> tuple[int, list[int]]:
+    """Subsets with a sum in low..high, up to 2, and the only one's places: for sums too far apart for an array of all of them. Each step lists the sums
+    that can be reached, with their ways; the only subset is found by going back through the lists."""
+    steps, ways = [np.zeros(1, np.int64)], np.ones(1, np.int64)
+    for value in values.tolist():
+        sums = np.concatenate([steps[-1], steps[-1] + value])
+        sums, back = np.unique(sums, return_inverse=True)
+        ways = np.minimum(np.bincount(back, np.concatenate([ways, ways])), 2)
+        ways, sums = ways[sums <= high], sums[sums <= high]
+        steps.append(sums)
+        if ways[sums >= low].sum() >= 2:
+            return 2, []
+    fits = np.flatnonzero(steps[-1] >= low)
+    if not len(fits):
+        return 0, []
+    total, chosen = int(steps[-1][fits[0]]), []
+    for i in range(len(values) - 1, -1, -1):
+        if not (steps[i] == total).any():
+            chosen.append(int(places[i]))
+            total -= int(values[i])
+    return 1, chosen
+
+
+def _only_subset(values: np.ndarray, places: np.ndarray, total: int) -> list[int]:
+    """The places of the one subset with this sum: both halves' sums meet in one pair, and each half is divided on."""
+    if total == 0:
+        return []
+    if len(values) == 1:
+        return [int(places[0])]
+    half = len(values) // 2
+    left, right = _reachable(values[:half], total), _reachable(values[half:], total)
+    split = int(np.flatnonzero((left > 0) & (right[::-1] > 0))[0])
+    return _only_subset(values[:half], places[:half], split) + _only_subset(values[half:], places[half:], total - split)
+
+
+def count_subsets(cents: list[int], low: int, high: int) -> tuple[int, list[int]]:
+    """Subsets (by place) whose sum lies in low..high (low above 0), counted up to 2, and the places of one if it is the only one.
+
+    An array has the ways to each sum, up to 2, and takes a value in one step; it ends at the second subset. Where most of the lines are wanted the lines left out are
+    counted instead, amounts are divided by what divides all of them, and values that are too large play no part. A line of 0 cents makes every subset two."""
+    values = np.array(cents, np.int64)
+    places = np.flatnonzero(values > 0)
+    values, zeros = values[places], len(cents) - len(places)
+    order = np.argsort(-values, kind="stable")
+    values, places = values[order], places[order]
+    total = int(values.sum())
+    low, high = max(low, 0), min(high, total)
+    if low > high:
+        return 0, []
+    unit = int(np.gcd.reduce(values)) if len(values) else 1
+    values, total, low, high = values // unit, total // unit, -(-low // unit), high // unit
+    if low > high:
+        return 0, []
+    others = total - low < high  # the lines left out have the smaller sums
+    a, b = (total - high, total - low) if others else (low, high)
+    if b > ARRAY:
+        n, found = _few_sums(values, places, a, b)
+    else:
+        ways = _reachable(values, b, a)[a:]
+        n, found = int(ways.sum(dtype=np.int64)), None
+    n *= 2 if zeros else 1
+    if n != 1:
+        return min(2, n), []
+    chosen = set(_only_subset(values, places, a + int(np.argmax(ways))) if found is None else found)
+    return 1, sorted(set(places.tolist()) - chosen if others else chosen)
 
 
 def _count_udf():
@@ -102,7 +169,7 @@ def infer(receipts: DataFrame, rate_percent: float | None = None, enumerated: in
 
     Without a positive tax or rate: unmatched. If the subtotal's tax is the receipt's, everything bought is the answer. Else the
     subsets of lines whose sum has that tax are counted: exactly one is an answer, several are ambiguous. Receipts of more than
-    ``enumerated`` lines are counted by an Arrow UDF with one state for each sum, for the others it gets nothing to count. The
+    ``enumerated`` lines are counted by an Arrow UDF over arrays of sums, for the others it gets nothing to count. The
     receipts are read once."""
     points = S.basis_points(rate_percent)
     if points is None:

@@ -52,6 +52,45 @@ def test_counting_is_that_of_all_subsets(cents, tax, points):
     assert n == expected and (n != 1 or places == one)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 9).map(lambda x: x * 12), max_size=10), st.integers(1, 400), st.integers(0, 30))
+def test_counting_with_a_common_divisor_and_most_lines(cents, low, more):
+    n, places = G.count_subsets(cents, low, low + more)
+    expected, one = brute(cents, low, low + more)
+    assert n == expected and (n != 1 or places == one)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 40), max_size=9), st.integers(1, 200), st.integers(0, 8))
+def test_counting_by_lists_of_sums(cents, low, more):
+    whole, G.ARRAY = G.ARRAY, -1
+    try:
+        n, places = G.count_subsets(cents, low, low + more)
+    finally:
+        G.ARRAY = whole
+    expected, one = brute(cents, low, low + more)
+    assert n == expected and (n != 1 or places == one)
+
+
+def test_many_lines_take_little_time():
+    import random
+    import time
+
+    rng = random.Random(5)
+    cases = [[rng.randint(100, 5_000) for _ in range(60)], [rng.randint(100, 200_000) for _ in range(100)], [rng.randint(1, 2_000) * 100 for _ in range(100)], [200_000 + i for i in range(100)], [2 ** (i % 18) for i in range(100)]]
+    for cents in cases:
+        for share in (0.02, 0.5, 0.98):
+            low = int(sum(cents) * share)
+            began = time.perf_counter()
+            n, places = G.count_subsets(cents, low, low + 7)
+            assert time.perf_counter() - began < 1 and (n != 1 or low <= sum(cents[i] for i in places) <= low + 7)
+    assert G.count_subsets([10**12 + 7, 3 * 10**12, 5], 10**12 + 12, 10**12 + 12) == (1, [0, 2])
+    alone = [3 ** i for i in range(14)]  # every sum has one subset
+    for chosen in ([0], [13], [1, 5, 9], list(range(14)), list(range(1, 14))):
+        low = sum(alone[i] for i in chosen)
+        assert G.count_subsets(alone, low, low) == (1, chosen)
+
+
 @settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.lists(st.integers(0, 30), min_size=1, max_size=7), st.integers(1, 12)), min_size=20, max_size=60))
 def test_expressions_and_udf_agree(spark, cases):
