@@ -499,12 +499,17 @@ def purchase_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.upsert_purchase(purchases, changed.unionByName(new)).select("id", "sales_receipt_id", F.size("cards").cast("long").alias("n"), "ord")
 
 
-def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def category_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of a category, twice, and of a text for every seventh order."""
     key = F.col("o_orderkey")
     edit = lambda field, value, ord_: F.struct(F.lit(field).alias("field"), F.lit(value).alias("value"), F.lit(ord_).alias("ord"))
     edits = F.array(edit("category", '"older"', 1), edit("category", '"edited"', 2), edit("extracted_text", '"seen"', 1))
     rows = A.table(spark, sf_dir, "orders").where(key % 7 == 0).select(F.concat(F.lit("s"), F.floor(key / A.SHARD)).alias("shard_doc_id"), F.concat(F.lit("r"), key).alias("receipt_id"), F.explode(edits).alias("e"))
-    return M.write_edits(A.shards(spark, sf_dir), A.details(spark, sf_dir), rows.select("shard_doc_id", "receipt_id", "e.*"))
+    return rows.select("shard_doc_id", "receipt_id", "e.*")
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return M.write_edits(A.shards(spark, sf_dir), A.details(spark, sf_dir), category_edits(spark, sf_dir))
 
 
 @query("SELECT id, vendor, CASE WHEN k % 7 = 0 THEN 'edited' ELSE category END AS category, 's' || k // 100 AS shard_doc_id, total FROM r")

@@ -20,7 +20,7 @@ def normal(value):
 def test_queries_give_what_their_sql_gives(spark):
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()
-    for name in "customer part orders lineitem events documents".split():
+    for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         db.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{DIR}/{name}.parquet')")
     assert entry.entry(spark).count() > 0
     for name, sql in ORACLE_SQL.items():

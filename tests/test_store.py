@@ -118,3 +118,13 @@ def test_upsert_stream_rewrites_touched_parts(spark, tmp_path):
     assert len(old & files(path)) >= PARTS - 2
     ordered = store.read_table(spark, path).orderBy(F.col("batch").desc(), "ord").select("id").limit(3).collect()
     assert [r["id"] for r in ordered] == ["r5", "n", "r0"]
+
+
+def test_stored_days_reach_the_scan(spark, tmp_path):
+    rows = spark.createDataFrame([(f"r{i}", f"v{i}", f"2026-{i % 12 + 1:02d}-05") for i in range(200)] + [("x", "v", "bad"), ("y", "v", None)], "id string, vendor string, purchase_date string").withColumn("category", F.lit("c"))
+    R.with_purchase_day(rows).repartitionByRange(6, "purchase_day").write.parquet(str(tmp_path / "days"))
+    wanted = R.ReceiptFilter("2026-03-01", "Apr 30, 2026")
+    stored = R.filter_receipts(spark.read.parquet(str(tmp_path / "days")), wanted)
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(purchase_day,2026-03-01)" in plan and "LessThanOrEqual(purchase_day,2026-04-30)" in plan
+    assert {r["id"] for r in stored.collect()} == {r["id"] for r in R.filter_receipts(rows, wanted).collect()} != set()
