@@ -140,12 +140,12 @@ def in_order(receipts: DataFrame) -> DataFrame:
 def date_bounds(date: Column, from_date: str | None, to_date: str | None, stored: bool = False) -> Column:
     """Inclusive bounds on a date; a bound that can't be read asks for nothing, a row without a date fails any bound.
 
-    A date that is not ``stored`` is computed once for both bounds; a stored one is left to the scan."""
+    A date that is not ``stored`` is computed once for both bounds; a stored one is left to the scan, and null bounds are null then."""
     low, high = S.read_date(from_date), S.read_date(to_date)
     if low is None and high is None:
         return F.lit(True)
-    within = lambda d: F.coalesce((d >= F.lit(low) if low else F.lit(True)) & (d <= F.lit(high) if high else F.lit(True)), F.lit(False))
-    return within(date) if stored else S.let(date, within)
+    within = lambda d: (d >= F.lit(low) if low else F.lit(True)) & (d <= F.lit(high) if high else F.lit(True))
+    return within(date) if stored else S.let(date, lambda d: F.coalesce(within(d), F.lit(False)))
 
 
 def filter_receipts(receipts: DataFrame, wanted: ReceiptFilter) -> DataFrame:
