@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import let
 
-# Largest side that is analysed, padding of a crop, and the margin below which a side counts as cropped.
-ANALYSIS_MAX, MARGIN, CROPPED_MARGIN = 800, 0.04, 0.06
+# Largest side that is analysed, padding of a crop, the margin below which a side counts as cropped, and the width of an exported image.
+ANALYSIS_MAX, MARGIN, CROPPED_MARGIN, EXPORT_MAX = 800, 0.04, 0.06, 1000
 CORNERS = "struct<tl:struct<x:double,y:double>,tr:struct<x:double,y:double>,br:struct<x:double,y:double>,bl:struct<x:double,y:double>,confidence:double>"
 
 
@@ -123,6 +123,54 @@ def shrink(rgba: np.ndarray, most: int = ANALYSIS_MAX) -> np.ndarray:
     return rgba[(np.arange(h) * height // h)[:, None], (np.arange(w) * width // w)[None, :]]
 
 
+def _averaged(values: np.ndarray, size: int) -> np.ndarray:
+    """Rows of ``values`` averaged to ``size`` of them, each over its share of the old ones, parts of a row counting as such."""
+    n = len(values)
+    sums = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)])
+    edges = np.arange(size + 1) * (n / size)
+    whole = np.minimum(edges.astype(np.int64), n)
+    part = (edges - whole).reshape(-1, *[1] * (values.ndim - 1))
+    at = sums[whole] + part * values[np.minimum(whole, n - 1)]
+    return (at[1:] - at[:-1]) * (size / n)
+
+
+def resample(rgba: np.ndarray, width: int, height: int) -> np.ndarray:
+    """The image in a smaller size: each pixel is the mean of the area that it covers, colours weighted by their alpha."""
+    if rgba.shape[:2] == (height, width):
+        return rgba
+    lines = []
+    for i in range(0, len(rgba), 128):  # a stripe at a time across, then all of it down
+        stripe = rgba[i : i + 128].astype(np.float64)
+        stripe[..., :3] *= stripe[..., 3:] / 255
+        lines.append(_averaged(stripe.transpose(1, 0, 2), width).transpose(1, 0, 2))
+    out = _averaged(np.concatenate(lines), height)
+    alpha = out[..., 3:]
+    out[..., :3] = np.where(alpha > 0, out[..., :3] * 255 / np.where(alpha > 0, alpha, 1), 0)
+    return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
+
+
+def _resampled(images: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    for widths, heights, datas, to_widths, to_heights, grays in images:
+        out = []
+        for w, h, d, tw, th, gray in zip(widths, heights, datas, to_widths, to_heights, grays):
+            found = None if pd.isna(w) or pd.isna(h) else _pixels(int(w), int(h), d)
+            small = None if found is None else resample(found, int(tw), int(th))
+            out.append(None if small is None else (grayscale(small) if gray else small).tobytes())
+        yield pd.Series(out, dtype=object)
+
+
+def export_pixels(images: DataFrame, most: int = EXPORT_MAX) -> DataFrame:
+    """Images (width, height, pixels, and image_grayscale if they have it) at no more than ``most`` pixels wide, in gray where the flag says so, with ``quality``, that of
+    the JPEG to be made of them. An image is never enlarged; pixels that can't be read are null, and its size stays."""
+    gray = F.coalesce("image_grayscale", F.lit(False)) if "image_grayscale" in images.columns else F.lit(False)
+    rows = images.withColumns({"_gray": gray, "_fit": fit_width(F.col("width"), F.col("height"), most)})
+    pixels = F.pandas_udf(_resampled, "binary")("width", "height", "pixels", F.coalesce("_fit.width", F.lit(1)), F.coalesce("_fit.height", F.lit(1)), "_gray")
+    rows = rows.withColumn("pixels", pixels)
+    read = F.col("pixels").isNotNull()
+    sizes = {c: F.when(read, F.col(f"_fit.{c}").cast(images.schema[c].dataType)).otherwise(F.col(c)) for c in ("width", "height")}
+    return rows.withColumns(sizes | {"quality": jpeg_quality(F.col("_gray"))}).drop("_gray", "_fit")
+
+
 def _gray(images: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for widths, heights, datas in images:
         found = [_pixels(int(w), int(h), d) for w, h, d in zip(widths, heights, datas)]
@@ -215,19 +263,3 @@ def fit_width(width: Column, height: Column, most: int) -> Column:
 
 def jpeg_quality(gray: Column) -> Column:
     return F.when(gray, 0.65).otherwise(0.75)
-
-
-def drawn(parts: DataFrame) -> DataFrame:
-    """Images for parts (p_partkey, p_size): a white rectangle, its place by the size, on a 80x60 ground of luma 25."""
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            pixels = []
-            for size in rows["p_size"]:
-                image = np.full((60, 80, 4), 25, np.uint8)
-                image[..., 3] = 255
-                image[12:48, 10 + int(size) % 20 : 60] = 255
-                pixels.append(image.tobytes())
-            yield pd.DataFrame({"id": rows["p_partkey"], "width": 80, "height": 60, "pixels": pixels})
-
-    return parts.select("p_partkey", "p_size").mapInPandas(draw, "id long, width int, height int, pixels binary")

@@ -6,6 +6,10 @@ and an impossible one, by the order's number. The tax is that of the first line,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +102,31 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def drawn(parts: DataFrame) -> DataFrame:
+    """Images for parts (p_partkey, p_size): a white rectangle, its place by the size, on a 80x60 ground of luma 25."""
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            pixels = []
+            for size in rows["p_size"]:
+                image = np.full((60, 80, 4), 25, np.uint8)
+                image[..., 3] = 255
+                image[12:48, 10 + int(size) % 20 : 60] = 255
+                pixels.append(image.tobytes())
+            yield pd.DataFrame({"id": rows["p_partkey"], "width": 80, "height": 60, "pixels": pixels})
+
+    return parts.select("p_partkey", "p_size").mapInPandas(draw, "id long, width int, height int, pixels binary")
+
+
+def bitmap(width: int, height: int, rgba: bytes) -> bytes:
+    """A BMP file of 24 bits a pixel."""
+    own = np.frombuffer(rgba, np.uint8).reshape(height, width, 4)
+    lines = np.zeros((height, -(-3 * width // 4) * 4), np.uint8)  # lines are filled up to four bytes, the last one comes first
+    lines[:, : 3 * width] = own[::-1, :, 2::-1].reshape(height, 3 * width)
+    head = np.array([40, width, height, 1 | 24 << 16, 0, lines.size, 2835, 2835, 0, 0], "<u4").tobytes()
+    return b"BM" + np.array([54 + lines.size, 0, 54], "<u4").tobytes() + head + lines.tobytes()
+
+
 #: Common table expressions: r (receipts), i (items with place, from 0, and cents), t (tax and subtotal in cents), d (normalised dates).
 SQL = r"""
 r AS (SELECT o_orderkey AS k, 'r' || o_orderkey AS id, coalesce(c_name, '') AS vendor, o_orderpriority AS category, o_totalprice AS total, o_orderdate,

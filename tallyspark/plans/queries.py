@@ -429,7 +429,7 @@ def auto_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paper on a dark ground, drawn from the parts table's sizes, found and cut out."""
     from ..operators import images as I
 
-    found = I.auto_crop(I.drawn(A.table(spark, sf_dir, "part")))
+    found = I.auto_crop(A.drawn(A.table(spark, sf_dir, "part")))
     return found.select("id", "width", "height", *(F.col(f"crop.{n}").alias(f"{n}_") for n in ("left", "top", "right", "bottom")))
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import exports as X
+from ..operators import images as I
 from ..operators import merge as M
 from ..operators import receipts as R
 from ..sources import archives as Z
+from ..sources import pictures as P
 from ..sources import store
 from . import adapter as A
 from .queries import _WANTED_SQL, WANTED, category_edits, query
@@ -75,3 +77,28 @@ def receipt_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = Z.write_parts(X.image_names(A.receipts(spark, sf_dir)), folder, lambda key: ("image/jpeg", f"image of {key}".encode()))
     Z.join_parts(spark, archive, f"{target}/receipts.zip")
     return Z.read_entries(spark, archive.directory, f"{target}/receipts.zip").select("name", "size", "crc", "offset")
+
+
+def _red(width: str, height: str, pixels: str):
+    """The sum of an image's red values, as a column."""
+    return F.aggregate(F.transform(F.sequence(F.lit(0), F.col(width) * F.col(height) - 1), lambda i: F.conv(F.hex(F.substring(F.col(pixels), 1 + 4 * i, F.lit(1))), 16, 10).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+@query("SELECT p_partkey AS id, 40 AS width, 30 AS height, (25 * 4800 + 230 * (50 - p_size % 20) * 36) // 4 AS red, CASE WHEN p_partkey % 2 = 0 THEN 0.65 ELSE 0.75 END AS quality FROM part", base=False)
+def export_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawn images at half their width, every second one in gray (which leaves gray ones as they are)."""
+    images = A.drawn(A.table(spark, sf_dir, "part")).withColumn("image_grayscale", F.col("id") % 2 == 0)
+    return I.export_pixels(images, 40).select("id", "width", "height", _red("width", "height", "pixels").alias("red"), "quality")
+
+
+@query("SELECT 's' || s_suppkey AS id, CASE WHEN s_suppkey % 5 <> 0 THEN 80 END AS width, CASE WHEN s_suppkey % 5 <> 0 THEN 60 END AS height, CASE WHEN s_suppkey % 5 <> 0 THEN 25 * 4800 + 230 * (50 - s_nationkey % 20) * 36 END AS red, CASE WHEN s_suppkey % 5 = 0 THEN 'no picture of ' || s_suppkey END AS original FROM supplier", base=False)
+def decoded_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bitmap for each supplier, written under a name that says nothing, found and decoded; what is no image comes back as it is."""
+    folder = store.shared_folder(spark, "pictures")
+    drawn = A.drawn(A.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("p_partkey"), F.col("s_nationkey").alias("p_size")))
+    bitmap = F.udf(A.bitmap, "binary")
+    text = F.concat(F.lit("no picture of "), F.col("id")).cast("binary")
+    files = drawn.select(F.concat(F.lit("s"), "id", F.when(F.col("id") % 2 == 0, ".txt").otherwise("")).alias("name"), F.when(F.col("id") % 5 == 0, text).otherwise(bitmap("width", "height", "pixels")).alias("content"))
+    P.save_files(files, folder).write.format("noop").mode("overwrite").save()
+    own = F.regexp_extract("path", r"/(s\d+)[^/]*$", 1)
+    return P.decode_pictures(spark, folder).select(own.alias("id"), "width", "height", _red("width", "height", "pixels").alias("red"), F.col("original").cast("string").alias("original"))

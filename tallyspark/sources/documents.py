@@ -1,4 +1,4 @@
-"""Scans of the document store's tables: owners' shards, details, categories, plans, tokens, settings and image files.
+"""Scans of the document store's tables: owners' shards, details, categories, plans, tokens and settings.
 
 A stored document is schemaless: a receipt's metadata and detail are JSON texts, read as VARIANT and normalised field by field.
 Shards: (ord, id, _schema, owner_email, shard_index, receipt_metadata); details: (shard_doc_id, receipt_id, data). ``ord`` is the
@@ -7,7 +7,7 @@ order in which the store returned the shards; map entries keep their order in th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -106,9 +106,3 @@ def name_settings(stored: Column) -> Column:
     """First and last name from stored JSON; empty where it can't be read."""
     document = F.try_parse_json(stored)
     return F.struct(*(F.coalesce(text_of(document, n), F.lit("")).alias(n) for n in ("firstName", "lastName")))
-
-
-def read_image_files(spark: SparkSession, path: str) -> DataFrame:
-    """Image files of a folder with their bytes; files whose name isn't an image's are left out."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin("jpg", "jpeg", "png", "gif", "bmp", "webp", "heic", "tif", "tiff"))

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
-from tallyspark.sources import documents as D
+from tallyspark.sources.pictures import read_pictures
 
 
 def each(spark, values, expression, kind="string"):
@@ -91,7 +91,7 @@ def test_error_values(value, text):
 def test_iso_timestamp_and_image_files(spark, tmp_path):
     stamp = spark.sql("SELECT TIMESTAMP '2026-01-02 03:04:05.678' AS t, CAST(NULL AS TIMESTAMP) AS n")
     assert tuple(stamp.select(S.iso_timestamp(stamp.t), S.iso_timestamp(stamp.n)).first()) == ("2026-01-02T03:04:05.678Z", None)
-    for name in ("a.JPG", "b.txt", "c.webp"):
-        (tmp_path / name).write_bytes(name.encode())
-    found = D.read_image_files(spark, str(tmp_path)).collect()
-    assert sorted(bytes(r["content"]).decode() for r in found) == ["a.JPG", "c.webp"]
+    for name, start in (("a.JPG", b"\xff\xd8\xff"), ("b.txt", b""), ("c.webp", b"RIFF1234WEBP"), ("d.png", b"no image")):
+        (tmp_path / name).write_bytes(start + name.encode())
+    found = read_pictures(spark, str(tmp_path)).collect()
+    assert sorted(bytes(r["content"])[-5:] for r in found) == [b".webp", b"a.JPG"]
