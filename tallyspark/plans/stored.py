@@ -12,6 +12,7 @@ from ..operators import receipts as R
 from ..sources import archives as Z
 from ..sources import pictures as P
 from ..sources import store
+from ..streaming import timers as W
 from . import adapter as A
 from .queries import _WANTED_SQL, WANTED, category_edits, query
 
@@ -102,3 +103,47 @@ def decoded_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     P.save_files(files, folder).write.format("noop").mode("overwrite").save()
     own = F.regexp_extract("path", r"/(s\d+)[^/]*$", 1)
     return P.decode_pictures(spark, folder).select(own.alias("id"), "width", "height", _red("width", "height", "pixels").alias("red"), F.col("original").cast("string").alias("original"))
+
+
+_DONE = "WITH x AS (SELECT CAST(user_id AS VARCHAR) AS key, ts FROM events WHERE event_type = 'purchase'), y AS (SELECT key, ts, lead(ts) OVER (PARTITION BY key ORDER BY ts) AS n FROM (SELECT DISTINCT key, ts FROM x)), z AS (SELECT key, ts AS due, 'now' AS kind FROM x UNION ALL SELECT key, ts + INTERVAL 1 HOUR, 'later' FROM y WHERE n IS NULL OR n > ts + INTERVAL 1 HOUR) "
+_AT = "SELECT key, CAST(epoch_us(due) AS BIGINT) AS \"at\", kind FROM z"
+
+
+def _timed(rows: DataFrame) -> DataFrame:
+    return rows.select("key", F.unix_micros("at").alias("at"), "kind")
+
+
+@query(_DONE + _AT, base=False)
+def refresh_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases as uploads that ended well: when the list is read again, at once and an hour after the last of a run."""
+    done = A.table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("key"), "ts")
+    return _timed(W.refreshes(done, 3600))
+
+
+@query(_DONE + _AT + ", (SELECT date_trunc('milliseconds', max(ts) - INTERVAL 2 HOUR) AS clock FROM x) WHERE kind = 'now' OR due < clock", base=False)
+def streamed_refreshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream: what is due before the watermark, two hours behind the last event, has been given out."""
+    source = spark.readStream.schema(A.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    done = source.where("event_type = 'purchase'").select(F.col("user_id").alias("key"), "ts")
+    due = W.refreshes_stream(done, "2 hours", 3600)
+    return _timed(W.run_to_table(due, store.shared_folder(spark, "due"), store.shared_folder(spark, "due-state")))
+
+
+@query(
+    "WITH x AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, min(CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END) AS open FROM events WHERE event_type <> 'signup' GROUP BY 1, 2), y AS (SELECT *, lead(ts) OVER (PARTITION BY key ORDER BY ts) AS n FROM x), "
+    "z AS (SELECT key, ts + INTERVAL 6 HOUR AS due, 'unanswered' AS kind FROM y WHERE open = 1 AND (n IS NULL OR n > ts + INTERVAL 6 HOUR)) " + _AT, base=False
+)
+def unanswered_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views and clicks as uploads begun and tried again, what ends them as the other events but sign-ups."""
+    kind = F.when(F.col("event_type") == "view", "started").when(F.col("event_type") == "click", "retried").when(F.col("event_type") != "signup", "failed")
+    return _timed(W.unanswered(A.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", kind.alias("kind")), 6 * 3600))
+
+
+@query(
+    "WITH x AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM x) "
+    "SELECT user_id AS key, CAST(epoch_us(max(ts) + INTERVAL 30 MINUTE) AS BIGINT) AS \"at\", arg_max(event_type, ts) AS event_type, arg_max(value, ts) AS value FROM y GROUP BY user_id, run", base=False
+)
+def settled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last value of each user once nothing more has come for half an hour."""
+    rows = A.table(spark, sf_dir, "events").withColumnRenamed("user_id", "key")
+    return W.settled(rows, ("event_type", "value"), 1800).select("key", F.unix_micros("at").alias("at"), "event_type", "value")
