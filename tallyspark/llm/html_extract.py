@@ -30,8 +30,8 @@ from .url_filter import host_of
 
 #: Bytes of hosts and winning paths that are broadcast at most; beyond, pages are joined to them by a shuffle.
 BROADCAST_BYTES = 16 << 20
-#: Share of a host's votes that its winning path needs.
-MAJORITY = 0.5
+#: Share of a host's votes that its winning path needs, and of the best container's worth that another one under the body needs.
+MAJORITY, BESIDE = 0.5, 0.25
 
 # Element names by their part in a page.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,13 +45,16 @@ _SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _SCOPES, _TABLE_PARTS = frozenset("caption table td th".split()), frozenset("caption tbody td tfoot th thead tr".split())
 _LEFT_OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
-# Class names and ids of what is not the article. They count as a whole name, as its first part (unless the last
-# one only states a condition), and as its last part (unless the first one does).
+# Class names and ids of what is not the article. They count as a whole name, and as the first or last part of a compound whose other parts
+# say where or in what shape it is (a sidebar's box, the site's footer), unless one end only states a condition. In other compounds they are a hint only.
 _LEFT_OUT = frozenset(
     "ad ads advert advertisement advertisements adverts adsense advertising banner breadcrumb breadcrumbs captcha comment commentlist comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notification notifications outbrain pager pagination paywall popup promo promos promotion recommendations recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription taboola toc toolbar widget widgets".split()
 )
 _LEFT_OUT_LAST = _LEFT_OUT | frozenset("disclaimer notice notices overlay teaser teasers".split())
 _LEFT_OUT_WHOLE = frozenset("hidden is-hidden d-none display-none invisible visually-hidden visuallyhidden sr-only screen-reader-text contact-form login-form mailing-form search-form searchform signup-form subscribe-form feedback".split())
+_SHAPES = frozenset(
+    "account all archive area article articles author back bar base big block blocks blog body bottom box btn bubble bundle button buttons callout card cards carousel cell center col column columns component compact container content copy count counter cta custom dark default desktop drawer dropdown embed end entry external featured feed field fixed flex floating follow frame full fullwidth global grid group header heading hero holder home horizontal icon icons image img inline inner item items label large latest layer leaderboard left level light line link links list lists live local locale logo main message middle mini mobile modern module more multi native news online optin outer page pane panel partner placeholder placement popular post posts pre primary print prompt reader readers recent rectangle region right row sec secondary section side simple site skyscraper slide slider slot small source spot sticky stories story stream strip sub submenu switcher tab tablet tabs tag tags target template this thread threads tile title tool tools top trigger txt unit unsubscribe us upper user vertical video view widgetized wide wp wrap wrapped wrapper zone".split()
+)
 _CONDITIONS = frozenset("active closed collapsed count disabled enabled expanded free has hide is layout long no not off on open opened overflow page show visible with without".split())
 _LIKELY = frozenset("article articles blog body content entry main post posts story text".split())
 
@@ -60,6 +63,7 @@ _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"""(=?+[^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|((?!["'])[^\s>]++)))?+|[\s/=]""")
 _LETTERS = frozenset(string.ascii_letters)
 _DIGITS, _PARTS = re.compile(r"\d+"), re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
+_APART = str.maketrans("/|", "::")
 _ZEROS, _LARGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,}")
 
 
@@ -78,23 +82,27 @@ class Node:
         self.text = self.links = self.kept = self.kept_links = self.inner = 0.0
 
 
-#: Why an element is left out: by its tag; by its role or for being hidden; by its class or id; for being a form.
-TAG, ROLE, NAMED, FORM = 1, 2, 3, 4
+#: Why an element is left out: by its tag; by its role or for being hidden; by its class or id; for being a form; by its class or id, unless it is prose.
+TAG, ROLE, NAMED, FORM, HINTED = 1, 2, 3, 4, 5
+#: Elements that are text of an article by themselves: their ids, which are often made from their own words, say nothing, and compounds neither.
+_PROSE = _HEADINGS | {"p", "blockquote", "pre"}
+#: Characters outside of links, and how many times those in links, that make an element with a doubtful name prose.
+PROSE, UNLINKED = 80, 2
 
 
-def _named_out(name: str, tag: str) -> bool:
-    """Whether a class name or id says that an element is not part of an article."""
+def _named_out(name: str, tag: str) -> int:
+    """Whether a class name or id says (NAMED) or hints (HINTED) that an element is not part of an article; 0 if neither."""
     if name.lower() in _LEFT_OUT_WHOLE:
-        return True
+        return NAMED
     parts = [x.lower() for x in _PARTS.findall(name)]
     if not parts:
-        return False
+        return 0
     first, last = parts[0], parts[-1]
-    if first in _LEFT_OUT and (len(parts) == 1 or last not in _CONDITIONS):
-        return True
-    if last not in _LEFT_OUT_LAST or len(parts) > 1 and first in _CONDITIONS:
-        return False
-    return not (last in ("teaser", "teasers") and (tag == "p" or tag in _HEADINGS))
+    if not (first in _LEFT_OUT and (len(parts) == 1 or last not in _CONDITIONS) or last in _LEFT_OUT_LAST and (len(parts) == 1 or first not in _CONDITIONS)):
+        return 0
+    if tag in _PROSE and (len(parts) > 1 or last in ("teaser", "teasers")):
+        return 0
+    return NAMED if all(x in _LEFT_OUT_LAST or x in _SHAPES for x in parts) else HINTED
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -112,15 +120,16 @@ def _look(tag: str, attrs: str) -> tuple[str, int, float]:
     if "=" in attrs or "idden" in attrs or "IDDEN" in attrs:
         found = attributes(attrs)
         classes = html.unescape(found["class"]).split() if "class" in found else []
-        marks = classes + ([found["id"]] if found.get("id") else [])
+        marks = classes + ([found["id"]] if found.get("id") and tag not in _PROSE else [])
         if "hidden" in found and found["hidden"].lower() != "until-found" or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").strip().lower() in _LEFT_OUT_ROLES:
             own = own or ROLE
-        elif not own and tag != "main" and any(_named_out(x, tag) for x in marks):
-            own = NAMED
+        elif not own and tag != "main":
+            said = {_named_out(x, tag) for x in marks}
+            own = NAMED if NAMED in said else HINTED if HINTED in said else 0
         if any(not _LIKELY.isdisjoint(_PARTS.findall(x.lower())) for x in marks):
             hint = 1.3
         if classes:
-            names = "." + ".".join(sorted(_DIGITS.sub("#", x).replace("/", ":") for x in classes))
+            names = "." + ".".join(sorted(_DIGITS.sub("#", x).translate(_APART) for x in classes))
     if tag in ("article", "main"):
         hint = 1.5
     return tag + names, own, hint
@@ -290,23 +299,26 @@ class Page:
         children hold. kept and kept_links: of all that stands in an element and is not left out.
 
         A form that holds more than half of the page's text is the page, and so is an element that does and has the headline, a main element or an
-        article's tag, whatever its names. lenient: 1 if class names and ids don't count, 2 if roles and hidden attributes don't either."""
+        article's tag, whatever its names; one whose name only hints is left out unless it holds prose. lenient: 1 if class names and ids don't count, 2 if roles and hidden attributes don't either."""
         nodes, whole = self.nodes, 0.0
         for x in nodes:
             x.text = x.links = x.kept = x.kept_links = x.inner = 0.0
         for node, text, linked in self.blocks:
             node.kept += len(text) - linked
+            node.kept_links += linked
             whole += len(text) - linked
         for x in reversed(nodes):
             if x.parent is not None:
                 x.parent.kept += x.kept
+                x.parent.kept_links += x.kept_links
                 x.parent.holds = x.parent.holds or x.holds
         for x in nodes:
             most = 2 * x.kept > whole
             counts = x.own == TAG or x.own == ROLE and lenient < 2 or x.own == NAMED and not lenient and not (most and x.holds) or x.own == FORM and not most
+            counts = counts or x.own == HINTED and not lenient and not (most and x.holds) and (x.kept < PROSE or x.kept < UNLINKED * x.kept_links)
             x.outs = counts + (x.parent.outs if x.parent is not None else 0)
         for x in nodes:
-            x.kept = 0.0
+            x.kept = x.kept_links = 0.0
         for node, text, linked in self.blocks:
             if not node.headers or node.heading:
                 node.container.text += len(text)
@@ -341,6 +353,17 @@ class Page:
                 return best
         return None
 
+    def tops(self) -> list[Node]:
+        """The best container, and those beside it right under the body, in page order, that hold prose of at least ``BESIDE`` of its worth: an article need not have
+        one element of its own."""
+        best, root = self.best(), self.root
+        if best is root and not any(node.container is root and not node.outs and (node.heading or not node.headers) for node, _, _ in self.blocks):
+            best = max((x for x in self.nodes if x.container is x and x.parent is root and not x.outs), key=lambda x: x.inner, default=root)  # the body has no text of its own
+        if best is None or best.parent is not root:
+            return [best] if best is not None else []
+        beside = lambda x: x.parent is root and not x.outs and x.inner >= BESIDE * best.inner and x.kept >= UNLINKED * x.kept_links
+        return [x for x in self.nodes if x is best or x.container is x and beside(x)]
+
     def path_of(self, node: Node) -> str:
         labels = []
         while node is not None:
@@ -348,16 +371,16 @@ class Page:
             node = node.parent
         return "/".join(reversed(labels))
 
-    def at(self, path: str) -> list[Node]:
-        """The elements with a path."""
-        spot, labels = 0, path.split("/")
-        if labels[0] != "body":
-            return []
-        for label in labels[1:]:
-            spot = self.paths.get((spot, label), -1)
-            if spot < 0:
-                return []
-        return [x for x in self.nodes if x.path == spot]
+    def at(self, paths: str) -> list[Node]:
+        """The elements with one of the paths, which strokes divide."""
+        spots = set()
+        for path in paths.split("|"):
+            spot, labels = 0, path.split("/")
+            for label in labels[1:]:
+                spot = self.paths.get((spot, label), -1)
+            if labels[0] == "body" and spot >= 0:
+                spots.add(spot)
+        return [x for x in self.nodes if x.path in spots]
 
     def cut(self, tops: list[Node]) -> str:
         """The text in ``tops``, without what is left out below them, and with the headline beside them."""
@@ -391,21 +414,22 @@ class Page:
 
 
 def best_container(page: str) -> tuple[str, float]:
-    """The generalised path of the best container and its score; an empty path for a page without text."""
+    """The generalised path of the best container (paths, if the article has several under the body) and its score; an empty path for a page without text."""
     read = Page(page)
-    best = read.best()
-    return (read.path_of(best), best.inner) if best is not None else ("", 0.0)
+    tops = read.tops()
+    return "|".join(dict.fromkeys(map(read.path_of, tops))), max((x.inner for x in tops), default=0.0)
 
 
 def extract(page: str, path: str | None) -> str:
     """The main text of a page whose host's articles stand at ``path`` (None: by the page's own best container): of all elements
     with that path."""
     read = Page(page)
-    best = read.best()
+    best = read.tops()
     tops = [x for x in read.at(path) if x.own not in (TAG, ROLE)] if path else []
     text = read.cut(tops) if tops else ""
-    if not text and best is not None:
-        text = read.cut([x for x in read.nodes if x is best or x.path == best.path and x.inner > 0])
+    if not text and best:
+        paths = {x.path for x in best}
+        text = read.cut([x for x in read.nodes if any(x is b for b in best) or x.path in paths and x.inner > 0])
     return text
 
 

@@ -71,6 +71,40 @@ def test_names_of_what_is_left_out(name):
     assert extract(page(inner), None) == TEXT if " " not in name else extract(page(inner), None) == f"{TEXT}\nNor this."
 
 
+LONG = "An ordinary part of the article that says something at some length, as articles do. " * 2
+
+
+@pytest.mark.parametrize("mark", ["sharing-data", "related-work", "social", "notice", "comments-on-the-method", "menu", "footer"])
+def test_ids_of_headings_and_paragraphs_say_nothing(mark):
+    for tag in ("h2", "h3", "p", "blockquote", "pre"):
+        assert extract(page(f"<article>{BODY}<{tag} id='{mark}'>Kept words</{tag}><p>{LONG}</p></article>"), None) == f"{TEXT}\nKept words\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("tag, name", [("section", "class=related-work"), ("section", "id=social-history"), ("div", "id=menu-planning"), ("p", "class=share-price"), ("p", "class=comment-analysis"), ("div", "class=text-widget"), ("blockquote", "class=social-contract"), ("p", "id=footer-of-the-letter"), ("div", "class=advertising-law")])
+def test_ordinary_names_stay(tag, name):
+    inner = f"<p>{LONG}</p>" if tag in ("section", "div") else LONG
+    assert extract(page(f"<article>{BODY}<{tag} {name}>{inner}</{tag}><p>End.</p></article>"), None) == f"{TEXT}\n{LONG.strip()}\nEnd."
+
+
+@pytest.mark.parametrize("name", ["social-follow", "share-this", "reader-comments", "comment-thread", "site-menu", "promo-card", "newsletter-cta", "ad-leaderboard", "article-footer", "related-posts", "notice"])
+def test_more_names_of_what_is_left_out(name):
+    junk = f"<p>{'Something that is not the article at all. ' * 5}</p>"
+    assert extract(page(f"<article>{BODY}<div class='{name}'>{junk}</div></article>"), None) == TEXT
+
+
+def test_doubtful_names_of_links_and_little_text():
+    for inner in ("Follow!", "<a href=x>one</a> <a href=y>two</a> " * 30):
+        assert extract(page(f"<article>{BODY}<div class='social-butterfly'>{inner}</div></article>"), None) == TEXT
+
+
+def test_an_article_in_siblings_under_the_body(spark):
+    text = page(f"<div class='intro'><h1>Title</h1><p>{LONG}</p></div><div class='rest'>{BODY * 2}</div><div class='extra'><p>Little.</p></div><div class='more'>{'<p><a href=x>Another headline</a></p>' * 20}</div>")
+    whole = f"Title\n{LONG.strip()}\n{TEXT}\n{TEXT}"
+    assert extract(text, None) == whole and best_container(text)[0] == "body/div.intro|body/div.rest" and extract(text, best_container(text)[0]) == whole
+    table = spark.createDataFrame([(i, "http://a.org/x", text) for i in range(3)] + [(3, "http://a.org/y", page(f"<div class='rest'>{BODY}</div>"))], PAGES)
+    assert {(r["text"], r["path"]) for r in extract_main_text(table).collect()} == {(whole, "body/div.intro|body/div.rest"), (TEXT, "body/div.intro|body/div.rest")}
+
+
 def test_elements_that_end_early_or_never():
     for odd in ("<svg/>", "<iframe/>", "<svg>", "<iframe src=x>", "<textarea>", "<object data=x>", "<select>", "<noscript>", "<title>", "<canvas/>"):
         assert extract(page(f"<article><p>Lead words</p>{odd}{BODY}</article>"), None) == f"Lead words\n{TEXT}", odd
