@@ -98,6 +98,45 @@ def read_date(text: str | None) -> datetime.date | None:
         return None
 
 
+# Date forms beyond the three shapes - ISO with a time; day, month name, year; month name, day, year; month, day, year in numbers - each as year, month,
+# day and what follows; what may follow; and the zones that go by a name.
+_FREE = (
+    (r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:T|\s+)(.*)$", "$1|$2|$3|$4"),
+    (r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})[\s-]+([A-Za-z]{3,9})\.?[\s,-]+(\d{4})(?:$|,?\s+(.*)$)", "$3|$2|$1|$4"),
+    (r"^(?:[A-Za-z]{3,9},?\s+)?([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4})(?:$|,?\s+(.*)$)", "$3|$1|$2|$4"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})(?:$|,?\s+(.*)$)", "$3|$1|$2|$4"),
+)
+_CLOCK = r"^(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?\s*([AaPp][Mm])?\s*([A-Za-z]{1,4})?\s*([+-]\d{2}:?\d{2})?\s*(?:\([^()]*\))?$"
+_ZONES = {"z": "+00:00", "ut": "+00:00", "utc": "+00:00", "gmt": "+00:00", "est": "-05:00", "edt": "-04:00", "cst": "-06:00", "cdt": "-05:00", "mst": "-07:00", "mdt": "-06:00", "pst": "-08:00", "pdt": "-07:00"}
+
+
+def free_time(text: Column) -> Column:
+    """The moment that a free-form date names (mail headers, clocks' own texts, dates with a time in words or numbers), null for other forms.
+
+    A time with a zone is that moment; without one it is the session zone's; without a time it is the day's start. Names of weekdays, and remarks in brackets, say
+    nothing; impossible days, times and zones that aren't known give null."""
+    months = F.create_map(*[F.lit(x) for name, n in MONTHS.items() for x in (name, str(n))])
+    zones = F.create_map(*[F.lit(x) for pair in _ZONES.items() for x in pair])
+
+    def moment(parts: Column) -> Column:
+        year, month, day, rest = (F.get(parts, F.lit(i)) for i in range(4))
+        month = F.when(month.rlike("^[0-9]"), month).otherwise(F.try_element_at(months, F.lower(month)))
+        part = lambda i: F.regexp_extract(rest, _CLOCK, i)
+        hour, half = part(1).try_cast("int"), F.lower(part(4))
+        hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
+        zone = F.when(part(6) != "", F.regexp_replace(part(6), "^(...):?", "$1:")).when(part(5) != "", F.try_element_at(zones, F.lower(part(5)))).otherwise("")
+        known = (part(5) == "") | F.try_element_at(zones, F.lower(part(5))).isNotNull()
+        two = lambda c: F.lpad(c.cast("string"), 2, "0")
+        clock = F.when(rest == "", "00:00:00").when(rest.rlike(_CLOCK) & known, F.concat(two(hour), F.lit(":"), part(2), F.lit(":"), F.when(part(3) == "", "00").otherwise(part(3)), zone))
+        return F.concat(year, F.lit("-"), two(month), F.lit("-"), two(day), F.lit(" "), clock).try_cast("timestamp")
+
+    def read(t: Column) -> Column:
+        found = F.coalesce(*(F.when(t.rlike(form), F.regexp_replace(t, form, order)) for form, order in _FREE))
+        return let(F.split(found, r"\|", 4), moment)
+
+    return let(trimmed(text), read)
+
+
 def date_text(date: Column) -> Column:
     """The date as YYYY-MM-DD, empty for null."""
     return F.coalesce(F.date_format(date, "yyyy-MM-dd"), F.lit(""))
@@ -106,10 +145,8 @@ def date_text(date: Column) -> Column:
 def date_label(text: Column, style: str = "MMMM d, yyyy") -> Column:
     """A purchase date for display. Impossible dates of a known shape and unreadable texts are shown trimmed as they stand.
 
-    ISO timestamps with a time are shown by their date in the session's zone; other free-form dates are not read."""
-    t = trimmed(text)
-    stamp = F.regexp_extract(t, r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}.*$", 0).try_cast("timestamp")
-    return F.coalesce(F.date_format(F.coalesce(purchase_date(text).cast("timestamp"), stamp), style), t)
+    Free-form dates (``free_time``) are shown by their date in the session's zone; what can't be read as one is shown trimmed as well."""
+    return F.coalesce(F.date_format(F.coalesce(purchase_date(text).cast("timestamp"), free_time(text)), style), trimmed(text))
 
 
 def cents(amount: Column) -> Column:

@@ -60,6 +60,17 @@ def date_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.receipts(spark, sf_dir).select("id", S.date_label(F.col("purchase_date")).alias("label"))
 
 
+@query(
+    "SELECT id, CASE WHEN k % 8 = 7 THEN strftime(o_orderdate, '%Y.%m.%d') ELSE strftime(o_orderdate + CASE WHEN k % 8 IN (1, 6) THEN INTERVAL 1 DAY WHEN k % 8 = 5 THEN INTERVAL (-1) DAY ELSE INTERVAL 0 DAY END, '%B %-d, %Y') END AS label FROM r"
+)
+def free_form_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as mail headers, clocks and people write them; some of their zones lie a day ahead or behind."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    forms = ("EEE, dd MMM yyyy' 10:00:00 +0200'", "EEE MMM dd yyyy' 23:30:00 GMT-0200 (Some Time)'", "d MMMM yyyy", "MMM d yyyy' 3:04 PM'", "M/d/yyyy', 12:15:00 AM'", "yyyy-MM-dd'T01:00:00+05:30'", "MMMM d, yyyy' 11:00 pm EST'", "yyyy.MM.dd")
+    text = F.coalesce(*(F.when(k % 8 == i, F.date_format(day, form)) for i, form in enumerate(forms)))
+    return A.table(spark, sf_dir, "orders").select(F.concat(F.lit("r"), k).alias("id"), S.date_label(text).alias("label"))
+
+
 @query(f"SELECT id, vendor, category FROM r JOIN d USING (k) WHERE {_WANTED_SQL}")
 def filter_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.filter_receipts(A.receipts(spark, sf_dir), WANTED).select("id", "vendor", "category")

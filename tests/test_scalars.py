@@ -88,6 +88,18 @@ def test_error_values(value, text):
     assert S.error_text(value) == text
 
 
+def test_free_form_dates(spark):
+    cases = {
+        "Tue, 07 Jul 2026 10:00:00 +0200": "2026-07-07 08:00:00", "Tue Jul 07 2026 23:30:00 GMT-0200 (Central)": "2026-07-08 01:30:00", "7 Jul 2026": "2026-07-07 00:00:00", "07-Jul-2026": "2026-07-07 00:00:00", "July 7 2026": "2026-07-07 00:00:00",
+        " Jul 7, 2026 12:05 am ": "2026-07-07 00:05:00", "Jul. 7, 2026, 12:05 PM": "2026-07-07 12:05:00", "7/7/2026": "2026-07-07 00:00:00", "7/7/2026, 3:04:05 PM": "2026-07-07 15:04:05", "2026-07-07T10:00:00.123Z": "2026-07-07 10:00:00",
+        "2026-07-07 10:00": "2026-07-07 10:00:00", "2026-7-7 9:05 EST": "2026-07-07 14:05:00", "2026-07-07T01:00:00+05:30": "2026-07-06 19:30:00", "Sat, 29 Feb 2025 10:00:00 GMT": None, "Feb 30 2026": None, "7/7/26 1:00": None, "2026-07-07": None,
+        "13/1/2026": None, "Jul 7, 2026 13:00 PM": None, "Jul 7, 2026 25:00": None, "Jul 7, 2026 10:00 XYZ": None, "Jul 7, 2026 noon": None, "Foo 7 2026": None, "soon": None, "": None, "Jul 7 2026 10:00 +2": None,
+    }
+    got = each(spark, list(cases), lambda c: F.date_format(S.free_time(c), "yyyy-MM-dd HH:mm:ss"))
+    assert dict(zip(cases, got)) == cases
+    assert each(spark, [None, "Tue, 07 Jul 2026 23:00:00 -0500", "Jul 7, 2026 noon "], S.date_label) == [None, "July 8, 2026", "Jul 7, 2026 noon"]
+
+
 def test_iso_timestamp_and_image_files(spark, tmp_path):
     stamp = spark.sql("SELECT TIMESTAMP '2026-01-02 03:04:05.678' AS t, CAST(NULL AS TIMESTAMP) AS n")
     assert tuple(stamp.select(S.iso_timestamp(stamp.t), S.iso_timestamp(stamp.n)).first()) == ("2026-01-02T03:04:05.678Z", None)
