@@ -54,10 +54,11 @@ def image_names(receipts: DataFrame) -> DataFrame:
     kind = receipts.schema["ord"].dataType
     place = F.col("ord") if not isinstance(kind, StructType) else F.col(f"ord.{kind.fields[0].name}") * (SLICE // 100)
     named = receipts.select("id", "ord", base.alias("base"), F.floor(place / SLICE).alias("slice"))
+    sizes = named.groupBy("base", "slice").agg(F.count(F.lit(1)).alias("size"))
+    before = F.sum("size").over(Window.partitionBy("base").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("base", "slice", before.alias("before")).where("before > 0")  # of names that go on from a slice before
     named = named.withColumn("own", F.row_number().over(Window.partitionBy("base", "slice").orderBy("ord")))
-    sizes = named.groupBy("base", "slice").agg(F.max("own").alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("base").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    named = named.join(sizes.select("base", "slice", before.alias("before")), ["base", "slice"]).withColumn("n", F.col("before") + F.col("own"))
+    named = named.join(sizes, ["base", "slice"], "left").withColumn("n", F.coalesce("before", F.lit(0)) + F.col("own"))
     return named.select("id", "ord", F.concat("base", F.when(F.col("n") > 1, F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise(""), F.lit(".jpg")).alias("name"))
 
 
