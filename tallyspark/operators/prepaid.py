@@ -100,12 +100,14 @@ def results_with_receipts(results: DataFrame, receipts: DataFrame) -> DataFrame:
 def upsert_purchase(purchases: DataFrame, changed: DataFrame) -> DataFrame:
     """Changed purchases in the place of the old ones, new ones in front: one after the other in the order of their own ``ord``, so the
     last of them comes first. Of several changes of a purchase the last counts; purchases left without cards go."""
-    last = changed.groupBy("id").agg(F.max_by(F.struct(*(c for c in changed.columns if c != "id")), "ord").alias("_new")).select("id", "_new.*")
+    columns = [c for c in purchases.columns if c != "id"]
+    last = changed.groupBy("id").agg(F.max_by(F.struct(*columns), "ord").alias("_new"))
     base = F.coalesce(purchases.agg(F.min("ord")).scalar(), F.lit(0))
-    since = F.col("ord") - changed.agg(F.min("ord")).scalar()
-    old = purchases.select("id", F.col("ord").alias("_ord"))
-    placed = last.join(old, "id", "left").withColumn("ord", F.coalesce("_ord", base - 1 - since)).drop("_ord")
-    return purchases.join(last.select("id"), "id", "left_anti").unionByName(placed.select(*purchases.columns)).where(F.size("cards") > 0)
+    since = F.col("_new.ord") - changed.agg(F.min("ord")).scalar()
+    both = purchases.select("id", F.struct(*columns).alias("_old")).join(last, "id", "full_outer")
+    place = F.when(F.col("_old").isNull(), base - 1 - since).otherwise(F.col("_old.ord"))
+    values = {c: place if c == "ord" else F.when(F.col("_new").isNull(), F.col(f"_old.{c}")).otherwise(F.col(f"_new.{c}")) for c in columns}
+    return both.select(*(values[c].alias(c) if c in values else F.col(c) for c in purchases.columns)).where(F.size("cards") > 0)
 
 
 def cleanup_counts(purchases: DataFrame) -> DataFrame:
