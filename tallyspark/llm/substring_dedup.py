@@ -204,6 +204,10 @@ def _window_rows(s: _Slice, full: np.ndarray, bucket: np.ndarray, key: np.ndarra
     return order, first, distinct, keys, least
 
 
+#: Shuffle partitions at most, whatever the number of buckets.
+TASKS = 20_000
+
+
 def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """Remove each word covered by a ``window``-word sequence that also starts in a document with a smaller id.
 
@@ -218,7 +222,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     spark = prepare(docs.sparkSession)
     slices = keep(slice_documents(docs, id_col, text_col), "slices")
     buckets = max(1, -(-int(slices.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WORDS))
-    parts = max(width(spark), buckets)
+    parts = max(width(spark), min(TASKS, buckets))  # beyond, a task takes several buckets, one after the other
 
     def ask_anchors(row: dict) -> Iterator[pa.RecordBatch]:
         _, bucket, key, block = _Slice(row, window).anchors(buckets)
