@@ -37,6 +37,8 @@ BANDS, ROWS = 30, 5
 SKETCH, CHUNK = 0.65, 1024
 #: Requests to a block that a task answers.
 PROBES = 4096
+#: Shuffle partitions at most, whatever the number of blocks; beyond, a task takes several, one after the other.
+TASKS = 20_000
 #: Shingles in a block of documents that requests are verified against, on the average.
 _BLOCK_SHINGLES = 4_000_000
 #: Bytes of text worked on at once.
@@ -236,7 +238,7 @@ def _unsettled(members: DataFrame, percent: int, sketch: float, blocks: int) ->
             yield from out.compare(int(key), out.members(table), None)
         yield out.flush()
 
-    parts = max(width(spark), -(-rows // 200_000))
+    parts = max(width(spark), min(TASKS, -(-rows // 200_000)))
     small = members.where("chunks = 1").select("key", *MEMBERS).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(within, REQUESTS)
     if not cells:
         return small
@@ -257,7 +259,7 @@ def _unsettled(members: DataFrame, percent: int, sketch: float, blocks: int) ->
     buckets = members.where("chunks > 1").select("key", "chunks").distinct()
     pairs = buckets.select("key", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c1")).select("key", "c1", F.explode(F.sequence("c1", F.col("chunks") - 1)).alias("c2"))
     pairs = keep(pairs.select("key", cell("c1").alias("one"), cell("c2").alias("two")), "pairs")
-    return small.unionByName(pairs.repartition(max(width(spark), min(20_000, pairs.count())), "key", "one", "two").mapInArrow(across, REQUESTS))
+    return small.unionByName(pairs.repartition(max(width(spark), min(TASKS, pairs.count())), "key", "one", "two").mapInArrow(across, REQUESTS))
 
 
 def _block(docs: np.ndarray, blocks: int) -> np.ndarray:
@@ -327,7 +329,7 @@ def verify_blocks(requests: DataFrame, members: DataFrame, texts: DataFrame, k:
             yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], names=["a", "b"])
 
     count = splits.agg(F.sum("splits")).first()[0] or 0
-    return both.repartition(max(parts, count), "block", "split").sortWithinPartitions("block", "split", "kind").mapInArrow(run, "a long, b long")
+    return both.repartition(max(parts, min(TASKS, count)), "block", "split").sortWithinPartitions("block", "split", "kind").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, sketch: float = SKETCH, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
