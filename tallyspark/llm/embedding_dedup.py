@@ -28,12 +28,15 @@ from .shared import drop, forget, keep, new_folder, prepare, read_part, width
 
 #: Vectors in a block, rows in a tile of the matrix product, and blocks that a task compares one block with.
 BLOCK, TILE, RUN = 4096, 1024, 16
+#: Bytes of components that a task holds of each of two blocks: longer vectors make smaller blocks.
+HELD = 128 << 20
 #: Dimensions after which a pair's bound is looked at.
 STEPS = (16, 32)
 
 
 def _unit(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    some = max(1, HELD // (8 * size))
+    for batch in (b.slice(i, some) for b in batches for i in range(0, b.num_rows, some)):
         x = np.zeros((batch.num_rows, size))
         good = np.zeros(batch.num_rows, bool)
         for i, v in enumerate(batch.column(1).to_pylist()):
@@ -52,20 +55,33 @@ def _unit(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 
 
 def _axes(reps: DataFrame, size: int) -> np.ndarray:
-    """The principal axes, most important first; the driver gets size**2 sums."""
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size))
-        for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(0).to_pylist())).reshape(-1, size)
-            total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
-
-    parts = reps.select("unit").mapInArrow(sums, "i long, row array<double>").select("i", F.posexplode("row").alias("j", "x"))
-    total = np.zeros((size, size))
-    for r in parts.groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
-        total[r["i"], r["j"]] = r["x"]
-    return np.linalg.eigh((total + total.T) / 2)[1][:, ::-1]
+    """The principal axes that pairs are compared along first, the most important one first, as columns.
+
+    A block of directions a little wider is multiplied by the table's matrix of products three times; each time tasks send the block's size, ``size`` rows of at
+    most 40 sums, which Spark adds up, and the driver gets one such block. Comparisons are exact whatever the axes."""
+    k = min(size, STEPS[-1] + 8)
+
+    def turned(q: np.ndarray) -> np.ndarray:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, some = np.zeros((size, k)), max(1, HELD // (8 * size))
+            for batch in batches:
+                for i in range(0, batch.num_rows, some):
+                    x = np.frombuffer(b"".join(batch.column(0).slice(i, some).to_pylist())).reshape(-1, size)
+                    total += x.T @ (x @ q)
+            for i in range(0, size, 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, min(size, i + 4096))), pa.array(list(total[i : i + 4096]), pa.list_(pa.float64()))], names=["i", "row"])
+
+        rows = reps.select("unit").mapInArrow(sums, "i long, row array<double>").groupBy("i").agg(*(F.sum(F.get("row", F.lit(j))).alias(f"x{j}") for j in range(k)))
+        out = np.zeros((size, k))
+        for r in rows.collect():
+            out[r["i"]] = r[1:]
+        return out
+
+    q = np.linalg.qr(np.random.default_rng(1).standard_normal((size, k)))[0]
+    for _ in range(2 if k < size else 0):  # a block of all directions needs no turning
+        q = np.linalg.qr(turned(q))[0]
+    inner = q.T @ turned(q)
+    return (q @ np.linalg.eigh((inner + inner.T) / 2)[1][:, ::-1])[:, : STEPS[-1]]
 
 
 def _hook(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -88,7 +104,8 @@ def _compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, s
 
     def leading(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         p = x @ axes
-        tails = [np.sqrt(np.maximum(0, (p[:, k:] ** 2).sum(axis=1))) for k in steps]
+        whole = (x**2).sum(axis=1)
+        tails = [np.sqrt(np.maximum(0, whole - (p[:, :k] ** 2).sum(axis=1))) for k in steps]
         return p, tails
 
     pa_, ta = leading(a)
@@ -103,7 +120,7 @@ def _compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, s
             for n in range(0, len(x), 1 << 16):
                 p, q = x[n : n + (1 << 16)], y[n : n + (1 << 16)]
                 for k, s, t in list(zip(steps, ta, tb))[1:]:
-                    alive = np.einsum("ij,ij->i", pa_[p, :k], pb_[q, :k]) + s[p] * t[q] >= threshold - 1e-9
+                    alive = np.einsum("ij,ij->i", pa_[p, :k], pb_[q, :k]) + s[p] * t[q] >= threshold - 1e-6  # a tail is a difference
                     p, q = p[alive], q[alive]
                 alive = np.einsum("ij,ij->i", a[p], b[q]) >= threshold
                 yield p[alive], q[alive]
@@ -118,12 +135,13 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     longest is taken with zeros behind it. Rows with a null id are left out; rows that repeat an id are vectors of their own.
     Other columns play no part. Comparisons, and bytes read from the shared folder, grow with the square of the number of distinct
     vectors on overlapping ranges of the first axis; bytes shuffled in proportion to the table. A task holds two blocks, of about ``block`` vectors
-    each whatever the vectors are.
+    each whatever the vectors are, fewer if these would take more than ``HELD`` bytes; so one very long vector makes the work on all others slow, not large.
     """
     spark = prepare(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null")
     size = rows.agg(F.max(F.size("v"))).first()[0] or 0
     size = max(int(size), 1)
+    block = max(1, min(block, HELD // (8 * size)))
     unit = keep(rows.mapInArrow(lambda b: _unit(b, size), "vec_id long, unit binary").withColumn("class", F.sha1("unit")), "unit")
     reps = keep(unit.where("unit is not null").groupBy("class").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit")), "vectors")
     axes = _axes(reps, size)

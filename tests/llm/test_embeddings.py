@@ -38,6 +38,28 @@ def test_against_all_pairs(spark, size, block):
     assert got == brute(rows, 0.9)
 
 
+def test_long_vectors_need_little_of_the_driver(spark):
+    import time
+
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4096).tolist()) for i in range(3)] + [(7, [1.0])]
+    rows.append((9, rows[0][1]))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    began = time.perf_counter()
+    got = sorted(tuple(r) for r in link_embeddings(table).collect())
+    assert got == [(0, 1, 0, True), (1, 0, 1, True), (2, 0, 2, True), (7, 0, 7, True), (9, 1, 0, False)]
+    assert time.perf_counter() - began < 30
+
+
+def test_the_axes_are_the_principal_ones(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 60)) * np.geomspace(1, 0.01, 60) @ np.linalg.qr(rng.normal(size=(60, 60)))[0]
+    axes = embedding_dedup._axes(spark.createDataFrame([(v.tobytes(),) for v in x], "unit binary"), 60)
+    best = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    assert axes.shape == (60, 32) and np.abs(axes.T @ axes - np.eye(32)).max() < 1e-10
+    assert all(abs(best[:, i] @ axes[:, i]) > 0.999 for i in range(12))
+
+
 def test_empty_and_null_ids(spark):
     schema = "vec_id long, embedding array<float>"
     assert link_embeddings(spark.createDataFrame([], schema)).count() == 0
