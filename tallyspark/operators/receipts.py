@@ -132,9 +132,13 @@ def find_indexed(spark: SparkSession, path: str, receipt_id: str, parts: int = 6
     return project(_read(_read(entry, "meta", "m"), "data", "d"), "m", "d").drop("ord", "complete")
 
 
-def in_order(receipts: DataFrame) -> DataFrame:
+def list_order() -> list[Column]:
     """Newest first by creation time; blank times count as the epoch, unreadable ones come last; ties in scan order."""
-    return receipts.orderBy(S.epoch_millis(F.col("created_at")).desc_nulls_last(), "ord")
+    return [S.epoch_millis(F.col("created_at")).desc_nulls_last(), F.col("ord").asc()]
+
+
+def in_order(receipts: DataFrame) -> DataFrame:
+    return receipts.orderBy(*list_order())
 
 
 def date_bounds(date: Column, from_date: str | None, to_date: str | None, stored: bool = False) -> Column:
