@@ -51,6 +51,16 @@ def test_next_smaller_suffixes(words, ascending):
         assert agree[i] == next((x for x in range(len(words) - j) if words[i + x] != words[j + x]), len(words) - j)
 
 
+def test_plain_numbers_for_long_documents(monkeypatch):
+    from tallyspark.llm import periodic_runs as P
+
+    rng = random.Random(7)
+    texts = [[rng.choice("ab") for _ in range(rng.randint(0, 60))] for _ in range(300)]
+    expected = [periodic_runs(t) for t in texts]
+    monkeypatch.setattr(P, "LONG", 0)
+    assert [periodic_runs(t) for t in texts] == expected
+
+
 class Counted(str):
     """A word that counts how often it is compared and that can't be hashed."""
 
