@@ -283,6 +283,14 @@ def storage_key(prefix: str, identity: str) -> str:
     return prefix + quote(identity, safe="!'()*-._~")
 
 
+def storage_key_of(prefix: str, identity: Column) -> Column:
+    """``storage_key`` of a column; null for null."""
+    encoded = F.replace(F.url_encode(identity), F.lit("+"), F.lit("%20"))
+    for mark in "!'()~":  # these stay as they are
+        encoded = F.replace(encoded, F.lit(f"%{ord(mark):02X}"), F.lit(mark))
+    return F.concat(F.lit(prefix), encoded)
+
+
 # The texts for errors that say nothing, and the type names that add nothing to a message.
 EMPTY_TEXT, UNKNOWN_OBJECT, PLAIN_ERRORS = "empty error string", "unknown error object", ("", "Error", "Exception")
 

@@ -142,6 +142,18 @@ def store_upserts(path: str, incoming: DataFrame, parts: int, batch: int) -> lis
         one.unpersist()
 
 
+def store_names(path: str, changes: DataFrame, prefix: str, parts: int, batch: int | None = None) -> list[int]:
+    """Writes name settings: of changes (identity, ord, first_name, last_name) the last one of each identity, as JSON under its key, into a table (key, value) laid
+    out by key. Null names are written as empty ones; rows without an identity are left out. Other settings stay as they are."""
+    key = S.storage_key_of(prefix, F.col("identity"))
+    text = F.to_json(F.struct(F.coalesce("first_name", F.lit("")).alias("firstName"), F.coalesce("last_name", F.lit("")).alias("lastName")))
+    new = changes.where("identity is not null").groupBy(key.alias("key")).agg(F.max_by(text, "ord").alias("value")).persist()
+    try:
+        return store.change_parts(changes.sparkSession, path, ["key"], parts, new.select("key"), lambda rows: rows.join(new.select("key"), "key", "left_anti").select("key", "value").unionByName(new), batch)
+    finally:
+        new.unpersist()
+
+
 def replace_images(receipts: DataFrame, changes: DataFrame) -> DataFrame:
     """Receipts with the last image (by ``ord``) of changes (id, ord, storage_path, image_grayscale); a null gray flag leaves the
     receipt's as it is, false is written."""

@@ -10,6 +10,7 @@ from ..operators import images as I
 from ..operators import merge as M
 from ..operators import receipts as R
 from ..sources import archives as Z
+from ..sources import documents as D
 from ..sources import pictures as P
 from ..sources import store
 from ..streaming import timers as W
@@ -105,6 +106,19 @@ def decoded_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.decode_pictures(spark, folder).select(own.alias("id"), "width", "height", _red("width", "height", "pixels").alias("red"), F.col("original").cast("string").alias("original"))
 
 
+@query("SELECT 'names:' || replace(replace(c_name, '#', '%23'), ' ', '%20') || '%20(' || c_nationkey || ')' AS key, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS first, CASE WHEN c_custkey % 3 = 0 THEN 'no ' || c_custkey ELSE '' END AS last FROM customer", base=False)
+def stored_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of every customer, written as settings, a third of them twice and once more in a second batch."""
+    path = store.shared_folder(spark, "settings")
+    store.write_table(spark.createDataFrame([], "key string, value string"), path, ["key"], PARTS)
+    who = F.concat("c_name", F.lit(" ("), "c_nationkey", F.lit(")"))
+    rows = A.table(spark, sf_dir, "customer").select(who.alias("identity"), F.lit(1).alias("ord"), F.lit("old").alias("first_name"), F.lit(None).cast("string").alias("last_name"), "c_custkey")
+    later = rows.where("c_custkey % 3 = 0").withColumns({"first_name": F.lit("new"), "last_name": F.concat(F.lit("no "), "c_custkey")})
+    for batch, changes in ((1, rows.unionByName(later.withColumn("ord", F.lit(0)))), (2, later), (1, rows)):
+        M.store_names(path, changes, "names:", PARTS, batch)
+    return store.read_table(spark, path).select("key", D.name_settings(F.col("value")).alias("n")).select("key", F.col("n.firstName").alias("first"), F.col("n.lastName").alias("last"))
+
+
 _DONE = "WITH x AS (SELECT CAST(user_id AS VARCHAR) AS key, ts FROM events WHERE event_type = 'purchase'), y AS (SELECT key, ts, lead(ts) OVER (PARTITION BY key ORDER BY ts) AS n FROM (SELECT DISTINCT key, ts FROM x)), z AS (SELECT key, ts AS due, 'now' AS kind FROM x UNION ALL SELECT key, ts + INTERVAL 1 HOUR, 'later' FROM y WHERE n IS NULL OR n > ts + INTERVAL 1 HOUR) "
 _AT = "SELECT key, CAST(epoch_us(due) AS BIGINT) AS \"at\", kind FROM z"
 

@@ -11,14 +11,16 @@ left out, and one that was cut off is repeated, which gives the same rows since
 from __future__ import annotations
 
 import atexit
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
-PART, BATCHES, NEXT, READY = "part", "_batches", "_next-", "_ready"
+PART, SCHEMA, BATCHES, NEXT, READY = "part", "_schema", "_batches", "_next-", "_ready"
 _CHECKPOINT = "spark.checkpoint.dir"
 _made: list[tuple[SparkSession, str]] = []
 
@@ -74,15 +76,27 @@ def write_table(rows: DataFrame, path: str, keys: Sequence[str], parts: int = 64
     if PART in rows.columns:
         raise ValueError(f"a column can't be named {PART}")
     _laid_out(rows, keys, parts).mode("overwrite").parquet(path)
+    target, system = _hadoop(rows.sparkSession, f"{path}/{SCHEMA}")
+    out = system.create(target, True)  # a table without rows has no files to tell its columns by
+    out.write(bytearray(rows.schema.json().encode()))
+    out.close()
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    target, system = _hadoop(spark, f"{path}/{SCHEMA}")
+    stream = system.open(target)
+    schema = StructType.fromJson(json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+    stream.close()
+    return spark.read.schema(schema.add(PART, IntegerType())).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop(PART)
+    return _read(spark, path).drop(PART)
 
 
 def lookup(spark: SparkSession, path: str, parts: int, **key: str) -> DataFrame:
     """The rows of a key, given by all key columns in their order: one part is opened, and the key is pushed to its files."""
-    rows = spark.read.parquet(path)
+    rows = _read(spark, path)
     for name, value in key.items():
         rows = rows.where(F.col(name) == F.lit(value))
     place = spark.range(1).select(part_of([F.lit(v) for v in key.values()], parts)).first()[0]
@@ -113,7 +127,7 @@ def change_parts(spark: SparkSession, path: str, keys: Sequence[str], parts: int
         return []
     touched = sorted(r[0] for r in changed_keys.select(part_of(keys, parts)).distinct().collect())  # no more than there are parts
     if touched:
-        old = spark.read.parquet(path)
+        old = _read(spark, path)
         names = [n for n in old.columns if n != PART]
         folder = f"{path}/{NEXT}{uuid.uuid4().hex}"  # no reader of the table looks into it
         try:

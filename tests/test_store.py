@@ -81,6 +81,12 @@ def test_parts_can_be_emptied_but_not_left(spark, tmp_path):
         store.change_parts(spark, path, ["k"], PARTS, a, lambda t: t.withColumn("k", F.concat("k", F.lit("xyz-moved"))).unionByName(spark.range(50).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v"))))
     store.change_parts(spark, path, ["k"], PARTS, a, lambda t: t.where("k <> 'a'"))
     assert [tuple(r) for r in store.read_table(spark, path).collect()] == [("b", 2)]
+    store.change_parts(spark, path, ["k"], PARTS, rows, lambda t: t.limit(0))
+    assert store.read_table(spark, path).count() == 0 and store.lookup(spark, path, PARTS, k="b").count() == 0
+    store.change_parts(spark, path, ["k"], PARTS, rows, lambda t: t.unionByName(rows))
+    assert store.read_table(spark, path).count() == 2
+    store.write_table(rows.limit(0), path, ["k"], PARTS)
+    assert store.read_table(spark, path).columns == ["k", "v"] and store.read_table(spark, path).count() == 0
     with pytest.raises(ValueError, match="part"):
         store.write_table(rows.withColumnRenamed("v", "part"), path, ["k"])
 
@@ -128,3 +134,16 @@ def test_stored_days_reach_the_scan(spark, tmp_path):
     plan = stored._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(purchase_day,2026-03-01)" in plan and "LessThanOrEqual(purchase_d" in plan
     assert {r["id"] for r in stored.collect()} == {r["id"] for r in R.filter_receipts(rows, wanted).collect()} != set()
+
+
+def test_settings(spark, tmp_path):
+    from tallyspark.functions import scalars as S
+    from tallyspark.sources import documents as D
+
+    path, ids = str(tmp_path / "t"), ["a b", "Ü@x.org", "!'()*-._~", "a+b&c=%", ""]
+    rows = spark.createDataFrame([(i, n, f"first {n}", None) for i in ids for n in (1, 2)] + [(None, 1, "x", "y")], "identity string, ord int, first_name string, last_name string")
+    assert [r[0] for r in rows.where("ord = 1").select(S.storage_key_of("p:", F.col("identity"))).collect()] == [*(S.storage_key("p:", i) for i in ids), None]
+    store.write_table(spark.createDataFrame([("other", "{}")], "key string, value string"), path, ["key"], PARTS)
+    M.store_names(path, rows, "p:", PARTS)
+    got = {r["key"]: tuple(r["n"]) for r in store.read_table(spark, path).select("key", D.name_settings(F.col("value")).alias("n")).collect()}
+    assert got == {"other": ("", "")} | {S.storage_key("p:", i): ("first 2", "") for i in ids}
