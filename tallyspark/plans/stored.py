@@ -137,7 +137,10 @@ def refresh_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_DONE + _AT + ", (SELECT date_trunc('milliseconds', max(ts) - INTERVAL 2 HOUR) AS clock FROM x) WHERE kind = 'now' OR due < clock", base=False)
 def streamed_refreshes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a stream: what is due before the watermark, two hours behind the last event, has been given out."""
-    source = spark.readStream.schema(A.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = A.table(spark, sf_dir, "events")
+    folder, _, name = events.inputFiles()[0].rpartition("/")  # a table is one file, or a folder of its own
+    reader = spark.readStream.schema(events.schema)
+    source = reader.parquet(folder) if folder.endswith("/events.parquet") else reader.option("pathGlobFilter", name).parquet(folder)
     done = source.where("event_type = 'purchase'").select(F.col("user_id").alias("key"), "ts")
     due = W.refreshes_stream(done, "2 hours", 3600)
     return _timed(W.run_to_table(due, store.shared_folder(spark, "due"), store.shared_folder(spark, "due-state")))
