@@ -18,6 +18,8 @@ from ..functions import scalars as S
 OWNER = "owner@example.com"
 #: Orders in a shard.
 SHARD = 100
+#: Images that a task draws: a table of sizes is a small file, its images are a thousand times as large.
+DRAWN = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,7 +105,9 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drawn(parts: DataFrame) -> DataFrame:
-    """Images for parts (p_partkey, p_size): a white rectangle, its place by the size, on a 80x60 ground of luma 25."""
+    """Images for parts (p_partkey, p_size): a white rectangle, its place by the size, on a 80x60 ground of luma 25.
+
+    They are spread over tasks by their number, which the files' footers tell, as the scan's own tasks go by bytes."""
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -115,7 +119,8 @@ def drawn(parts: DataFrame) -> DataFrame:
                 pixels.append(image.tobytes())
             yield pd.DataFrame({"id": rows["p_partkey"], "width": 80, "height": 60, "pixels": pixels})
 
-    return parts.select("p_partkey", "p_size").mapInPandas(draw, "id long, width int, height int, pixels binary")
+    rows = parts.select("p_partkey", "p_size")
+    return rows.repartition(max(1, -(-parts.count() // DRAWN)), "p_partkey").mapInPandas(draw, "id long, width int, height int, pixels binary")
 
 
 def bitmap(width: int, height: int, rgba: bytes) -> bytes:

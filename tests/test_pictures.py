@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tallyspark.operators import images as I
-from tallyspark.plans.adapter import bitmap
+from tallyspark.plans.adapter import bitmap, drawn
 from tallyspark.sources import pictures as P
 
 
@@ -98,3 +98,14 @@ def test_export_pixels(spark):
     pixels = lambda i: np.frombuffer(bytes(got[i]["pixels"]), np.uint8).reshape(-1, 4)
     assert (pixels("wide") == [255, 0, 0, 255]).all() and (pixels("gray") == [54, 54, 54, 255]).all() and len(pixels("wide")) == 500_000
     assert pixels("small").tolist() == [[54, 54, 54, 255], [103, 103, 103, 255]] and got["broken"]["pixels"] is None and got["none"]["pixels"] is None
+
+
+def test_whole_means_and_drawn_images_are_spread(spark):
+    rgba = noise(12, 12, alpha=False)
+    rgba[0, :2], rgba[1, :2] = [[1, 1, 1, 255]], [[2, 2, 2, 255]]  # a mean of one and a half
+    small = I.resample(rgba, 6, 4)
+    assert (I.resample(rgba[:2, :2], 1, 1) == [[[2, 2, 2, 255]]]).all()
+    assert (small == np.floor(rgba.reshape(4, 3, 6, 2, 4).sum(axis=(1, 3)) / 6 + 0.5)).all()
+    images = drawn(spark.range(2500).select(F.col("id").alias("p_partkey"), F.lit(5).alias("p_size")).coalesce(1))
+    tasks = images.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) == 3 and sum(r["count"] for r in tasks) == 2500 and max(r["count"] for r in tasks) < 1000
