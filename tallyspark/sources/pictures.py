@@ -74,14 +74,15 @@ def _rgba(images: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -
 def decode_pictures(spark: SparkSession, path: str) -> DataFrame:
     """(path, width, height, pixels, original): RGBA pixels of every file below a folder; for one that can't be decoded its bytes in ``original``, and nulls."""
     images = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(path).select("image.*")
+    known = F.coalesce((F.col("width") > 0) & (F.col("height") > 0) & F.col("data").isNotNull() & F.col("nChannels").isin(1, 3, 4), F.lit(False))
     pixels = F.pandas_udf(_rgba, "binary")("width", "height", "nChannels", "data")
-    size = lambda c: F.when(F.col("pixels").isNotNull(), F.col(c))
-    rows = images.withColumn("pixels", pixels).select(F.col("origin").alias("path"), size("width").alias("width"), size("height").alias("height"), "pixels")
+    decoded = images.where(known).select(F.col("origin").alias("path"), "width", "height", pixels.alias("pixels"), F.lit(None).cast("binary").alias("original"))
     plain = lambda c: F.regexp_replace(c, r"^\w+:/+", "/")
-    broken = rows.where("pixels is null").select(plain("path").alias("_path"))
+    none = [F.lit(None).cast(images.schema[c].dataType).alias(c) for c in ("width", "height")]
+    broken = images.where(~known).select(F.col("origin").alias("path"), plain(F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B")))).alias("_path"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(plain("path").alias("_path"), F.col("content").alias("original"))
-    kept = files.join(broken, "_path", "left_semi")  # only what can't be decoded is carried twice
-    return rows.withColumn("_path", F.when(F.col("pixels").isNull(), plain("path"))).join(kept, "_path", "left").drop("_path")
+    kept = broken.join(files, "_path", "left").select("path", *none, F.lit(None).cast("binary").alias("pixels"), "original")
+    return decoded.unionByName(kept)  # pixels are never shuffled
 
 
 def save_files(files: DataFrame, folder: str) -> DataFrame:
@@ -96,10 +97,10 @@ def save_files(files: DataFrame, folder: str) -> DataFrame:
         system, top = fs.FileSystem.from_uri(folder if re.match(r"\w+:/", folder) else f"file://{folder}")
         for batch in batches:
             rows = []
+            system.create_dir(top, recursive=True)
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if not name or "/" in name or name in (".", ".."):
                     raise ValueError(f"{name!r} can't name a file")
-                system.create_dir(top, recursive=True)
                 aside, path = f"{top}/.{uuid.uuid4().hex}", f"{top}/{name}"
                 data = content.as_py() or b""
                 with system.open_output_stream(aside) as out:

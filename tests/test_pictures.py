@@ -109,3 +109,13 @@ def test_whole_means_and_drawn_images_are_spread(spark):
     images = drawn(spark.range(2500).select(F.col("id").alias("p_partkey"), F.lit(5).alias("p_size")).coalesce(1))
     tasks = images.groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert len(tasks) == 3 and sum(r["count"] for r in tasks) == 2500 and max(r["count"] for r in tasks) < 1000
+
+
+def test_broken_files_with_odd_names(spark, tmp_path):
+    names = ("no image.txt", "a+b%20c.txt", "ü.jpg", "plain")
+    for name in names:
+        (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "an image").write_bytes(png(noise(3, 2)))
+    rows = P.decode_pictures(spark, str(tmp_path))
+    assert {bytes(r["original"]).decode() for r in rows.where("pixels is null").collect()} == set(names)
+    assert [(r["width"], r["height"], r["original"]) for r in rows.where("pixels is not null").collect()] == [(3, 2, None)]
