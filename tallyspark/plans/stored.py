@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import exports as X
@@ -83,12 +83,15 @@ def receipt_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.read_entries(spark, archive.directory, f"{target}/receipts.zip").select("name", "size", "crc", "offset")
 
 
-@F.pandas_udf("long")
-def _red(pixels: pd.Series) -> pd.Series:
-    """The sum of an image's red values, null for none."""
+def _red_sums(pixels: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else int(np.frombuffer(p, np.uint8)[::4].sum()) for p in pixels], dtype="Int64")
 
 
+def _red(pixels: str) -> Column:
+    """The sum of an image's red values, null for none, as a column."""
+    return F.pandas_udf(_red_sums, "long")(pixels)
+
+
 @query("SELECT p_partkey AS id, 40 AS width, 30 AS height, (25 * 4800 + 230 * (50 - p_size % 20) * 36) // 4 AS red, CASE WHEN p_partkey % 2 = 0 THEN 0.65 ELSE 0.75 END AS quality FROM part", base=False)
 def export_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawn images at half their width, every second one in gray (which leaves gray ones as they are)."""
