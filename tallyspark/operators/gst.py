@@ -17,6 +17,8 @@ from . import receipts as R
 ENUMERATED = 6
 #: Largest sum (in units of what divides all amounts) for which an array of all sums is made; beyond it only the sums that occur are listed.
 ARRAY = 1 << 26
+#: Steps of an array of all sums that cost as much as one subset of a half, and the most subsets of a half that are listed.
+STEPS, HALF = 200, 1 << 20
 # The rows of the form and of its two pages, and the words that mark a line as no purchase.
 MAX_ROWS, PAGE_ROWS = 30, (11, 19)
 _NOT_BOUGHT = r"(?i)\b(?:discount|coupon|adjustment)\b"
@@ -85,6 +87,30 @@ def _reachable(values: np.ndarray, limit: int, low: int | None = None) -> np.nda
     return ways
 
 
+def _sums(values: np.ndarray) -> np.ndarray:
+    """The sums of all subsets, by the bits of the subset's number."""
+    sums = np.zeros(1, np.int64)
+    for value in values:
+        sums = np.concatenate([sums, sums + value])
+    return sums
+
+
+def _by_halves(values: np.ndarray, places: np.ndarray, low: int, high: int) -> tuple[int, list[int]]:
+    """How many subsets have a sum in low..high, and the only one's places: the sums of one half's subsets are looked up among those of the other half."""
+    half = len(values) // 2
+    left, right = _sums(values[:half]), _sums(values[half:])
+    order = np.argsort(right, kind="stable")
+    ordered = right[order]
+    first = np.searchsorted(ordered, low - left)
+    many = np.searchsorted(ordered, high - left, "right") - first
+    n = int(many.sum())
+    if n != 1:
+        return n, []
+    i = int(np.argmax(many))
+    number = i | int(order[first[i]]) << half
+    return 1, [int(place) for bit, place in enumerate(places) if number >> bit & 1]
+
+
 def _few_sums(values: np.ndarray, places: np.ndarray, low: int, high: int) -> tuple[int, list[int]]:
     """Subsets with a sum in low..high, up to 2, and the only one's places: for sums too far apart for an array of all of them. Each step lists the sums
     that can be reached, with their ways; the only subset is found by going back through the lists."""
@@ -123,7 +149,8 @@ def _only_subset(values: np.ndarray, places: np.ndarray, total: int) -> list[int
 def count_subsets(cents: list[int], low: int, high: int) -> tuple[int, list[int]]:
     """Subsets (by place) whose sum lies in low..high (low above 0), counted up to 2, and the places of one if it is the only one.
 
-    An array has the ways to each sum, up to 2, and takes a value in one step; it ends at the second subset. Where most of the lines are wanted the lines left out are
+    Where subsets of halves are fewer than the steps of an array, both halves' sums are listed and looked up in each other. Else an array has the ways to each sum,
+    up to 2, and takes a value in one step; it ends at the second subset. Where most of the lines are wanted the lines left out are
     counted instead, amounts are divided by what divides all of them, and values that are too large play no part. A line of 0 cents makes every subset two."""
     values = np.array(cents, np.int64)
     places = np.flatnonzero(values > 0)
@@ -140,15 +167,20 @@ def count_subsets(cents: list[int], low: int, high: int) -> tuple[int, list[int]
         return 0, []
     others = total - low < high  # the lines left out have the smaller sums
     a, b = (total - high, total - low) if others else (low, high)
-    if b > ARRAY:
-        n, found = _few_sums(values, places, a, b)
+    own = values <= b  # larger ones play no part
+    values, places_ = values[own], places[own]
+    half = 1 << (len(values) + 1) // 2
+    if half <= HALF and (b > ARRAY or half * STEPS < b * len(values)):
+        n, found = _by_halves(values, places_, a, b)
+    elif b > ARRAY:
+        n, found = _few_sums(values, places_, a, b)
     else:
         ways = _reachable(values, b, a)[a:]
         n, found = int(ways.sum(dtype=np.int64)), None
     n *= 2 if zeros else 1
     if n != 1:
         return min(2, n), []
-    chosen = set(_only_subset(values, places, a + int(np.argmax(ways))) if found is None else found)
+    chosen = set(_only_subset(values, places_, a + int(np.argmax(ways))) if found is None else found)
     return 1, sorted(set(places.tolist()) - chosen if others else chosen)
 
 

@@ -127,3 +127,30 @@ def test_interval_is_exact():
 def test_names():
     assert [X.range_name("gst288", "csv", *r) for r in ((None, None), ("07/01/26", None), (None, "2026-07-31"), ("2026-07-01", "July 31, 2026"), ("x", "y"))] == ["gst288.csv", "gst288-from-2026-07-01.csv", "gst288-through-2026-07-31.csv", "gst288-2026-07-01-to-2026-07-31.csv", "gst288.csv"]
     assert (X.progress(0, 0.05, 3), X.progress(3, 0, 3), X.progress(0, 0, 0), X.progress(0, 0, 0, True)) == (2, 100, 0, 100)
+
+
+@pytest.mark.parametrize("half", [0, 1 << 20])
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 40), max_size=9), st.integers(1, 200), st.integers(0, 8))
+def test_counting_by_lists_and_by_halves(half, cents, low, more):
+    whole, G.ARRAY, G.HALF = (G.ARRAY, G.HALF), -1, half
+    try:
+        n, places = G.count_subsets(cents, low, low + more)
+    finally:
+        G.ARRAY, G.HALF = whole
+    expected, one = brute(cents, low, low + more)
+    assert n == expected and (n != 1 or places == one)
+
+
+def test_few_lines_of_large_amounts_take_no_array():
+    import random
+    import time
+
+    rng = random.Random(8)
+    cases = [[rng.randint(100_000, 10_000_000) for _ in range(n)] for n in range(7, 15) for _ in range(10)]
+    began = time.perf_counter()
+    for cents in cases:
+        low = cents[0] + cents[-1]
+        n, places = G.count_subsets(cents, low, low + 7)
+        assert n == 2 or places == [0, len(cents) - 1]
+    assert time.perf_counter() - began < 0.2
