@@ -36,39 +36,40 @@ def upper_median(histogram: np.ndarray) -> int:
     return int(np.searchsorted(np.cumsum(histogram), histogram.sum() // 2, "right"))
 
 
-def largest_component(mask: np.ndarray) -> np.ndarray:
-    """(y, x) of the pixels of the largest 8-connected component; of equal ones that whose first pixel comes first.
+def largest_runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The largest 8-connected component as runs in page order (y, start, end, the end not being part of it); of equal ones that whose first pixel comes first.
 
-    Runs of each row are joined to the runs above that they touch."""
+    Runs of each row are joined to the runs above that they touch: each takes the first of those that it meets, and its first one in turn, until none changes."""
     height, width = mask.shape
     padded = np.zeros((height, width + 2), np.int8)
     padded[:, 1:-1] = mask
     step = np.diff(padded, axis=1)
-    (y, start), (_, end) = np.nonzero(step == 1), np.nonzero(step == -1)
+    (y, start), end = np.nonzero(step == 1), np.nonzero(step == -1)[1]
     if not len(y):
-        return np.zeros((0, 2), np.int64)
-    parent = list(range(len(y)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    row = np.searchsorted(y, np.arange(height + 1))
-    for line in range(1, height):
-        a, b = int(row[line - 1]), int(row[line])
-        while a < row[line] and b < row[line + 1]:
-            if start[a] <= end[b] and start[b] <= end[a]:  # touching by a corner counts
-                p, q = root(a), root(b)
-                parent[max(p, q)] = min(p, q)
-            if end[a] < end[b]:
-                a += 1
-            else:
-                b += 1
-    roots = np.array([root(i) for i in range(len(y))])
-    best = int(np.argmax(np.bincount(roots, end - start, len(y))))
-    return np.concatenate([np.stack([np.full(e - s, line), np.arange(s, e)], axis=1) for line, s, e in zip(y[roots == best], start[roots == best], end[roots == best])])
+        return y, start, end
+    span = width + 2  # places of a row, more than any end
+    low, high = np.searchsorted(y * span + end, (y + 1) * span + start), np.searchsorted(y * span + start, (y + 1) * span + end, "right")  # touching by a corner counts
+    many = high - low
+    above = np.repeat(np.arange(len(y)), many)
+    below = np.arange(len(above)) + np.repeat(low - (np.cumsum(many) - many), many)
+    roots = np.arange(len(y))
+    while len(above):
+        p, q = roots[above], roots[below]
+        apart = p != q
+        if not apart.any():
+            break
+        np.minimum.at(roots, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while not np.array_equal(further := roots[roots], roots):
+            roots = further
+    own = roots == np.argmax(np.bincount(roots, end - start, len(y)))
+    return y[own], start[own], end[own]
+
+
+def largest_component(mask: np.ndarray) -> np.ndarray:
+    """(y, x) of the pixels of ``largest_runs``."""
+    y, start, end = largest_runs(mask)
+    size = end - start
+    return np.stack([np.repeat(y, size), np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)], axis=1)
 
 
 def detect_corners(rgba: np.ndarray) -> dict | None:
@@ -86,21 +87,21 @@ def detect_corners(rgba: np.ndarray) -> dict | None:
     mask = gray >= threshold
     if np.count_nonzero(mask & border) / np.count_nonzero(border) > 0.45:
         return None
-    pixels = largest_component(mask)
-    if not len(pixels):
+    y, start, end = largest_runs(mask)
+    if not len(y):
         return None
-    (top, left), (bottom, right) = pixels.min(axis=0), pixels.max(axis=0)
+    top, left, bottom, right = y[0], start.min(), y[-1], end.max() - 1
     box_width, box_height = int(right - left + 1), int(bottom - top + 1)
-    fill, area = len(pixels) / (box_width * box_height), box_width * box_height / (width * height)
+    fill, area = int((end - start).sum()) / (box_width * box_height), box_width * box_height / (width * height)
     if fill < 0.45 or not 0.02 <= area <= 0.92:
         return None
     confidence = min(1.0, fill * 0.65 + min(1.0, (threshold - middle) / 100) * 0.35)
     points, sure = [], 1.0
     diagonal = max(1.0, float(np.hypot(box_width, box_height)))
-    for x, y in ((left, top), (right, top), (right, bottom), (left, bottom)):
-        away = np.hypot(pixels[:, 1] - x, pixels[:, 0] - y)
+    for x, corner, ends in ((left, top, start), (right, top, end - 1), (right, bottom, end - 1), (left, bottom, start)):  # the nearest pixel ends a run
+        away = np.hypot(ends - x, y - corner)
         k = int(np.argmin(away))
-        points.append({"x": float(pixels[k, 1]), "y": float(pixels[k, 0])})
+        points.append({"x": float(ends[k]), "y": float(y[k])})
         sure = min(sure, max(0.0, 1 - float(away[k]) / diagonal))
     if sure < 0.55 or confidence < 0.72:
         return None

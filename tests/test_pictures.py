@@ -119,3 +119,22 @@ def test_broken_files_with_odd_names(spark, tmp_path):
     rows = P.decode_pictures(spark, str(tmp_path))
     assert {bytes(r["original"]).decode() for r in rows.where("pixels is null").collect()} == set(names)
     assert [(r["width"], r["height"], r["original"]) for r in rows.where("pixels is not null").collect()] == [(3, 2, None)]
+
+
+@pytest.mark.parametrize("share", [0.1, 0.4, 0.6, 0.9])
+def test_largest_runs(share):
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        mask = rng.random(rng.integers(1, 20, 2)) < share
+        left, best = {tuple(p) for p in np.argwhere(mask).tolist()}, []
+        for pixel in np.argwhere(mask).tolist():  # the first pixel of each component comes first
+            group, todo = [], [tuple(pixel)]
+            while todo:
+                y, x = todo.pop()
+                if (y, x) in left:
+                    left.remove((y, x))
+                    group.append((y, x))
+                    todo += [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+            best = group if len(group) > len(best) else best
+        runs = [(y, x) for y, start, end in zip(*(a.tolist() for a in I.largest_runs(mask))) for x in range(start, end)]
+        assert runs == sorted(best) and [tuple(p) for p in I.largest_component(mask).tolist()] == runs
