@@ -95,16 +95,18 @@ def write_edits(shards: DataFrame, details: DataFrame, edits: DataFrame) -> tupl
     by_shard = mirrored_.groupBy(*keys).agg(fields(mirrored_)).groupBy("shard_doc_id").agg(F.map_from_entries(F.collect_list(F.struct("receipt_id", F.to_json("fields").alias("fields")))).alias("_edits"))
 
     def entry(key: Column, value: Column) -> Column:
-        new = F.from_json(F.try_element_at("_edits", key), "map<string,variant>")
-        return F.when(new.isNotNull() & F.ltrim(value).startswith("{"), _merged(value, new)).otherwise(value)
+        edit = F.try_element_at("_edits", key)
+        merged = S.let(F.from_json(edit, "map<string,variant>"), lambda new: _merged(value, new))  # read once, not for each field
+        return F.when(edit.isNotNull() & F.ltrim(value).startswith("{"), merged).otherwise(value)
 
-    def text(entries: Column) -> Column:
-        one = lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.char_length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), entry(e["key"], e["value"]))
-        return F.concat(F.lit("{"), F.array_join(F.transform(entries, one), ","), F.lit("}"))
+    def one(e: Column) -> Column:
+        quoted = S.let(F.to_json(F.array(e["key"])), lambda j: j.substr(F.lit(2), F.char_length(j) - 2))
+        return F.concat(quoted, F.lit(":"), S.let(F.coalesce(F.to_json(e["value"]), F.lit("null")), lambda value: entry(e["key"], value)))
 
-    own = F.map_entries(F.from_json("receipt_metadata", "map<string,variant>"))
-    entries = F.transform(own, lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value")))
-    mirror = F.when(F.col("_edits").isNotNull() & own.isNotNull(), text(entries)).otherwise(F.col("receipt_metadata"))
+    def text(own: Column) -> Column:
+        return F.when(own.isNotNull(), F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(own), one), ","), F.lit("}"))).otherwise(F.col("receipt_metadata"))
+
+    mirror = F.when(F.col("_edits").isNotNull(), S.let(F.from_json("receipt_metadata", "map<string,variant>"), text)).otherwise(F.col("receipt_metadata"))
     both = shards.join(by_shard.withColumnRenamed("shard_doc_id", "id"), "id", "left")
     return both.select(*(mirror.alias("receipt_metadata") if c == "receipt_metadata" else F.col(c) for c in shards.columns)), written
 

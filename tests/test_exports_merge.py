@@ -115,3 +115,13 @@ def test_categories(spark):
     assert (got[0], got[1], got[2]) == ({"a": "1", "b": "2", "n": None}, {"a": "1", "b2": "x"}, {"b": "2"})
     with pytest.raises(ValueError):
         M.put_category(F.col("c"), "  ")
+
+
+def test_a_shard_is_read_once_for_its_edits(spark):
+    shards = spark.createDataFrame([(0, "s", '{"a \\"b":{"vendor":"v","x":1},"c":{"vendor":"w"},"d":5}')], "ord long, id string, receipt_metadata string")
+    details = spark.createDataFrame([], "shard_doc_id string, receipt_id string, data string")
+    edits = spark.createDataFrame([("s", i, 1, "vendor", '"new"') for i in ('a "b', "d")], "shard_doc_id string, receipt_id string, ord long, field string, value string")
+    mirror, _ = M.write_edits(shards, details, edits)
+    assert mirror.first()["receipt_metadata"] in ('{"a \\"b":{"vendor":"new","x":1},"c":{"vendor":"w"},"d":5}', '{"a \\"b":{"x":1,"vendor":"new"},"c":{"vendor":"w"},"d":5}')
+    plan = mirror._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 3  # the shard, an entry, its edits
